@@ -15,6 +15,7 @@ from sessionforge.llm.jaccard import jaccard_join
 from sessionforge.llm.kd_shards import kd_shards
 from sessionforge.llm.mixing import mix
 from sessionforge.llm.posting_lists import nearest
+from sessionforge.llm.repeated_lines import dedup_lines
 
 
 def op1_binary_code_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,11 @@ def op9_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_binary_code_dedup, op2_posting_lists, op3_host_reputation, op4_mix_sources, op6_kd_shards, op8_jaccard_join, op9_bin_slack)
+def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed", "text")
+
+
+QUERIES = (op1_binary_code_dedup, op2_posting_lists, op3_host_reputation, op4_mix_sources, op6_kd_shards, op8_jaccard_join, op9_bin_slack, op10_repeated_lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
