@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,15 +73,13 @@ def shingles(text: str | None, known: WordHashes, n: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-@lru_cache(1)
-def seeds() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20)
-    return rng.integers(1, 2**32, HASHES, dtype="uint64") | np.uint64(1), rng.integers(0, 2**32, HASHES, dtype="uint64")
+_RNG = np.random.default_rng(20)
+_A, _B = _RNG.integers(1, 2**32, HASHES, dtype="uint64") | np.uint64(1), _RNG.integers(0, 2**32, HASHES, dtype="uint64")
 
 
 def minhash(s: np.ndarray) -> np.ndarray:
     """HASHES values of 32 bits, each the least of a random hash over the set."""
-    a, b = seeds()
+    a, b = _A, _B
     x = s >> np.uint64(32)
     y = s & np.uint64(0xFFFFFFFF)
     out = np.full(HASHES, np.uint64(2**64 - 1))
@@ -94,7 +91,6 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype("uint32")
 
 
-@lru_cache(64)
 def least_matches(seen: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """Fewest agreeing values of `seen` at which P(similarity >= threshold | agreed), uniform prior, is >= tolerance.
 
@@ -111,12 +107,16 @@ def least_matches(seen: int, threshold: float = THRESHOLD, tolerance: float = TO
     return seen
 
 
+#: For 16, 32, ... values seen.
+LEAST = {k: least_matches(k) for k in range(STEP, HASHES + 1, STEP)}
+
+
 def survivors(left: np.ndarray, right: np.ndarray, upper: bool = False) -> np.ndarray:
     """Matrix of the pairs whose posterior never fell below the tolerance; rows of last bytes of MinHash values."""
     agreed = np.zeros((len(left), len(right)), "int32")
     for k in range(0, STEP, 1):
         agreed += left[:, k, None] == right[None, :, k]
-    i, j = np.nonzero(agreed >= least_matches(STEP))
+    i, j = np.nonzero(agreed >= LEAST[STEP])
     if upper:
         i, j = i[i < j], j[i < j]
     m = agreed[i, j]
@@ -124,7 +124,7 @@ def survivors(left: np.ndarray, right: np.ndarray, upper: bool = False) -> np.nd
         if not len(i):
             break
         m = m + np.concatenate([(left[i[c : c + 100_000], k : k + STEP] == right[j[c : c + 100_000], k : k + STEP]).sum(axis=1) for c in range(0, len(i), 100_000)])
-        keep = m >= least_matches(k + STEP)
+        keep = m >= LEAST[k + STEP]
         i, j, m = i[keep], j[keep], m[keep]
     out = np.zeros(agreed.shape, bool)
     out[i, j] = True

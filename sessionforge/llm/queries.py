@@ -14,8 +14,10 @@ from sessionforge.llm.host_reputation import judge_urls
 from sessionforge.llm.jaccard import jaccard_join
 from sessionforge.llm.kd_shards import kd_shards
 from sessionforge.llm.mixing import mix
+from sessionforge.llm.ngram_bayes import toxicity_scores
 from sessionforge.llm.posting_lists import nearest
 from sessionforge.llm.repeated_lines import dedup_lines
+from sessionforge.llm.rule_ensemble import quality_scores
 
 
 def op1_binary_code_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +36,18 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,7 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed", "text")
 
 
-QUERIES = (op1_binary_code_dedup, op2_posting_lists, op3_host_reputation, op4_mix_sources, op6_kd_shards, op8_jaccard_join, op9_bin_slack, op10_repeated_lines)
+QUERIES = (op1_binary_code_dedup, op2_posting_lists, op3_host_reputation, op4_mix_sources, op5_rule_ensemble, op6_kd_shards, op7_ngram_bayes, op8_jaccard_join, op9_bin_slack, op10_repeated_lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
