@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sessionforge.operators import panel_columns
+
+MODULES = (panel_columns,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.name: q.run for m in MODULES for q in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {q.name: q.sql() for m in MODULES for q in m.QUERIES if q.checked}
