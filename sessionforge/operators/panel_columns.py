@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sessionforge.plans.panel import DELTA_METRICS, MIDDLE, WINDOWS
-from sessionforge.plans.registry import Query, listed, r
+from sessionforge.plans.registry import Query, r, stepped
 from sessionforge.sources.market import METRICS
 
 KEYS = "session_date, name"
@@ -26,12 +26,21 @@ def forward(h: int, log: bool = False) -> str:
     return f"case when {full} then 100 * (exp({total}) - 1) end"
 
 
-def forward_rows(source: str, log: bool = False) -> str:
-    """(session_date, sidx, name, horizon, n_avail, fwd) for all horizons."""
-    base = f"(SELECT session_date, sidx, name, perf_day, (SELECT max(sidx) FROM {{sess}}) AS last_sidx FROM {{{source}}})"
-    return " UNION ALL ".join(f"SELECT session_date, sidx, name, {h} AS horizon, least({h}, last_sidx - sidx) AS n_avail, {forward(h, log)} AS fwd FROM {base} t{h}" for h in HORIZONS)
+def forward_steps() -> list[dict[str, str]]:
+    """Forward returns over all horizons as columns, fwd_h and log_h; one pass over the panel."""
+    return [{"last_sidx": "max(sidx) over ()"}, {f"fwd_{h}": forward(h) for h in HORIZONS} | {f"log_{h}": forward(h, log=True) for h in HORIZONS}]
 
 
+def forward_rows(source: str, more: str, log: bool = False) -> str:
+    """(session_date, sidx, name, horizon, n_avail, fwd, more) from a relation with the columns of forward_steps."""
+    kind = "log" if log else "fwd"
+    value = "CASE horizon " + " ".join(f"WHEN {h} THEN {kind}_{h}" for h in HORIZONS) + " END"
+    head = "" if more == "*" else "session_date, sidx, name, horizon, "
+    return f"SELECT {head}{more}, least(horizon, last_sidx - sidx) AS n_avail, {value} AS fwd FROM (SELECT *, numbers({', '.join(map(str, HORIZONS))}) AS horizon FROM {{{source}}}) hs"
+
+
+stepped("pfwdcols", "panel", forward_steps())
+
 EFFICIENCY = """SELECT session_date, sidx, CASE WHEN n = 10 AND path > 0 THEN abs(100 * (exp(total) - 1)) / path END AS efficiency FROM (
   SELECT session_date, sidx, count(perf_day) OVER w AS n, sum(ln(1 + perf_day / 100)) OVER w AS total, sum(abs(perf_day)) OVER w AS path
   FROM {bench} WHERE name = 'ALL' WINDOW w AS (ORDER BY sidx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) e"""
@@ -39,9 +48,7 @@ EFFICIENCY = """SELECT session_date, sidx, CASE WHEN n = 10 AND path > 0 THEN ab
 FIRING = "regime_short_long > 0.15 AND rs_score > 0.5"
 
 #: Groups that fire the gate, with log returns of full windows.
-SPREAD = f"""WITH f AS ({forward_rows('panel', log=True)}),
-g AS (SELECT f.session_date, f.horizon, f.name, f.fwd, coalesce({FIRING.replace('regime_short_long', 'p.regime_short_long').replace('rs_score', 'p.rs_score')}, false) AS fires
-      FROM f JOIN {{panel}} p ON p.session_date = f.session_date AND p.name = f.name WHERE f.fwd IS NOT NULL),
+SPREAD = f"""WITH g AS (SELECT session_date, horizon, name, fwd, coalesce(fires, false) AS fires FROM ({forward_rows('pfwdcols', FIRING + ' AS fires', log=True)}) f WHERE fwd IS NOT NULL),
 c AS (SELECT *, row_number() OVER (PARTITION BY session_date, horizon ORDER BY md5(concat('control|', cast(session_date AS varchar(10)), '|', name)), name) AS lot,
       sum(CASE WHEN fires THEN 1 ELSE 0 END) OVER (PARTITION BY session_date, horizon) AS n_fire FROM g)
 SELECT session_date, horizon, cast(max(n_fire) AS int) AS n_fire, cast(count(*) AS int) AS n_all,
@@ -49,8 +56,7 @@ SELECT session_date, horizon, cast(max(n_fire) AS int) AS n_fire, cast(count(*)
   100 * (exp(avg(fwd)) - 1) AS fwd_all, 100 * (exp(avg(CASE WHEN lot <= n_fire THEN fwd END)) - 1) AS fwd_control
 FROM c GROUP BY session_date, horizon HAVING max(n_fire) > 0"""
 
-GRADIENT = """WITH f AS (SELECT session_date, name, horizon, fwd FROM (""" + forward_rows("panel") + """) t WHERE fwd IS NOT NULL AND n_avail = horizon),
-j AS (SELECT f.*, p.regime_short_long AS x FROM f JOIN {panel} p ON p.session_date = f.session_date AND p.name = f.name WHERE p.regime_short_long IS NOT NULL),
+GRADIENT = f"""WITH j AS (SELECT session_date, horizon, name, fwd, x FROM ({forward_rows('pfwdcols', 'regime_short_long AS x')}) f WHERE fwd IS NOT NULL AND n_avail = horizon AND x IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY session_date, horizon ORDER BY x, name) AS rn, count(*) OVER (PARTITION BY session_date, horizon) AS n FROM j),
 b AS (SELECT *, cast(greatest(1, ceil(5e0 * (rn - 1) / (n - 1))) AS int) AS quintile FROM k WHERE n > 5)
 SELECT session_date, horizon, quintile, cast(count(*) AS int) AS n_groups, avg(fwd) - max(day_mean) AS excess
@@ -93,8 +99,8 @@ SELECT {KEYS}, (coalesce(0.4e0 * momentum_score, 0) + coalesce(0.3e0 * rs_score,
 SELECT {KEYS}, sidx, abs(momentum_score - lag(momentum_score) OVER (PARTITION BY name ORDER BY sidx)) AS churn FROM {{panel}}) t
 WINDOW w AS (PARTITION BY name ORDER BY sidx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
     ),
-    Query("w_forward_return", f"SELECT session_date, name, horizon, cast(n_avail AS int) AS n_avail, {r('fwd')} FROM ({forward_rows('panel')}) t"),
-    Query("w_forward_log", f"SELECT session_date, name, horizon, {r('100 * (exp(fwd) - 1)', 'fwd')} FROM ({forward_rows('panel', log=True)}) t WHERE fwd IS NOT NULL"),
+    Query("w_forward_return", f"SELECT session_date, name, horizon, cast(n_avail AS int) AS n_avail, {r('fwd')} FROM ({forward_rows('pfwdcols', 'px')}) t"),
+    Query("w_forward_log", f"SELECT session_date, name, horizon, {r('100 * (exp(fwd) - 1)', 'fwd')} FROM ({forward_rows('pfwdcols', 'px', log=True)}) t WHERE fwd IS NOT NULL"),
     Query("w_efficiency_ratio", f"SELECT session_date, {r('efficiency')} FROM ({EFFICIENCY}) t"),
     Query("w_spread_study", f"SELECT session_date, horizon, n_fire, n_all, {r('fwd_fire - fwd_all', 'spread')}, {r('fwd_fire')}, {r('fwd_nonfire')}, {r('fwd_all')}, {r('fwd_control - fwd_all', 'control_spread')} FROM ({SPREAD}) t"),
     Query("w_quintile_gradient", f"SELECT session_date, horizon, quintile, n_groups, {r('excess')} FROM ({GRADIENT}) t"),
@@ -126,4 +132,3 @@ SELECT {r('avg(churn)', 'mean_churn')}, {r('max(churn)', 'max_churn')}, cast(cou
   (SELECT listagg(name, '|') within group (order by place) FROM top WHERE place <= 5) AS top_groups FROM c WHERE churn IS NOT NULL""",
     ),
 ]
-QUERIES = [Query(q.name, q.text, listed(q.text)) for q in QUERIES]

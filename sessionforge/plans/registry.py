@@ -25,9 +25,44 @@ RELATIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Words of the texts that differ between the dialects: what Spark says, and what the other engine says.
+WORDS = {
+    # a row for each that isn't null
+    "each": ("explode(array_compact(array({})))", "unnest(list_filter([{}], lambda x: x IS NOT NULL))"),
+    "numbers": ("explode(array({}))", "unnest([{}])"),
+    "pieces": ("explode(split({}, '[|]'))", "unnest(string_split({}, '|'))"),
+}
+
+
+def _args(text: str, at: int) -> int:
+    """Where the bracket that opens before `at` closes."""
+    depth = 1
+    while depth:
+        depth += {"(": 1, ")": -1}.get(text[at], 0)
+        at += 1
+    return at
+
+
+def spoken(text: str, other: bool) -> str:
+    """The text in Spark's or the other engine's words."""
+    for word, forms in WORDS.items():
+        while m := re.search(rf"\b{word}\(", text):
+            end = _args(text, m.end())
+            text = text[: m.start()] + forms[other].replace("{}", text[m.end() : end - 1]) + text[end:]
+    if other:
+        text = re.sub(r"listagg\(((?:DISTINCT )?)(.*?), '(.*?)'\) within group \(order by (.*?)\)", r"string_agg(\1\2, '\3' ORDER BY \4)", text)
+        text = re.sub(r"LEFT (SEMI|ANTI) JOIN", r"\1 JOIN", text)
+    return text
+
+
+def r(value: str, name: str = "") -> str:
+    """A double to six places, without a negative zero."""
+    return f"round({value}, 6) + 0e0 AS {name or value}"
+
+
 @dataclass(frozen=True)
 class Query:
-    """text: SQL with relations in braces; other: the same for the other engine, where the dialects differ."""
+    """text: SQL with relations in braces; other: the same for the other engine, where words alone don't do."""
 
     name: str
     text: str
@@ -36,12 +71,11 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         names = set(re.findall(r"\{(\w+)\}", self.text))
-        return spark.sql(self.text, **{n: RELATIONS[n](spark, sf_dir) if n in RELATIONS else market.table(spark, sf_dir, n) for n in names})
+        return spark.sql(spoken(self.text, False), **{n: RELATIONS[n](spark, sf_dir) if n in RELATIONS else market.table(spark, sf_dir, n) for n in names})
 
     def sql(self) -> str:
-        text = re.sub(r"\{(\w+)\}", r"\1", self.other or self.text)
-        body = dict.fromkeys(re.findall(r"\w+", text))
-        need, order = set(body) & set(market.CTES), list(market.CTES)
+        text = spoken(re.sub(r"\{(\w+)\}", r"\1", self.other or self.text), True)
+        need, order = set(re.findall(r"\w+", text)) & set(market.CTES), list(market.CTES)
         for name in reversed(order):  # what is needed needs others in turn
             if name in need:
                 need |= {m for cte in market.CTES[name] for m in re.findall(r"\w+", cte)} & set(order[: order.index(name)])
@@ -52,11 +86,14 @@ class Query:
         return head + ",\n" + text.lstrip()[5:] if re.match(r"\s*WITH\s", text, re.IGNORECASE) else head + "\n" + text
 
 
-def r(value: str, name: str = "") -> str:
-    """A double to six places, without a negative zero."""
-    return f"round({value}, 6) + 0e0 AS {name or value}"
+def derived(name: str, text: str, other: str | None = None) -> None:
+    """Gives a query's result a name that other queries may use in braces."""
+    query = Query(name, text, other)
+    RELATIONS[name] = query.run
+    market.CTES[name] = [f"{name} AS ({spoken(re.sub(r'[{](\w+)[}]', lambda m: m[1], other or text), True)})"]
 
 
-def listed(text: str) -> str:
-    """listagg in the other engine's words."""
-    return re.sub(r"listagg\((.*?), '(.*?)'\) within group \(order by (.*?)\)", r"string_agg(\1, '\2' ORDER BY \3)", text)
+def stepped(name: str, source: str, columns: list[dict[str, str]]) -> None:
+    """A relation with more columns, a step at a time."""
+    RELATIONS[name] = lambda spark, sf_dir: market.steps(RELATIONS[source](spark, sf_dir), columns)
+    market.CTES[name] = market.steps_sql(source, name, columns)
