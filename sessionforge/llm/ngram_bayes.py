@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-SIZES, BITS, FEATURES, FIT_ROWS = (3, 4, 5), 18, 16_384, 8_000
+SIZES, BITS, FEATURES, FIT_ROWS = (3, 4, 5), 18, 16_384, 4_000
 ALPHA, RIDGE, STEPS = 1.0, 1e-3, 300
 #: Pieces in which a task's counts travel.
 SEGMENTS = 64
@@ -87,21 +87,21 @@ def fitted(rows: list[np.ndarray], values: np.ndarray, labels: np.ndarray) -> tu
 
     rows: the feature numbers of each text; values: the scale of each feature.
     """
-    at = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    f = np.concatenate(rows) if rows else np.empty(0, int)
+    at = np.repeat(np.arange(len(rows), dtype="int32"), [len(x) for x in rows])
+    f = np.concatenate(rows) if rows else np.empty(0, "uint16")
     y = labels.astype(float)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    v = values[f]
+    v = values.astype("float32")[f]
     norm = np.bincount(at, v * v, minlength=len(rows)).max(initial=0) + 1
     step = 4 / norm
     w, b, pw, pb = np.zeros(len(values)), 0.0, np.zeros(len(values)), 0.0
     for t in range(STEPS):
         m = t / (t + 3)
         zw, zb = w + m * (w - pw), b + m * (b - pb)
-        z = np.bincount(at, v * zw[f], minlength=len(rows)) + zb
+        z = np.bincount(at, v * zw.astype("float32")[f], minlength=len(rows)) + zb
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         pw, pb = w, b
-        w = zw - step * (np.bincount(f, v * g[at], minlength=len(values)) + RIDGE * zw / len(rows))
+        w = zw - step * (np.bincount(f, v * g.astype("float32")[at], minlength=len(values)) + RIDGE * zw / len(rows))
         b = zb - step * g.sum()
     return w, b
 
@@ -126,14 +126,14 @@ def toxic_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         scratch = np.zeros(2**BITS, "int64")
         for pdf in batches:
             rows = [number[places(t, scratch)] for t in pdf["text"]]
-            yield pd.DataFrame({"label": pdf["label"], "f": [np.sort(x[x >= 0]).astype("int32") for x in rows]})
+            yield pd.DataFrame({"label": pdf["label"], "f": [np.sort(x[x >= 0]).astype("uint16").tobytes() for x in rows]})
 
     # a bounded sample of each class by hash: the share that FIT_ROWS is of it, and no more rows than that
     share = {0: min(1.0, 1.1 * FIT_ROWS / t0), 1: min(1.0, 1.1 * FIT_ROWS / t1)}
     dice = F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(2**31)) / 2**31
     some = train.where(dice < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
-    fit = some.select("text", "label").mapInPandas(features, "label int, f array<int>").limit(2 * FIT_ROWS + FIT_ROWS // 2).collect()
-    w, bias = fitted([np.asarray(x["f"], int) for x in fit], r[chosen], np.array([x["label"] for x in fit]))
+    fit = some.select("text", "label").mapInPandas(features, "label int, f binary").limit(2 * FIT_ROWS + FIT_ROWS // 2).collect()
+    w, bias = fitted([np.frombuffer(x["f"], "uint16") for x in fit], r[chosen], np.array([x["label"] for x in fit]))
     weights[chosen] = w * r[chosen]
     return weights, bias
 
