@@ -89,7 +89,7 @@ QUERIES = [
     Query("w_ranks_sector", f"SELECT {KEYS}, {', '.join(f'rank_{m}' for m in METRICS)} FROM {{spanel}}"),
     Query(
         "w_group_signal",
-        f"""SELECT {KEYS}, round(composite, 6) + 0e0 AS composite, CASE WHEN composite >= 0.65e0 THEN 'favour' WHEN composite <= 0.35e0 THEN 'avoid' WHEN composite IS NOT NULL THEN 'neutral' END AS verdict FROM (
+        f"""SELECT {KEYS}, floor(composite * 1e6 + 5e-1) / 1e6 AS composite, CASE WHEN composite >= 0.65e0 THEN 'favour' WHEN composite <= 0.35e0 THEN 'avoid' WHEN composite IS NOT NULL THEN 'neutral' END AS verdict FROM (
 SELECT {KEYS}, (coalesce(0.4e0 * momentum_score, 0) + coalesce(0.3e0 * rs_score, 0) + coalesce(0.2e0 * rank_agreement, 0) + coalesce(0.1e0 * (regime_short_long + 1) / 2, 0)) / nullif(
  (CASE WHEN momentum_score IS NULL THEN 0e0 ELSE 0.4e0 END) + (CASE WHEN rs_score IS NULL THEN 0e0 ELSE 0.3e0 END) + (CASE WHEN rank_agreement IS NULL THEN 0e0 ELSE 0.2e0 END) + (CASE WHEN regime_short_long IS NULL THEN 0e0 ELSE 0.1e0 END), 0) AS composite FROM {{panel}}) t""",
     ),

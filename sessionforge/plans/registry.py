@@ -30,6 +30,9 @@ WORDS = {
     # a row for each that isn't null
     "each": ("explode(array_compact(array({})))", "unnest(list_filter([{}], lambda x: x IS NOT NULL))"),
     "numbers": ("explode(array({}))", "unnest([{}])"),
+    "alnum": ("regexp_replace({}, '[^a-z0-9]', '')", "regexp_replace({}, '[^a-z0-9]', '', 'g')"),
+    "knob": ("get_json_object({})", "json_extract_string({})"),
+    "day": ("to_date({})", "cast({} AS DATE)"),
     "pieces": ("explode(split({}, '[|]'))", "unnest(string_split({}, '|'))"),
 }
 
@@ -56,8 +59,8 @@ def spoken(text: str, other: bool) -> str:
 
 
 def r(value: str, name: str = "") -> str:
-    """A double to six places, without a negative zero."""
-    return f"round({value}, 6) + 0e0 AS {name or value}"
+    """A double to six places, halves up and without a negative zero, by the same arithmetic in any engine."""
+    return f"floor(({value}) * 1e6 + 5e-1) / 1e6 AS {name or value}"
 
 
 @dataclass(frozen=True)

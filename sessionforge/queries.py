@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionforge.operators import panel_columns, selection
+from sessionforge.operators import panel_columns, selection, stocks
 
-MODULES = (panel_columns, selection)
+MODULES = (panel_columns, selection, stocks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
