@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-SIZES, BITS, FEATURES, FIT_ROWS = (3, 4, 5), 18, 16_384, 4_000
+SIZES, BITS, FEATURES, FIT_ROWS = (3, 4, 5), 18, 4_096, 3_000
 ALPHA, RIDGE, STEPS = 1.0, 1e-3, 300
 #: Pieces in which a task's counts travel.
 SEGMENTS = 64
