@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionforge.operators import panel_columns, selection, stocks
+from sessionforge.operators import panel_columns, selection, stocks, trades
+from sessionforge.streaming import runs
 
 MODULES = (panel_columns, selection, stocks)
 
 
+#: Queries that aren't one SQL text: folds over arrays, and streams.
+FUNCTIONS = {"sm_advance": trades.sm_advance, "sm_catchup": trades.sm_catchup, "ss_session_bars": runs.session_bars, "ss_quote_ingest": runs.quote_ingest, "ss_status": runs.status}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.name: q.run for m in MODULES for q in m.QUERIES}
+    return {q.name: q.run for m in MODULES for q in m.QUERIES} | FUNCTIONS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q.name: q.sql() for m in MODULES for q in m.QUERIES if q.checked}
+    return {q.name: q.sql() for m in MODULES for q in m.QUERIES if q.checked} | {"ss_session_bars": runs.SESSION_BARS_SQL, "ss_quote_ingest": runs.QUOTE_INGEST_SQL, "ss_status": runs.STATUS_SQL}
