@@ -22,13 +22,13 @@ from sessionforge.llm.repeated_lines import dedup_lines
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go. It learns from the labelled ones among docs."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    return toxicity(docs, table(spark, sf_dir, "labels"), ("_score", "_toxic")).where("_toxic = 0").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and documents of which nothing but blanks is left then."""
-    rows = dedup_lines(docs).where((F.size("removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return rows.select(*[F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows = dedup_lines(docs, names=("_lines", "_removed")).where((F.size("_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return rows.select(*[F.when(F.size("_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

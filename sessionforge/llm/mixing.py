@@ -131,18 +131,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     per = mixed_blocks(docs).where("copies > 0").groupBy("sidx", "start", "doc_id", "th", "source", "size")
     per = per.agg(F.sort_array(F.collect_list(F.struct("block", "from_word", "n_words", "copies"))).alias("parts"))
     held = per.select(F.col("doc_id").alias("of"), F.col("th").alias("h"), F.col("source").alias("src"), "size", "parts", F.row_number().over(W.partitionBy("doc_id", "th", "source").orderBy("start")).alias("nth"))
-    texts = docs.withColumn("_th", F.xxhash64("text"))
-    texts = texts.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_th", "source").orderBy(F.lit(0))))
-    out = texts.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("_th") == F.col("h")) & F.col("source").eqNullSafe(F.col("src")) & (F.col("_nth") == F.col("nth")))
-    words = words_of(F.col("text"))
+    # the row travels as one struct, so that none of its columns meets a name used here
+    texts = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_th"))
+    texts = texts.withColumn("_nth", F.row_number().over(W.partitionBy("_row.doc_id", "_th", "_row.source").orderBy(F.lit(0))))
+    out = texts.join(held.hint("merge"), F.col("_row.doc_id").eqNullSafe(F.col("of")) & (F.col("_th") == F.col("h")) & F.col("_row.source").eqNullSafe(F.col("src")) & (F.col("_nth") == F.col("nth")))
 
     def copy(c: int) -> Column:
         chosen = F.filter("parts", lambda p: p["copies"] > c)
         n = F.aggregate(chosen, F.lit(0).cast("long"), lambda s, p: s + p["n_words"])
         cut = F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(F.col("_words"), (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
-        return F.when(n == F.col("size"), F.col("text")).when(n > 0, cut)
+        return F.when(n == F.col("size"), F.col("_row.text")).when(n > 0, cut)
 
-    out = out.withColumn("_words", words)
-    text = F.concat_ws("\n", copy(0), copy(1))
-    out = out.withColumn("_text", text)
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = out.withColumn("_words", words_of(F.col("_row.text")))
+    out = out.withColumn("_text", F.concat_ws("\n", copy(0), copy(1)))
+    return out.select(*[(F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -2,8 +2,8 @@
 
 The features of a text are the character n-grams (3 to 5 characters, lower case, blanks for any
 white space) that occur in it, hashed to `2^BITS` places. For each place the log-count ratio r says
-how much likelier labelled toxic texts hold it than others, counted over all labelled training
-texts. The places whose ratio stands out most from chance (at most `FEATURES`) are the features; a
+how much likelier labelled toxic texts hold it than others, counted over the labelled training texts,
+all of them up to `TRAIN_ROWS`. The places whose ratio stands out most from chance (at most `FEATURES`) are the features; a
 text's vector holds r at the features it has, and a logistic regression is fitted on that, on at most
 `FIT_ROWS` training texts of each class, chosen by hash. Whole texts are scored.
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 
 SIZES, BITS, FEATURES, FIT_ROWS = (3, 4, 5), 18, 4_096, 3_000
+#: Labelled rows that are learned from at most, the first by a hash of doc_id; 16 bytes each.
+TRAIN_ROWS = 200_000
 ALPHA, RIDGE, STEPS = 1.0, 1e-3, 300
 #: Pieces in which a task's counts travel.
 SEGMENTS = 64
@@ -110,7 +112,9 @@ def toxic_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """A weight for each place and the bias, from docs (doc_id, text) and labels (doc_id, toxic)."""
     told = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("label"))
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("text is not null")
-    train = texts.join(told.hint("merge"), F.col("doc") == F.col("of")).select("doc", "text", "label")
+    # TRAIN_ROWS bounds what is broadcast; the texts stay where they are read
+    told = told.orderBy(F.xxhash64("of", F.lit(9)), "of").limit(TRAIN_ROWS)
+    train = texts.join(F.broadcast(told), F.col("doc") == F.col("of")).select("doc", "text", "label")
     counts = train.select("text", "label").mapInPandas(counted, "segment int, n0 array<long>, n1 array<long>, t0 long, t1 long").groupBy("segment").applyInPandas(added, "segment int, n0 array<long>, n1 array<long>, t0 long, t1 long")
     got = counts.orderBy("segment").collect()  # 2^BITS counts, whatever the input
     weights = np.zeros(2**BITS)
@@ -138,8 +142,8 @@ def toxic_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return weights, bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with score and predicted; learns from labels (doc_id, toxic) whose crc32(doc_id) mod 5 is not 0."""
+def toxicity(docs: DataFrame, labels: DataFrame, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score and predicted, under these names, which replace columns of docs so named; learns from labels (doc_id, toxic) whose crc32(doc_id) mod 5 is not 0."""
     learn = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     weights, bias = toxic_model(docs, learn)
     held = docs.sparkSession.sparkContext.broadcast(weights)  # 2^BITS numbers
@@ -151,8 +155,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             z = np.array([w[places(t, scratch)].sum() for t in batch]) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    scored = docs.withColumn("score", score(F.col("text")))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = docs.withColumn(names[0], score(F.col("text")))
+    return scored.withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -117,8 +117,10 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return lines.withColumn("reach", reach).where("reach >= pos").select("doc_id", "th", "line")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with two more columns, n_lines and removed (sorted numbers of deleted lines), and text without these lines.
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] = ("n_lines", "removed")) -> DataFrame:
+    """docs with text without the deleted lines, and two more columns: the number of lines before, and sorted numbers of those deleted.
+
+    names are the names of the two; columns of docs with these names are replaced.
 
     A text whose lines are all deleted becomes empty.
     """
@@ -129,5 +131,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(F.transform(lines, lambda v, i: F.when(~F.array_contains(removed, i), v)), lambda v: v.isNotNull()), "\n")
     text = F.when(F.size(removed) > 0, kept).otherwise(F.col("text"))
-    keep = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*keep, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), removed.alias("removed"))
+    keep = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in names]
+    return out.select(*keep, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias(names[0]), removed.alias(names[1]))
