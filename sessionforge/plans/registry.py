@@ -33,6 +33,8 @@ WORDS = {
     "alnum": ("regexp_replace({}, '[^a-z0-9]', '')", "regexp_replace({}, '[^a-z0-9]', '', 'g')"),
     "knob": ("get_json_object({})", "json_extract_string({})"),
     "day": ("to_date({})", "cast({} AS DATE)"),
+    "words": ("explode(split({}, ' '))", "unnest(string_split({}, ' '))"),
+    "sha": ("sha2({}, 256)", "sha256({})"),
     "pieces": ("explode(split({}, '[|]'))", "unnest(string_split({}, '|'))"),
 }
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionforge.operators import panel_columns, selection, stocks, trades
+from sessionforge.operators import panel_columns, selection, stocks, stores, trades
 from sessionforge.streaming import runs
 
-MODULES = (panel_columns, selection, stocks)
+MODULES = (panel_columns, selection, stocks, stores)
 
 
 #: Queries that aren't one SQL text: folds over arrays, and streams.
