@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,91 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STATUS_SQL = """WITH l AS (SELECT user_id AS t, max(value) AS hi, min(value) AS lo FROM events WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events) GROUP BY 1)
 SELECT event_id, CASE WHEN hi IS NULL OR value IS NULL THEN 'no_quote' WHEN value <= lo THEN 'invalidated' WHEN value >= hi THEN 'triggered' ELSE 'setting_up' END AS status FROM events LEFT JOIN l ON t = user_id"""
+
+
+def kept_state(stream: DataFrame, spark: SparkSession, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame | None:
+    """State rows after all batches; step makes them of the state before (None at first) and a batch.
+
+    Batch n reads version n - 1 and overwrites version n, so that a batch that is run again, after a
+    failure, changes nothing.
+    """
+    at, last = shared_folder(spark), []
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        old = batch.sparkSession.read.parquet(f"{at}/state/v={batch_id - 1}") if batch_id else None
+        step(old, batch).write.mode("overwrite").parquet(f"{at}/state/v={batch_id}")
+        last.append(batch_id)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/state/v={last[-1]}") if last else None
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alert for each ticker, kind and day, however often a quote gives rise to it; keys are kept for a week."""
+    q = quotes(spark, sf_dir).withWatermark("ts", "7 days").select("ts", "ticker", "kind", F.to_date("ts").alias("alert_date"))
+    return finished(q.dropDuplicatesWithinWatermark(["ticker", "kind", "alert_date"]).select("ticker", "kind", "alert_date"), spark)
+
+
+ALERTS_SQL = "SELECT DISTINCT user_id AS ticker, event_type AS kind, CAST(ts AS DATE) AS alert_date FROM events"
+
+#: Sessions that a watched ticker stays on the list.
+WATCH_SESSIONS = 10
+
+
+def watch_step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """(ticker, last_day, days_left): each day with a quote that hasn't been seen yet takes one session; the first is free."""
+    days = batch.where("ticker is not null and ts is not null").select("ticker", F.to_date("ts").alias("d")).distinct()
+    if old is None:
+        return days.groupBy("ticker").agg(F.max("d").alias("last_day"), F.greatest(F.lit(0), WATCH_SESSIONS + 1 - F.count("d")).cast("int").alias("days_left"))
+    was = old.withColumnRenamed("ticker", "t")
+    both = days.join(was, F.col("ticker") == F.col("t"), "full").withColumn("new", (F.col("last_day").isNull() | (F.col("d") > F.col("last_day"))).cast("int"))
+    left = F.coalesce(F.max("days_left"), F.lit(WATCH_SESSIONS + 1)) - F.coalesce(F.sum("new"), F.lit(0))
+    out = both.withColumn("ticker", F.coalesce("ticker", "t")).groupBy("ticker").agg(F.greatest(F.max("d"), F.max("last_day")).alias("last_day"), F.greatest(F.lit(0), left).cast("int").alias("days_left"))
+    return out
+
+
+def watch_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The watch list after all quotes, with what is left of each ticker's sessions."""
+    stream = quotes(spark, sf_dir).select("ticker", "ts")
+    state = kept_state(stream, spark, watch_step)
+    state = spark.createDataFrame([], "ticker long, last_day date, days_left int") if state is None else state
+    return state.select("ticker", "last_day", "days_left", (F.col("days_left") <= 0).alias("expired"))
+
+
+WATCH_TTL_SQL = f"""SELECT user_id AS ticker, max(CAST(ts AS DATE)) AS last_day, CAST(greatest(0, {WATCH_SESSIONS + 1} - count(DISTINCT CAST(ts AS DATE))) AS INT) AS days_left, count(DISTINCT CAST(ts AS DATE)) > {WATCH_SESSIONS} AS expired
+FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1"""
+
+#: Share of the entry that a position's stop trails behind the highest close.
+TRAIL = 0.5
+
+
+def position_step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """(ticker, entry, stop, top, last_day, state): day bars move each ticker's position in order; a day counts once.
+
+    The first day opens the position; a later day whose low reaches the stop of the day before closes
+    it, after which it stays. Bars are one row a day, so a ticker's array holds as many as days.
+    """
+    at = F.struct("ts", "event_id")
+    bars = batch.where("ticker is not null and ts is not null and price is not null").groupBy("ticker", F.to_date("ts").alias("d")).agg(F.min("price").alias("low"), F.max_by("price", at).alias("close"))
+    seen = bars.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("d", "low", "close"))).alias("bars"))
+    fields = "struct<entry:double,stop:double,top:double,last_day:date,state:string>"
+    if old is None:
+        seen = seen.withColumn("p", F.lit(None).cast(fields))
+    else:
+        was = old.select(F.col("ticker").alias("t"), F.struct("entry", "stop", "top", "last_day", "state").cast(fields).alias("p"))
+        seen = seen.join(was, F.col("ticker") == F.col("t"), "full").select(F.coalesce("ticker", "t").alias("ticker"), F.coalesce("bars", F.array().cast("array<struct<d:date,low:double,close:double>>")).alias("bars"), "p")
+
+    def moved(p, b):
+        opened = F.struct(b["close"].alias("entry"), (b["close"] * (1 - TRAIL)).alias("stop"), b["close"].alias("top"), b["d"].alias("last_day"), F.lit("open").alias("state")).cast(fields)
+        top = F.greatest(p["top"], b["close"])
+        out = F.struct(p["entry"], p["stop"], p["top"], b["d"].alias("last_day"), F.lit("closed").alias("state")).cast(fields)
+        held = F.struct(p["entry"], (top * (1 - TRAIL)).alias("stop"), top.alias("top"), b["d"].alias("last_day"), F.lit("managing").alias("state")).cast(fields)
+        return F.when(p.isNull(), opened).when((p["state"] == "closed") | (b["d"] <= p["last_day"]), p).when(b["low"] <= p["stop"], out).otherwise(held)
+
+    return seen.select("ticker", F.aggregate("bars", F.col("p"), moved).alias("p")).select("ticker", "p.*")
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ticker's position after all quotes."""
+    state = kept_state(quotes(spark, sf_dir), spark, position_step)
+    return spark.createDataFrame([], "ticker long, entry double, stop double, top double, last_day date, state string") if state is None else state
