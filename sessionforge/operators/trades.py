@@ -55,27 +55,30 @@ def advance(s: Column, b: Column, entry: Column, risk: Column) -> Column:
     return F.when((s["state"] == "closing") | (b["sidx"] <= s["advanced"]) | b["close"].isNull(), s).otherwise(moved)
 
 
-def folded(positions: DataFrame, bars: DataFrame) -> DataFrame:
-    """positions (ticker, opened, entry, first_stop) with their final state after the bars that follow."""
-    nth = F.row_number().over(W.partitionBy("p_ticker").orderBy("sidx"))
+def folded(positions: DataFrame, bars: DataFrame, most: int = MOST_BARS) -> DataFrame:
+    """positions (ticker, opened, entry, first_stop) with their final state after the next bars, at most `most` of them."""
+    nth = F.row_number().over(W.partitionBy("p_ticker", "opened").orderBy("sidx"))
     p = positions.withColumnRenamed("ticker", "p_ticker")
-    after = p.join(bars, (F.col("p_ticker") == F.col("ticker")) & (F.col("sidx") > F.col("opened"))).withColumn("nth", nth).where(F.col("nth") <= MOST_BARS)
-    seen = after.groupBy("p_ticker", "opened", "entry", "first_stop").agg(F.sort_array(F.collect_list(F.struct("sidx", "open", "high", "low", "close", "prev_close", "atr", "ma20", "ma50"))).alias("bars"))
+    after = p.join(bars, (F.col("p_ticker") == F.col("ticker")) & (F.col("sidx") > F.col("opened")), "left").withColumn("nth", nth).where(F.col("nth") <= most)
+    bar = F.when(F.col("sidx").isNotNull(), F.struct("sidx", "open", "high", "low", "close", "prev_close", "atr", "ma20", "ma50"))
+    seen = after.groupBy("p_ticker", "opened", "entry", "first_stop").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
     start = F.struct(F.lit("open").alias("state"), F.col("first_stop").alias("stop"), F.col("first_stop").alias("floor"), F.lit("20ma").alias("basis"), F.lit(0).alias("caution"), F.lit(100.0).alias("qty"), F.lit(0).alias("trimmed"), F.lit(None).cast("double").alias("exit_price"), F.lit(None).cast("string").alias("exit_reason"), F.col("opened").alias("advanced")).cast(STATE)
     end = F.aggregate("bars", start, lambda s, b: advance(s, b, F.col("entry"), F.col("entry") - F.col("first_stop")))
     return seen.select(F.col("p_ticker").alias("ticker"), "opened", "entry", "first_stop", F.size("bars").alias("n_bars"), end.alias("s")).select("ticker", "opened", "entry", "first_stop", "n_bars", "s.*")
 
 
-def sm_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions opened at session 20 of every ticker, advanced through all bars they haven't seen."""
+def opened_and_bars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A position opened at every session of every ticker whose close is above its low, and all bars."""
     stock = RELATIONS["stock"](spark, sf_dir)
-    opened = stock.where("sidx = 20 and low < close").select("ticker", F.col("sidx").alias("opened"), F.col("close").alias("entry"), F.col("low").alias("first_stop"))
-    return folded(opened, stock.select("ticker", "sidx", "open", "high", "low", "close", "prev_close", "atr", "ma20", "ma50"))
+    opened = stock.where("low < close").select("ticker", F.col("sidx").alias("opened"), F.col("close").alias("entry"), F.col("low").alias("first_stop"))
+    return opened, stock.select("ticker", "sidx", "open", "high", "low", "close", "prev_close", "atr", "ma20", "ma50")
+
+
+def sm_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every position advanced through the bars it hasn't seen, at most 30; one without such bars stays open."""
+    return folded(*opened_and_bars(spark, sf_dir))
 
 
 def sm_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same positions after one bar each."""
-    stock = RELATIONS["stock"](spark, sf_dir)
-    opened = stock.where("sidx >= 20 and low < close").select("ticker", F.col("sidx").alias("opened"), F.col("close").alias("entry"), F.col("low").alias("first_stop"))
-    opened = opened.groupBy("ticker").agg(F.max_by(F.struct("opened", "entry", "first_stop"), F.col("opened") % 7).alias("p")).select("ticker", "p.*")
-    return folded(opened, stock.where("sidx % 2 = 1").select("ticker", "sidx", "open", "high", "low", "close", "prev_close", "atr", "ma20", "ma50"))
+    """The same positions after their next bar each."""
+    return folded(*opened_and_bars(spark, sf_dir), most=1)

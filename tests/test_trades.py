@@ -54,6 +54,33 @@ def test_fold_equals_the_loop(spark):
         assert got[t]["stop"] >= got[t]["floor"] >= 94.0 and 0 < got[t]["qty"] <= 100
 
 
+def test_every_position_is_advanced_through_its_next_bars(spark):
+    from sessionforge import queries  # noqa: F401  (registers the relations)
+    from sessionforge.operators.trades import opened_and_bars, sm_advance, sm_catchup
+
+    sf = "/root/testdata/sf0.001"
+    opened, bars = opened_and_bars(spark, sf)
+    by = {}
+    for b in sorted(bars.collect(), key=lambda b: b["sidx"]):
+        by.setdefault(b["ticker"], []).append(b)
+    want = {(b["ticker"], b["sidx"]) for of in by.values() for b in of if b["low"] < b["close"]}
+    assert want == {(p["ticker"], p["opened"]) for p in opened.collect()}
+    for run, most in ((sm_advance, 1), (sm_catchup, 30)):
+        got = run(spark, sf).collect()
+        assert len(got) == len(want) and {(r["ticker"], r["opened"]) for r in got} == want
+        for r in got:
+            nexts = [b for b in by[r["ticker"]] if b["sidx"] > r["opened"]][:most]
+            assert r["n_bars"] == len(nexts)
+            stopped = next((b for b in nexts[:1] if b["low"] <= r["first_stop"]), None)
+            if stopped:
+                gap = stopped["open"] < r["first_stop"]
+                assert (r["exit_reason"], r["exit_price"], r["advanced"]) == (("gap_down_below_stop", stopped["open"]) if gap else ("stop_hit", r["first_stop"])) + (stopped["sidx"],)
+            elif not nexts:
+                assert (r["state"], r["stop"], r["advanced"]) == ("open", r["first_stop"], r["opened"])
+            else:
+                assert r["exit_reason"] not in ("stop_hit", "gap_down_below_stop") or r["advanced"] > nexts[0]["sidx"]
+
+
 def test_streams_equal_their_batch_twins(spark):
     import duckdb
 
