@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from sessionforge.llm.bin_slack import pack
 from sessionforge.llm.common import saved, table
-from sessionforge.llm.jaccard import jaccard_join
+from sessionforge.llm.jaccard import judged, text_hash
 from sessionforge.llm.mixing import mixed_documents
 from sessionforge.llm.ngram_bayes import toxicity
 from sessionforge.llm.repeated_lines import dedup_lines
@@ -32,9 +32,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, that of the smallest doc_id; of a repeated row one."""
-    kept = jaccard_join(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").withColumn("_th", F.xxhash64("text"))
+    """One text of each class of near-duplicates stays, of the smallest doc_id; of a repeated row one."""
+    kept = judged(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.col("th").alias("_kept_th")).distinct()
+    rows = docs.withColumn("_th", text_hash()).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")) & F.col("_th").eqNullSafe(F.col("_kept_th")), "left_semi")
     nth = F.row_number().over(W.partitionBy("doc_id", "_th").orderBy("source", "lang"))
     return rows.withColumn("_nth", F.when(F.col("doc_id").isNull(), 1).otherwise(nth)).where("_nth = 1").select(*docs.columns)
 

@@ -7,10 +7,10 @@ and the pair is dropped once the posterior probability that its similarity reach
 after what agreed so far, is below the tolerance. All that is left is verified on the exact sets.
 
 Null and empty texts have no runs and link with nothing; they stay their own class. Texts with the
-same set of runs are one vertex with a weight; a repeated row is a copy. Where rows of one doc_id have
-different texts, a set for which this is the smallest doc_id may be left out (the first by
-fingerprint stays), and the doc_id gets the most links and smallest class of its sets. Rows with a
-null doc_id are returned without links. Other columns are ignored.
+same set of runs are one vertex with a weight; a repeated row is a copy. Vertices are numbered by
+their smallest doc_id, then by fingerprint, so that rows of one doc_id with different texts have
+vertices, links and classes of their own. Rows with a null doc_id are returned without links. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionforge.llm.common import saved
+from sessionforge.llm.common import positions, saved
 from sessionforge.llm.linking import blocks, clusters, linked, settled
 
 WORDS, THRESHOLD = 5, 0.8
@@ -186,22 +186,32 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     n_links: other texts' rows with a similarity of at least 0.8, copies included; class_id: smallest
     doc_id reachable by links; copy_of: smallest doc_id with the same set of runs; kept: whether the
-    row is the one that stays of its class.
+    row is the one that stays of its class (a repeated row with its repeats).
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = rows.where("doc_id is not null and text is not null").withColumn("th", F.xxhash64("text"))
+    return judged(docs).drop("th")
+
+
+def text_hash() -> Column:
+    """Tells the rows of one doc_id apart; null for a null text."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """The rows of `jaccard_join` with `th`, the text_hash of the row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", text_hash())
+    texts = rows.where("doc_id is not null and text is not null")
     sketches = saved(texts.mapInPandas(sketch, "doc_id long, th long, size int, fx long, fy long, sketch binary, bands array<long>"))
     per_set = sketches.groupBy("fx", "fy", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    per_set = saved(per_set)
-    # the vertex is the set, its number the smallest doc_id that has it; of several sets with one such doc_id the first by fingerprint
-    first = sketches.join(per_set.select(F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("size").alias("z"), "rep", "weight").hint("merge"), (F.col("fx") == F.col("x")) & (F.col("fy") == F.col("y")) & (F.col("size") == F.col("z")))
-    heads = first.where("doc_id = rep").groupBy("doc_id").agg(F.min_by(F.struct("fx", "fy", "size", "weight", "sketch", "bands", "th"), F.struct("fx", "fy", "th")).alias("s"))
-    heads = saved(heads.select(F.col("doc_id").alias("id"), "s.*"))
+    per_set = saved(positions(saved(per_set), [], ["rep", "fx", "fy", "size"], name="id"))
+    # the vertex is the set; its text is one that the smallest doc_id with this set has
+    first = sketches.join(per_set.select(F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("size").alias("z"), "id", "rep", "weight").hint("merge"), (F.col("fx") == F.col("x")) & (F.col("fy") == F.col("y")) & (F.col("size") == F.col("z")))
+    heads = first.where("doc_id = rep").groupBy("id").agg(F.min_by(F.struct("fx", "fy", "size", "rep", "weight", "sketch", "bands", "th"), "th").alias("s"))
+    heads = saved(heads.select("id", "s.*"))
     buckets = heads.select(F.explode("bands").alias("key"), "id")
     groups = clusters(buckets, heads.select("id", "sketch"), lambda s: survivors(s, s, upper=True))
-    members = heads.join(groups.hint("merge"), heads["id"] == groups["v"]).select("root", "id", "weight", "sketch", "th")
+    members = heads.join(groups.hint("merge"), heads["id"] == groups["v"]).select("root", "id", "rep", "weight", "sketch", "th")
     members = blocks(members)
-    ready = members.join(texts.select(F.col("doc_id").alias("of"), F.col("th").alias("h"), "text").hint("merge"), (members["id"] == F.col("of")) & (members["th"] == F.col("h"))).drop("of", "h")
+    ready = members.join(texts.select(F.col("doc_id").alias("of"), F.col("th").alias("h"), "text").hint("merge"), (members["rep"] == F.col("of")) & (members["th"] == F.col("h"))).drop("of", "h")
 
     known = WordHashes()
 
@@ -221,12 +231,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         return out
 
     found = settled(linked(ready, links, ["sketch", "text"]))
-    per = heads.select("id", "fx", "fy", "size", "weight").join(found.withColumnRenamed("id", "fid").hint("merge"), F.col("id") == F.col("fid"), "left")
-    per = per.select(F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("size").alias("z"), F.col("id").alias("rep"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("class_id"))
-    of = sketches.select("doc_id", "fx", "fy", "size").join(per.hint("merge"), (F.col("fx") == F.col("x")) & (F.col("fy") == F.col("y")) & (F.col("size") == F.col("z")))
-    of = of.groupBy(F.col("doc_id").alias("of")).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.min("rep").alias("rep"))
-    out = rows.select("doc_id").join(of.hint("merge"), F.col("doc_id") == F.col("of"), "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "doc_id").alias("copy_of")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    # a class is named by the doc_id of its first vertex, the smallest of all its rows
+    found = found.join(per_set.select(F.col("id").alias("rid"), F.col("rep").alias("class_id")).hint("merge"), F.col("root") == F.col("rid")).select(F.col("id").alias("fid"), "n_links", "root", "class_id")
+    per = heads.select("id", "fx", "fy", "size", "rep", "weight", "th").join(found.hint("merge"), F.col("id") == F.col("fid"), "left")
+    stays = F.when(F.coalesce("root", "id") == F.col("id"), F.col("th")).alias("stays")
+    per = per.select(F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("size").alias("z"), "rep", stays, (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
+    of = sketches.select("doc_id", "th", "fx", "fy", "size").join(per.hint("merge"), (F.col("fx") == F.col("x")) & (F.col("fy") == F.col("y")) & (F.col("size") == F.col("z")))
+    of = of.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("h")).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.min("rep").alias("rep"), F.min("stays").alias("stays"))
+    out = rows.select("doc_id", "th").join(of.hint("merge"), (F.col("doc_id") == F.col("of")) & (F.col("th") == F.col("h")), "left")
+    kept = F.col("of").isNull() | ((F.col("doc_id") == F.col("class_id")) & F.coalesce(F.col("th") == F.col("stays"), F.lit(False)))
+    return out.select("doc_id", "th", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "doc_id").alias("copy_of"), kept.alias("kept"))
 
 
 def least_band_recall(threshold: float = THRESHOLD) -> float:

@@ -161,6 +161,27 @@ def test_jaccard_against_brute_force(spark, docs):
     assert 1 - jaccard.least_band_recall() < 1e-6
 
 
+def test_one_doc_id_with_several_texts(spark):
+    """Every text has its own class, and of each class just one row stays."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    a, b, c, d = (text(rng, 100) for _ in range(4))
+    near_a, near_b = (" ".join([*t.split()[:50], "x", *t.split()[51:]]) for t in (a, b))
+    texts = [(5, a), (5, b), (5, b), (3, c), (5, c), (6, d), (6, None)]
+    texts += [(i, a) for i in range(11, 15)] + [(15, near_a)] + [(i, b) for i in range(21, 25)] + [(25, near_b), (30, d), (31, text(rng, 100))]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], DOCS)
+    rows = jaccard.judged(df).join(df.select(F.col("doc_id").alias("i"), "text").distinct(), (F.col("doc_id") == F.col("i")) & F.col("th").eqNullSafe(jaccard.text_hash())).collect()
+    assert len(rows) == len(texts)
+    groups = {a: (5, 5), near_a: (5, 5), b: (5, 6), near_b: (5, 6), c: (3, 1), d: (6, 1), None: (6, 0)}
+    for r in rows:
+        class_id, n_links = groups.get(r["text"], (31, 0))
+        assert (r["class_id"], r["n_links"]) == (class_id, n_links), r
+        assert r["kept"] == (r["doc_id"] == class_id), r
+    left = corpus_pipeline.keep_one_of_near_copies(spark, df, SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter([(5, a), (5, b), (3, c), (6, d), (6, None), (31, texts[-1][1])])
+
+
 def test_posterior_pruning_keeps_pairs_at_the_threshold():
     assert 0 < jaccard.LEAST[16] < 13 and jaccard.LEAST[128] < 0.8 * 128
     rng = np.random.default_rng(3)
