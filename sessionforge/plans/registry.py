@@ -65,6 +65,26 @@ def r(value: str, name: str = "") -> str:
     return f"floor(({value}) * 1e6 + 5e-1) / 1e6 AS {name or value}"
 
 
+def needed(text: str) -> list[str]:
+    """The relations that a text uses, directly or through others, each behind those that it uses itself."""
+    order: list[str] = []
+
+    def visit(name: str, above: tuple[str, ...]) -> None:
+        if name in above:
+            raise ValueError(f"relations use one another: {' -> '.join([*above, name])}")
+        if name not in order:
+            within(" ".join(market.CTES[name]), (*above, name))
+            order.append(name)
+
+    def within(body: str, above: tuple[str, ...]) -> None:
+        for word in dict.fromkeys(re.findall(r"\w+", body)):
+            if word in market.CTES and word != (above[-1] if above else None):
+                visit(word, above)
+
+    within(text, ())
+    return order
+
+
 @dataclass(frozen=True)
 class Query:
     """text: SQL with relations in braces; other: the same for the other engine, where words alone don't do."""
@@ -80,11 +100,7 @@ class Query:
 
     def sql(self) -> str:
         text = spoken(re.sub(r"\{(\w+)\}", r"\1", self.other or self.text), True)
-        need, order = set(re.findall(r"\w+", text)) & set(market.CTES), list(market.CTES)
-        for name in reversed(order):  # what is needed needs others in turn
-            if name in need:
-                need |= {m for cte in market.CTES[name] for m in re.findall(r"\w+", cte)} & set(order[: order.index(name)])
-        ctes = [c for n in order if n in need for c in market.CTES[n]]
+        ctes = [c for name in needed(text) for c in market.CTES[name]]
         if not ctes:
             return text
         head = "WITH " + ",\n".join(ctes)

@@ -18,8 +18,10 @@ from sessionforge.sources.market import table
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one only where the session names none."""
+    """A new folder that driver and executors share: under `spark.checkpoint.dir`, or, on one machine alone, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
 
 

@@ -126,6 +126,28 @@ def test_same_rows_as_another_engine(spark, name):
     assert mine == theirs
 
 
+def other_engine():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+def test_every_text_for_the_other_engine_runs():
+    con, broken = other_engine(), {}
+    for name, text in panel.oracle_sql().items():
+        try:
+            con.sql(text).fetchall()
+        except duckdb.Error as e:
+            broken[name] = str(e)[:200]
+    assert not broken
+
+
+def test_relations_come_behind_those_they_use():
+    order = registry.needed("SELECT * FROM picks")
+    assert order.index("sel") < order.index("picks") and order.index("panel") < order.index("sel") and order[-1] == "picks"
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__
 
