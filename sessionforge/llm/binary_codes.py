@@ -1,15 +1,24 @@
 """Embedding near-duplicates by randomised-rotation binary codes with stored correction factors.
 
-A vector is rotated at random and kept as the signs of its coordinates and as one factor, the inner
-product of the rotated vector with its own sign vector. Sign vector times query over the factor is an
-unbiased estimate of the inner product; with the factor comes a bound on its error. Groups of code
-bits also serve as bucket keys, so vectors of one label meet only where their codes agree.
+A vector is rotated at random and kept as the signs of its coordinates (one bit each) and as one
+factor, the inner product of the rotated vector with its own sign vector; both are stored beside the
+vector once. The sign vector times a rotated query over the factor is an unbiased estimate of the inner
+product, and the factor also gives the width of its confidence bound.
+
+1. Buckets: further random rotations name a vector by its greatest coordinate and that one's sign; a
+   few such names are a bucket key. A pair right at the threshold misses all buckets with a chance of
+   MISS; the number of buckets a vector is in grows with about the eighth root of the vectors.
+2. In a bucket the stored codes alone decide: the share of differing bits is an unbiased estimate of the
+   angle, and pairs beyond its confidence bound at the threshold are dropped.
+3. In the clusters of what is left, estimate and bound decide which pairs are recomputed exactly: a pair
+   whose upper bound stays below the threshold is dropped, all others are computed in doubles.
 
 Nulls, zero vectors, and vectors with null or non-finite components link with nothing and stay their
-own component; so do rows with a null label. Copies of a vector are one vertex with a weight. A null
-vec_id, or a vec_id that appears again, is its own row: rows of one vec_id with different vectors
-share the vertex with the smallest vector hash and are otherwise left out of links. Vectors of
-different lengths are never compared. Other columns are ignored.
+own component; so do rows with a null label or vec_id. Every row counts as a vector of its own: copies
+of a vector, in one label, are one vertex with a weight, and rows that repeat a vec_id with the same or
+another vector are linked like all others, each with the links of its vector. Vectors of different
+lengths are never compared, and a vector may have any length. A cosine of exactly the threshold is a
+link. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionforge.llm.common import saved
-from sessionforge.llm.linking import blocks, clusters, linked, settled
+from sessionforge.llm.common import positions, saved, with_facts
+from sessionforge.llm.linking import Exact, clusters, linked, settled
 
-#: Chance that a pair right at the threshold shares no bucket.
-MISS = 1e-6
+#: Chance that a pair right at the threshold shares no bucket, and that its codes differ in too many bits.
+MISS = 1e-5
+#: Width of the bound on an estimate, in standard deviations of a coordinate of a random unit vector.
+SPREAD = 5.0
 
 
 def rotations(dim: int, n: int, seed: int = 11) -> np.ndarray:
@@ -35,23 +47,66 @@ def rotations(dim: int, n: int, seed: int = 11) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(n)]).astype("float32")
 
 
-def tables_for(threshold: float, bits: int) -> int:
-    """Bucket tables of `bits` signs each that let a pair at the threshold through but for a chance of MISS."""
-    p = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(1, math.ceil(math.log(MISS) / math.log1p(-p)))
+def same_corner(dim: int, threshold: float, n: int = 20_000) -> float:
+    """Chance that two unit vectors at the threshold have their greatest of dim coordinates in common, sign included.
 
+    By trial on n pairs with a fixed seed, less two standard deviations.
+    """
+    rng = np.random.default_rng([7, dim])
+    u = rng.standard_normal((n, dim))
+    v = threshold * u + math.sqrt(1 - threshold**2) * rng.standard_normal((n, dim))
+    i, j = np.abs(u).argmax(1), np.abs(v).argmax(1)
+    at = np.arange(n)
+    p = ((i == j) & (np.sign(u[at, i]) == np.sign(v[at, j]))).mean()
+    return float(max(p - 2 * math.sqrt(p * (1 - p) / n), 1e-3))
+
+
+def tables_for(dim: int, threshold: float, n: int) -> tuple[list[int], int]:
+    """Coordinates of each of a key's names, and bucket tables, for n vectors of one length.
 
-def unit(vectors: list) -> np.ndarray:
-    x = np.asarray(vectors, "float64")
+    Names are added until there are twice as many keys as vectors; the last one may look at fewer
+    coordinates than there are.
+    """
+    widths, cells = [], 1
+    while cells < 2 * n and len(widths) < 24:
+        width = dim
+        while width > 2 and cells * width >= 2 * n:  # half the coordinates are enough
+            width //= 2
+        widths.append(width)
+        cells *= 2 * width
+    p = math.prod(same_corner(w, threshold) if w > 1 else 1 - math.acos(threshold) / math.pi for w in widths)
+    return widths, 1 if p >= 1 else max(1, math.ceil(math.log(MISS) / math.log1p(-p)))
+
+
+def most_differing(dim: int, threshold: float) -> int:
+    """Bits in which codes of a pair at the threshold differ at most, but for a chance of MISS."""
+    p, left = math.acos(threshold) / math.pi, 1.0
+    for k in range(dim + 1):
+        left -= math.comb(dim, k) * p**k * (1 - p) ** (dim - k)
+        if left < MISS:
+            return k
+    return dim
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype("float64")
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed signs and factors of unit vectors."""
+    dim = x.shape[1]
+    turned = x @ rotations(dim, 1)[0].T.astype("float64")
+    return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(dim)
+
+
 def estimate(codes: np.ndarray, factor: np.ndarray, query: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of coded unit vectors (rows) and rotated unit queries (columns), and error bounds.
+    """Estimated inner products of coded unit vectors (rows of +-1) and rotated unit queries (columns), and error bounds.
 
-    The error is sqrt(1-f^2)/f * sqrt(1-s^2) * t, where t, a coordinate of a random unit vector of
-    dim-1, stays below spread / sqrt(dim-1); s is the true value, taken at the estimate's nearest
-    reach, 0 at worst.
+    The error is sqrt(1-f^2)/f * sqrt(1-s^2) * t, where s is the true value and t, a coordinate of a
+    random unit vector of dim-1, stays below spread / sqrt(dim-1) but for a chance that spread tells.
+    The bound is given for s = 0, the worst case; callers scale it to the s they ask about.
     """
     dim = query.shape[1]
     est = (codes @ query.T) / (math.sqrt(dim) * factor[:, None])
@@ -60,20 +115,16 @@ def estimate(codes: np.ndarray, factor: np.ndarray, query: np.ndarray, spread: f
     return est, np.broadcast_to(bound[:, None], est.shape)
 
 
-def near_pairs(left: np.ndarray, right: np.ndarray, threshold: float, spread: float) -> np.ndarray:
-    """Boolean matrix of pairs with cosine >= threshold; doubles decide wherever the codes' bounds don't."""
+def near_pairs(left: np.ndarray, codes: np.ndarray, factor: np.ndarray, right: np.ndarray, threshold: float, spread: float = SPREAD) -> np.ndarray:
+    """Boolean matrix of pairs of unit vectors with cosine >= threshold; left has stored codes (packed) and factors."""
     dim = left.shape[1]
-    turn = rotations(dim, 1)[0]
-    lr, rr = (left @ turn.T).astype("float32"), (right @ turn.T).astype("float32")
-    codes = np.where(lr >= 0, np.float32(1), np.float32(-1))
-    factor = np.abs(lr).sum(axis=1) / math.sqrt(dim)
-    est, wide = estimate(codes, factor, rr, spread)
-    # at a true value >= threshold the error is at most wide * sqrt(1 - threshold^2)
-    reach = est + wide * math.sqrt(max(0.0, 1 - threshold**2)) + 1e-5
+    signs = np.unpackbits(codes, axis=1, count=dim).astype("float32") * 2 - 1
+    est, wide = estimate(signs, factor, (right @ rotations(dim, 1)[0].T).astype("float32"), spread)
+    # at a true value of at least the threshold the error is at most wide * sqrt(1 - threshold^2)
+    i, j = np.nonzero(est + wide * math.sqrt(max(0.0, 1 - threshold**2)) + 1e-5 >= threshold)
     out = np.zeros(est.shape, bool)
-    i, j = np.nonzero(reach >= threshold)
-    for a in range(0, len(i), 200_000):
-        x, y = i[a : a + 200_000], j[a : a + 200_000]
+    for a in range(0, len(i), 100_000):
+        x, y = i[a : a + 100_000], j[a : a + 100_000]
         out[x, y] = (left[x] * right[y]).sum(axis=1) >= threshold
     return out
 
@@ -84,65 +135,116 @@ def valid(df: DataFrame) -> DataFrame:
     return df.where(e.isNotNull() & (F.size(e) > 0) & F.coalesce(fine, F.lit(False)) & F.exists(e, lambda v: v != 0))
 
 
-def near_duplicate_vectors(df: DataFrame, threshold: float = 0.93, spread: float = 8.0) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of all rows of df (vec_id, embedding, label)."""
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    live = valid(rows).where("label is not null and vec_id is not null")
-    live = live.withColumn("vkey", F.xxhash64("label", "embedding"))
-    one = live.groupBy("vec_id").agg(F.min_by(F.struct("label", "embedding", "vkey"), "vkey").alias("s")).select("vec_id", "s.*")
-    one = saved(one)
-    copies = one.groupBy("label", "vkey", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    vertices = saved(copies.select("label", "id", "weight", "embedding"))
-    bits = max(12, min(48, math.ceil(math.log2(max(2, vertices.count()))) + 4))
-    n_tables = tables_for(threshold, bits)
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turns: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for dim, part in pdf.groupby(pdf["embedding"].map(len)):
-                need = math.ceil(n_tables * bits / dim)
-                if dim not in turns:
-                    turns[dim] = rotations(dim, need, seed=5).reshape(need * dim, dim)[: n_tables * bits]
-                x = unit(part["embedding"].tolist()).astype("float32")
-                for a in range(0, len(x), 2000):
-                    s = ((x[a : a + 2000] @ turns[dim].T) >= 0).reshape(-1, n_tables, bits)
-                    code = (s.astype("uint64") << np.arange(bits, dtype="uint64")).sum(axis=2, dtype="uint64").astype("int64")
-                    yield pd.DataFrame({"label": np.repeat(part["label"].to_numpy()[a : a + 2000], n_tables), "id": np.repeat(part["id"].to_numpy()[a : a + 2000], n_tables), "t": np.tile(np.arange(n_tables), len(code)), "code": code.ravel(), "dim": dim})
-
-    coded = vertices.select("label", "id", "embedding").mapInPandas(keys, "label string, id long, t int, code long, dim int")
-    buckets = saved(coded.select(F.xxhash64("label", "dim", "t", "code").alias("key"), "id"))
-    # small sketches: the rotated vector as half floats; a pair passes unless it is clearly below the threshold
-    sketches = vertices.mapInPandas(half_floats, "id long, sketch binary")
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    def plausible(s: np.ndarray) -> np.ndarray:
-        x = np.ascontiguousarray(s).view("float16").astype("float32")
-        return x @ x.T >= threshold - 0.01
 
-    groups = clusters(buckets, sketches, plausible)
-    members = vertices.join(groups.hint("merge"), vertices["id"] == groups["v"]).select("root", "id", "weight", "label", "embedding")
+def stored(threshold: float, most: dict[int, int]):
+    """Adds to batches of (id, label, weight, dim, embedding) what is stored of each vector: unit vector, code, factor, bucket names.
+
+    most: the greatest number of vectors of one label, by their length.
+    """
+    plans: dict[int, tuple] = {}
+
+    def names(x: np.ndarray, dim: int) -> np.ndarray:
+        if dim not in plans:
+            widths, n = tables_for(dim, threshold, most[dim])
+            plans[dim] = (widths, rotations(dim, n * len(widths), seed=5).reshape(n, len(widths), dim, dim))
+        widths, turns = plans[dim]
+        out = np.zeros((len(x), len(turns)), "int64")
+        for t, turn in enumerate(turns):
+            for w, r in zip(widths, turn, strict=True):
+                y = x @ r[:w].T
+                at = np.abs(y).argmax(axis=1)
+                with np.errstate(over="ignore"):
+                    out[:, t] = out[:, t] * (2 * w) + at * 2 + (y[np.arange(len(y)), at] >= 0)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            dims = whole.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                of_dim = whole.filter(pa.array(dims == dim))
+                for a in range(0, of_dim.num_rows, 2000):
+                    b = of_dim.slice(a, 2000)
+                    x = unit(vectors_of(b.column("embedding")))
+                    codes, factor = coded(x)
+                    keys = names(x.astype("float32"), dim)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "id": b.column("id"), "label": b.column("label"), "weight": b.column("weight"), "dim": b.column("dim"),
+                            "vector": pa.array([v.tobytes() for v in x], pa.binary()), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "factor": pa.array(factor),
+                            "names": pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel())),
+                        }
+                    )
+
+    return run
+
+
+def comparisons(threshold: float) -> Exact:
+    def parts(rows: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(rows["vector"]), "float64").reshape(len(rows), dim)
+        return x, np.frombuffer(b"".join(rows["code"]), "uint8").reshape(len(rows), -1), rows["factor"].to_numpy()
 
     def links(left: pd.DataFrame, right: pd.DataFrame | None) -> np.ndarray:
         right = left if right is None else right
         out = np.zeros((len(left), len(right)), bool)
-        ld, rd = left["embedding"].map(len).to_numpy(), right["embedding"].map(len).to_numpy()
-        ll, rl = left["label"].to_numpy(), right["label"].to_numpy()
-        for dim in np.intersect1d(ld, rd):
-            for label in np.intersect1d(ll[ld == dim], rl[rd == dim]):
-                x, y = np.flatnonzero((ld == dim) & (ll == label)), np.flatnonzero((rd == dim) & (rl == label))
-                out[np.ix_(x, y)] = near_pairs(unit(left["embedding"].iloc[x].tolist()), unit(right["embedding"].iloc[y].tolist()), threshold, spread)
+        lk, rk = (list(zip(s["dim"], s["label"], strict=True)) for s in (left, right))
+        for dim, label in sorted(set(lk) & set(rk)):
+            x, y = (np.array([i for i, k in enumerate(s) if k == (dim, label)]) for s in (lk, rk))
+            v, codes, factor = parts(left.iloc[x], dim)
+            out[np.ix_(x, y)] = near_pairs(v, codes, factor, parts(right.iloc[y], dim)[0], threshold)
         return out
 
-    found = settled(linked(blocks(members), links, ["label", "embedding"]))
+    def centre(rows: pd.DataFrame) -> tuple[bytes, dict]:
+        dim, label = rows["dim"].iat[0], rows["label"].iat[0]
+        x, _, _ = parts(rows[(rows["dim"] == dim) & (rows["label"] == label)], dim)
+        mean = x.mean(axis=0)
+        return (mean if np.abs(mean).max() > 1e-9 else x[0]).tobytes(), {"dim": dim, "label": label}
+
+    def close(rows: pd.DataFrame, head: pd.Series) -> np.ndarray:
+        out = ((rows["dim"] == head["dim"]) & (rows["label"] == head["label"])).to_numpy()
+        c = unit(np.frombuffer(head["centre"], "float64")[None])[0]
+        half = math.cos(math.acos(threshold) / 2) + 1e-7  # two of half the angle are surely within the angle
+        if out.any():
+            out[out] = parts(rows[out], head["dim"])[0] @ c >= half
+        return out
+
+    return Exact({"label": "string", "dim": "int", "vector": "binary", "code": "binary", "factor": "double"}, links, centre, close)
+
+
+def near_duplicate_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of all rows of df (vec_id, embedding, label)."""
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    live = valid(rows).where("label is not null and vec_id is not null").withColumn("vkey", F.xxhash64("label", "embedding"))
+    copies = live.groupBy("vkey", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    # vertices are numbered by their smallest vec_id: the first of a component has its smallest
+    vertices = positions(copies.withColumn("dim", F.size("embedding")), [], ["rep", "vkey"], name="id")
+    groups = vertices.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()  # a row a length
+    run = stored(threshold, {r["dim"]: r["n"] for r in groups})
+    kept = saved(vertices.select("id", "label", "weight", "dim", "embedding").mapInArrow(run, "id long, label string, weight long, dim int, vector binary, code binary, factor double, names array<long>"))
+    buckets = saved(kept.select("id", "label", "dim", F.posexplode("names").alias("t", "name")).select(F.xxhash64("label", "dim", "t", "name").alias("key"), "id"))
+    limits = {r["dim"]: most_differing(r["dim"], threshold) for r in groups}
+
+    def plausible(s: np.ndarray) -> np.ndarray:
+        dim = int(s[0, :4].copy().view("<i4")[0])
+        bits = np.unpackbits(s[:, 4:], axis=1, count=dim).astype("float32")
+        same = bits @ bits.T + (1 - bits) @ (1 - bits).T
+        return dim - same <= limits[dim]
+
+    # the sketch is the length, in four bytes, and the code; all of a bucket are equally long
+    length = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("dim", 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]))
+    found = clusters(buckets, kept.select("id", F.concat(length, "code").alias("sketch")), plausible)
+    exact = comparisons(threshold)
+    members = saved(kept.join(found.hint("merge"), kept["id"] == found["v"]).select("root", "id", "weight", *exact.columns))
+    links = settled(linked(members, exact))
     # back from vertices to rows: a copy has its vertex's links, and one for each other copy
-    of = vertices.select("label", "embedding", F.col("id").alias("vid"), "weight")
-    of = of.join(found.hint("merge"), of["vid"] == found["id"], "left").select("label", "embedding", "vid", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "vid").alias("component_id"))
-    of = of.select(F.xxhash64("label", "embedding").alias("k"), F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", "component_id")
-    back = one.join(of.hint("merge"), (one["vkey"] == of["k"]) & (one["label"] == of["l"]) & (one["embedding"] == of["e"])).select(F.col("vec_id").alias("live_id"), "n_links", "component_id")
-    out = rows.select("vec_id").join(back.hint("merge"), F.col("vec_id") == F.col("live_id"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
-
-
-def half_floats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            yield pd.DataFrame({"id": pdf["id"], "sketch": [unit([v])[0].astype("float16").tobytes() for v in pdf["embedding"]]})
+    reps = vertices.select(F.col("id").alias("rid"), F.col("rep").alias("component_id"))
+    links = links.join(reps.hint("merge"), F.col("root") == F.col("rid")).select(F.col("id").alias("lid"), F.col("n_links").alias("n"), "component_id")
+    facts = vertices.join(links.hint("merge"), F.col("id") == F.col("lid"), "left")
+    facts = saved(facts.select("vkey", "label", "embedding", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")))
+    keyed = rows.withColumn("vkey", F.when(F.col("vec_id").isNotNull(), F.xxhash64("label", "embedding")))
+    out = with_facts(keyed, facts, ["vkey", "label", "embedding"], "weight", ["n_links", "component_id"])
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -2,28 +2,50 @@
 
 Both near-duplicate operators find candidates by bucket keys (`key`, `id`). A pair that shares a
 bucket is first held against a cheap test on small sketches; what passes only forms clusters. The
-exact test then runs on whole clusters, cut into blocks of bounded size, so that every cluster member
-travels once for each block beside its own, and each block gives counts and a spanning forest back.
-Buckets and clusters may be of any size: none is dropped, capped or sampled.
+exact test then runs on whole clusters.
+
+Both distances, the angle of vectors and one minus the Jaccard similarity of sets, obey the triangle
+inequality. So in a cluster of more than BLOCK members a centre is made, and every member is held
+against it exactly: members within half the threshold's distance of the centre (the core) are all
+linked to one another, and are counted instead of compared. Only the others (the shell) are compared
+pair by pair, with the shell and with the core, in blocks of bounded size: each block gives counts and
+a spanning forest back. A cluster of near copies thus costs one comparison a member, and one with s
+members in the shell s * n / BLOCK rows; no bucket or cluster is dropped, capped or sampled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionforge.llm.common import components, forest, saved
+from sessionforge.llm.common import components, forest, n_shuffled, saved, with_facts
 
 #: Buckets up to this size are tested pair by pair on sketches; members of larger ones all join a cluster.
-TESTED_BUCKET = 256
+TESTED_BUCKET = 64
 #: Members of a cluster that one side of a block holds.
 BLOCK = 512
 
 
+@dataclass(frozen=True)
+class Exact:
+    """The exact comparisons of one kind of things, whose rows hold `columns` (a schema, without the id).
+
+    links(left, right) gives the boolean matrix of links; right is None for a block with itself.
+    centre(rows) makes a centre, as bytes, and the values of columns that say which rows it can be
+    compared with. close(rows, centre row) says which rows are surely within half the distance.
+    """
+
+    columns: dict[str, str]
+    links: Callable[[pd.DataFrame, pd.DataFrame | None], np.ndarray]
+    centre: Callable[[pd.DataFrame], tuple[bytes, dict]]
+    close: Callable[[pd.DataFrame, pd.Series], np.ndarray]
+
+
 def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of a stream that is sorted by `keys`; a group may go on over several batches."""
     held: list[pd.DataFrame] = []
@@ -45,57 +67,99 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
 def clusters(buckets: DataFrame, sketches: DataFrame, plausible: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(v, root): clusters that hold every pair that shares a bucket and is plausible.
 
-    buckets: (key, id), saved; sketches: (id, sketch binary). plausible takes the sketches of a
+    buckets: (key, id), saved; sketches: (id, sketch binary), saved. plausible takes the sketches of a
     bucket as rows of bytes and returns the matrix of pairs that may be links. Buckets with the same
     members (same count, ends and two sums of hashes) are tested once.
     """
     seen = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")).where("n > 1")
-    once = saved(seen.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select(F.col("key").alias("k"), "n", "lo"))
-    rows = buckets.join(once.hint("merge"), buckets["key"] == once["k"]).select("key", "id", "n", "lo")
+    once = saved(seen.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "lo"))
+    rows = saved(with_facts(buckets.select("key", "id"), once, ["key"], "n", ["n", "lo"]).where("n is not null"))
     star = rows.where((F.col("n") > TESTED_BUCKET) & (F.col("id") > F.col("lo"))).select(F.col("id").alias("a"), F.col("lo").alias("b"))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in grouped(batches, ["key"]):
             ids = g["id"].to_numpy()
-            i, j = np.nonzero(np.triu(plausible(np.array([np.frombuffer(s, np.uint8) for s in g["sketch"]])), 1))
-            if len(i):
-                a, b = forest(ids[i], ids[j])
-                yield pd.DataFrame({"a": a, "b": b})
+            if len(ids) > 1:
+                s = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(ids), -1)
+                i, j = np.nonzero(np.triu(plausible(s), 1))
+                if len(i):
+                    a, b = forest(ids[i], ids[j])
+                    yield pd.DataFrame({"a": a, "b": b})
 
     small = rows.where(F.col("n") <= TESTED_BUCKET).select("key", "id")
     small = small.join(sketches.select(F.col("id").alias("of"), "sketch").hint("merge"), F.col("id") == F.col("of")).select("key", "id", "sketch")
-    tested = small.repartition("key").sortWithinPartitions("key", "id").mapInPandas(test, "a long, b long")
-    return components(star.union(tested))
-
-
-def blocks(members: DataFrame) -> DataFrame:
-    """Deals the rows of clusters (`root`, `id`, ...) to pairs of blocks: adds (i, j, side).
-
-    Side 0 is block i, side 1 block j; a pair of a block with itself has side 0 only. A cluster of n
-    members has ceil(n / BLOCK) blocks, so each member goes to that many pairs.
-    """
-    n = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")).withColumnRenamed("root", "of_root")
-    dealt = members.join(n.hint("merge"), members["root"] == F.col("of_root")).drop("of_root")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("n_blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", "n_blocks")
-
-
-def linked(dealt: DataFrame, links: Callable[[pd.DataFrame, pd.DataFrame | None], np.ndarray], schema_columns: list[str]) -> DataFrame:
-    """Runs the exact test on each pair of blocks: rows (id, n, a): n weighted links, or a forest edge id-a.
-
-    links(left, right) gives the boolean matrix of links; right is None for a block with itself,
-    and then the diagonal doesn't count. Rows need a `weight`, the vertices that an id stands for.
-    """
+    # a fixed number of tasks: bytes say little about the work here
+    tested = small.repartition(n_shuffled(buckets.sparkSession), "key").sortWithinPartitions("key", "id").mapInPandas(test, "a long, b long")
+    return components(star.union(tested).distinct())
+
+
+def _sides(rows: DataFrame, own: Column, others: Column) -> DataFrame:
+    """A row for each pair of its own block with another: (i, j, side), side 1 where its own is the greater."""
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other")
+
+
+def _block_of(n: Column) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(3)), n).cast("int")
+
+
+def linked(members: DataFrame, exact: Exact) -> DataFrame:
+    """Rows (id, n, a): n weighted links of id, or a forest edge id-a; members: (root, id, weight, exact.columns), saved."""
+    spark, columns = members.sparkSession, list(exact.columns)
+    sizes = saved(members.groupBy("root").agg(F.count("*").alias("n_members")))
+    m = with_facts(members.select("root", "id", "weight", *columns), sizes, ["root"], "n_members", ["n_members"])
+    little = m.where(F.col("n_members") <= BLOCK).drop("n_members").withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
+    if sizes.where(F.col("n_members") > BLOCK).isEmpty():
+        return _compared(little, exact)
+    big = saved(m.where(F.col("n_members") > BLOCK).withColumn("n_chunks", F.ceil(F.col("n_members") / BLOCK).cast("int")).withColumn("chunk", _block_of(F.col("n_chunks"))))
+    payload = ", ".join(f"{c} {t}" for c, t in exact.columns.items())
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in grouped(batches, ["root"]):
+            centre, like = exact.centre(g)
+            yield pd.DataFrame({"root": g["root"].iloc[:1].to_numpy(), "n_chunks": g["n_chunks"].iloc[:1].to_numpy(), "centre": [centre], **{c: [like.get(c)] for c in columns}})
+
+    # chunk 0 is a sample of about BLOCK members by hash; it only decides what has to be compared, not the result
+    first = big.where("chunk = 0").select("root", "id", "n_chunks", *columns).repartition(n_shuffled(spark), "root").sortWithinPartitions("root", "id")
+    centres = saved(first.mapInPandas(make, f"root long, n_chunks int, centre binary, {payload}"))
+    heads = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in grouped(batches, ["root", "chunk"]):
+            if len(g) > 1 and g["centre"].iat[0] is not None:
+                rest = g.iloc[1:]
+                yield pd.DataFrame({"of": rest["id"].to_numpy(), "core": exact.close(rest, g.iloc[0])})
+            else:  # a root whose chunk 0 is empty has no centre
+                rest = g[g["centre"].isna()]
+                yield pd.DataFrame({"of": rest["id"].to_numpy(), "core": np.zeros(len(rest), bool)})
+
+    both = heads.select("root", "chunk", F.lit(-1).cast("long").alias("id"), "centre", *columns).union(big.select("root", "chunk", "id", F.lit(None).cast("binary").alias("centre"), *columns))
+    held = both.repartition(n_shuffled(spark), "root", "chunk").sortWithinPartitions("root", "chunk", "id").mapInPandas(hold, "of long, core boolean")
+    big = saved(big.drop("n_chunks", "chunk").join(held.hint("merge"), F.col("id") == F.col("of")).drop("of"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    facts = big.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.when(F.col("core"), F.col("weight"))).alias("core_weight"), F.min(F.when(F.col("core"), F.col("id"))).alias("lead"), count(~F.col("core")).alias("n_shell"), count(F.col("core")).alias("n_core"))
+    facts = saved(facts)
+    told = with_facts(big, facts, ["root"], "n", ["core_weight", "lead", "n_shell", "n_core"])
+    inner = told.where("core")
+    counted = inner.select("id", (F.col("core_weight") - F.col("weight")).alias("n"), F.lit(None).cast("long").alias("a")).where("n > 0")
+    tied = inner.where("id <> lead").select("id", F.lit(0).cast("long").alias("n"), F.col("lead").alias("a"))
+    shells, cores = F.ceil(F.col("n_shell") / BLOCK).cast("int"), F.ceil(F.col("n_core") / BLOCK).cast("int")
+    keep = ["root", "id", "weight", *columns, "i", "j", "side"]
+    shell = _sides(told.where("not core"), _block_of(shells), F.sequence(F.lit(0), shells + cores - 1)).select(*keep)
+    core = _sides(told.where("core and n_shell > 0"), shells + _block_of(cores), F.sequence(F.lit(0), shells - 1)).select(*keep)
+    return _compared(little.select(*keep).union(shell).union(core), exact).union(counted).union(tied)
+
+
+def _compared(dealt: DataFrame, exact: Exact) -> DataFrame:
+    """The exact test on each pair of blocks: rows (id, n, a) as `linked` gives them. Blocks number (i, j) in their cluster."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in grouped(batches, ["root", "i", "j"]):
-            g = g.drop_duplicates(["side", "id"])
             left, right = g[g["side"] == 0], g[g["side"] == 1]
             own = g["i"].iat[0] == g["j"].iat[0]
             if left.empty or (right.empty and not own):
                 continue
-            m = links(left, None if own else right)
+            m = exact.links(left, None if own else right)
             if own:
                 np.fill_diagonal(m, False)
                 right = left
@@ -108,8 +172,8 @@ def linked(dealt: DataFrame, links: Callable[[pd.DataFrame, pd.DataFrame | None]
                 a, b = forest(la[x], ra[y])
                 yield pd.DataFrame({"id": a, "n": np.zeros(len(a), "int64"), "a": pd.array(b, dtype="Int64")})
 
-    ready = dealt.select("root", "i", "j", "side", "id", "weight", *schema_columns)
-    return ready.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "id").mapInPandas(run, "id long, n long, a long")
+    ready = dealt.select("root", "i", "j", "side", "id", "weight", *exact.columns)
+    return ready.repartition(n_shuffled(dealt.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "id").mapInPandas(run, "id long, n long, a long")
 
 
 def settled(found: DataFrame) -> DataFrame:
