@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionforge.llm.common import positions, saved
-from sessionforge.llm.linking import blocks, clusters, linked, settled
+from sessionforge.llm.common import positions, saved, with_facts
+from sessionforge.llm.linking import Exact, clusters, linked, settled
 
 WORDS, THRESHOLD = 5, 0.8
 #: 32 bands of 4 values: a pair at 0.8 shares no band once in 2e7.
@@ -181,6 +181,42 @@ def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["doc_id", "th", "size", "fx", "fy", "sketch", "bands"])
 
 
+def comparisons(threshold: float = THRESHOLD) -> Exact:
+    known = WordHashes()
+
+    def sets(rows: pd.DataFrame) -> list[np.ndarray]:
+        return [shingles(t, known) for t in rows["text"]]
+
+    def links(left: pd.DataFrame, right: pd.DataFrame | None) -> np.ndarray:
+        right = left if right is None else right
+        ls, rs = (np.frombuffer(b"".join(side["sketch"]), np.uint8).reshape(len(side), -1) for side in (left, right))
+        out = survivors(ls, rs)
+        x, y = np.flatnonzero(out.any(axis=1)), np.flatnonzero(out.any(axis=0))
+        if not len(x):
+            return out
+        lsets, rsets = sets(left.iloc[x]), sets(right.iloc[y])
+        both = overlaps(lsets, rsets)
+        sizes = np.array([len(s) for s in lsets])[:, None] + np.array([len(s) for s in rsets])[None, :]
+        out[np.ix_(x, y)] &= both >= threshold * (sizes - both) - 1e-9
+        return out
+
+    def centre(rows: pd.DataFrame) -> tuple[bytes, dict]:
+        """The runs that at least half of the texts have, or else those of the first text."""
+        all_sets = sets(rows)
+        runs, n = np.unique(np.concatenate(all_sets), return_counts=True)
+        most = runs[2 * n >= len(all_sets)]
+        return (most if len(most) else all_sets[0]).tobytes(), {}
+
+    def close(rows: pd.DataFrame, head: pd.Series) -> np.ndarray:
+        c, out = np.frombuffer(head["centre"], "uint64"), []
+        for s in sets(rows):
+            both = len(np.intersect1d(s, c, assume_unique=True))
+            out.append(both >= (1 + threshold) / 2 * (len(s) + len(c) - both))
+        return np.array(out, bool)
+
+    return Exact({"sketch": "binary", "text": "string"}, links, centre, close)
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links, copy_of, kept) of every row of docs (doc_id, text).
 
@@ -201,42 +237,25 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", text_hash())
     texts = rows.where("doc_id is not null and text is not null")
     sketches = saved(texts.mapInPandas(sketch, "doc_id long, th long, size int, fx long, fy long, sketch binary, bands array<long>"))
-    per_set = sketches.groupBy("fx", "fy", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    per_set = saved(positions(saved(per_set), [], ["rep", "fx", "fy", "size"], name="id"))
     # the vertex is the set; its text is one that the smallest doc_id with this set has
-    first = sketches.join(per_set.select(F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("size").alias("z"), "id", "rep", "weight").hint("merge"), (F.col("fx") == F.col("x")) & (F.col("fy") == F.col("y")) & (F.col("size") == F.col("z")))
-    heads = first.where("doc_id = rep").groupBy("id").agg(F.min_by(F.struct("fx", "fy", "size", "rep", "weight", "sketch", "bands", "th"), "th").alias("s"))
-    heads = saved(heads.select("id", "s.*"))
+    keys, at = ["fx", "fy", "size"], F.struct("doc_id", "th")
+    per_set = sketches.groupBy(*keys).agg(F.min(at).alias("at"), F.count("*").alias("weight"), F.min_by(F.struct("sketch", "bands"), at).alias("s"))
+    per_set = per_set.select(*keys, "weight", F.col("at.doc_id").alias("rep"), F.col("at.th").alias("th"), "s.*")
+    heads = saved(positions(per_set, [], ["rep", *keys], name="id"))
     buckets = heads.select(F.explode("bands").alias("key"), "id")
     groups = clusters(buckets, heads.select("id", "sketch"), lambda s: survivors(s, s, upper=True))
     members = heads.join(groups.hint("merge"), heads["id"] == groups["v"]).select("root", "id", "rep", "weight", "sketch", "th")
-    members = blocks(members)
-    ready = members.join(texts.select(F.col("doc_id").alias("of"), F.col("th").alias("h"), "text").hint("merge"), (members["rep"] == F.col("of")) & (members["th"] == F.col("h"))).drop("of", "h")
-
-    known = WordHashes()
-
-    def links(left: pd.DataFrame, right: pd.DataFrame | None) -> np.ndarray:
-        right = left if right is None else right
-        ls, rs = (np.array([np.frombuffer(x, np.uint8) for x in side["sketch"]]) for side in (left, right))
-        out = survivors(ls, rs)
-        x, y = np.flatnonzero(out.any(axis=1)), np.flatnonzero(out.any(axis=0))
-        if not len(x):
-            return out
-        lsets = [shingles(t, known) for t in left["text"].iloc[x]]
-        rsets = [shingles(t, known) for t in right["text"].iloc[y]]
-        both = overlaps(lsets, rsets)
-        sizes = np.array([len(s) for s in lsets])[:, None] + np.array([len(s) for s in rsets])[None, :]
-        near = both >= THRESHOLD * (sizes - both) - 1e-9
-        out[np.ix_(x, y)] &= near
-        return out
-
-    found = settled(linked(ready, links, ["sketch", "text"]))
+    own = texts.select(F.col("doc_id").alias("of"), F.col("th").alias("h"), "text")
+    # only texts of clusters travel; a repeated row gives its vertex twice
+    members = saved(members.join(own.hint("merge"), (members["rep"] == F.col("of")) & (members["th"] == F.col("h"))).drop("of", "h", "rep", "th").dropDuplicates(["id"]))
+    found = settled(linked(members, comparisons()))
     # a class is named by the doc_id of its first vertex, the smallest of all its rows
-    found = found.join(per_set.select(F.col("id").alias("rid"), F.col("rep").alias("class_id")).hint("merge"), F.col("root") == F.col("rid")).select(F.col("id").alias("fid"), "n_links", "root", "class_id")
+    found = found.join(heads.select(F.col("id").alias("rid"), F.col("rep").alias("class_id")).hint("merge"), F.col("root") == F.col("rid")).select(F.col("id").alias("fid"), "n_links", "root", "class_id")
     per = heads.select("id", "fx", "fy", "size", "rep", "weight", "th").join(found.hint("merge"), F.col("id") == F.col("fid"), "left")
     stays = F.when(F.coalesce("root", "id") == F.col("id"), F.col("th")).alias("stays")
-    per = per.select(F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("size").alias("z"), "rep", stays, (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
-    of = sketches.select("doc_id", "th", "fx", "fy", "size").join(per.hint("merge"), (F.col("fx") == F.col("x")) & (F.col("fy") == F.col("y")) & (F.col("size") == F.col("z")))
+    per = per.select(*keys, "weight", "rep", stays, (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
+    per = saved(per)
+    of = with_facts(sketches.select("doc_id", "th", *keys), per, keys, "weight", ["rep", "stays", "n_links", "class_id"])
     of = of.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("h")).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.min("rep").alias("rep"), F.min("stays").alias("stays"))
     out = rows.select("doc_id", "th").join(of.hint("merge"), (F.col("doc_id") == F.col("of")) & (F.col("th") == F.col("h")), "left")
     kept = F.col("of").isNull() | ((F.col("doc_id") == F.col("class_id")) & F.coalesce(F.col("th") == F.col("stays"), F.lit(False)))
