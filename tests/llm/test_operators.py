@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionforge.llm import bin_slack, jaccard, mixing, ngram_bayes, repeated_lines, rule_ensemble
-from sessionforge.llm.binary_codes import estimate, near_duplicate_vectors, rotations
+from sessionforge.llm.binary_codes import estimate, rotations
 from sessionforge.llm.common import components, n_words, positions
 from sessionforge.llm.host_reputation import judge_urls
 from sessionforge.llm.kd_shards import kd_shards
-from sessionforge.llm.posting_lists import nearest
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,30 +68,6 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(np.mean(got) - a @ b) < 0.02
 
 
-def test_vectors_against_brute_force(spark):
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((60, 16))
-    near = x[:20] + 0.2 * rng.standard_normal((20, 16))
-    v = np.concatenate([x, near, x[:3]])
-    rows = [(i, [float(c) for c in e], i % 2) for i, e in enumerate(v)]
-    rows += [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, [None] * 16, 0), (204, rows[0][1], None), (205, [1.0, 2.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r for r in near_duplicate_vectors(df).collect()}
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    links = (u @ u.T >= 0.93) & (np.arange(len(v))[:, None] % 2 == np.arange(len(v))[None, :] % 2)
-    np.fill_diagonal(links, False)
-    assert [got[i]["n_links"] for i in range(len(v))] == links.sum(1).tolist() and links.sum() > 10
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(200, 206))
-    found = nearest(df).collect()
-    for q in range(0, len(v), 20):
-        s = v @ v[q]
-        best = sorted((-s[i], i) for i in range(len(v)) if i != q)[:20]
-        mine = {r["vec_id"] for r in found if r["query_id"] == q}
-        assert len(mine) == 20 and len(mine & {i for _, i in best}) >= 18
-    empty = df.where("vec_id < 0")
-    assert near_duplicate_vectors(empty).count() == 0 and nearest(empty).count() == 0
-
-
 def test_urls(spark):
     rows = [(1, "https://X.Example.NET/en/5"), (2, "http://a.net/q"), (3, "http://b.example.com/de/1?x"), (4, "ftp://fr.org/fr/2"), (5, None), (6, "no scheme"), (7, "http://ok.com/en/3#a"), (7, "http://ok.com/en/3#a"), (8, "http://net")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
