@@ -8,15 +8,16 @@ fullest combination that holds the longest piece left. That combination is then
 pieces last, which is what the next searches would find again: so there are no more combinations than
 lengths. Pieces are numbered within their length and joined to the combinations' ranges of numbers.
 
-A null or empty text is the id 0 alone. Rows with one doc_id and the same text are packed each, with the
+A null or empty text is the id 0 alone; a text of any length is encoded whole. Rows with one doc_id and the same text are packed each, with the
 same piece numbers. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
+import itertools
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,17 +28,18 @@ from pyspark.sql import types as T
 from sessionforge.llm.common import positions, saved
 
 CAPACITY, END = 2048, 0
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Texts that are encoded in one call.
+AT_ONCE = 64
+VOCABULARY = "byte_bpe_50k.json"
 
 
-def encoder(vocabulary: str = VOCABULARY):
-    """The byte-level BPE with the ranks of a public vocabulary file; strings of special tokens are ordinary text."""
+def encoder(vocabulary: str = VOCABULARY) -> Callable[[list[str]], list[list[int]]]:
+    """The ids of texts by a public tokenizer file as it is, without special tokens added; their strings in a text are those tokens."""
     import public_tokenizers
-    import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(public_tokenizers.path(vocabulary), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def pieces_of(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -48,15 +50,17 @@ def pieces_of(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def tokenized(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) and, if asked for, the ids of each piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        encode = encoder(vocabulary)
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.append(np.asarray(enc.encode_to_numpy(text or "", disallowed_special=()), "<u4"), np.uint32(END)).astype("<u4")
+            texts = (t or "" for t in pdf["text"])
+            for doc_id, found in zip(pdf["doc_id"], itertools.chain.from_iterable(map(encode, itertools.batched(texts, AT_ONCE))), strict=True):
+                ids = np.array([*found, END], "<u4")
                 for piece, (start, length) in enumerate(pieces_of(len(ids), capacity)):
                     part = ids[start : start + length]
                     out.append((doc_id, piece, start, length, zlib.crc32(part.tobytes()), *([part.astype("int32")] if with_ids else [])))
@@ -123,10 +127,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), and the ids if asked for, of every piece of docs (doc_id, text)."""
     spark = docs.sparkSession
-    pieces = saved(tokenized(docs, capacity, with_ids))
+    pieces = saved(tokenized(docs, capacity, with_ids, vocabulary))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("of", "lo", "sequence", "offset")])
     ranges = spark.createDataFrame(plan(counts, capacity), schema)

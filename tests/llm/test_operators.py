@@ -166,12 +166,13 @@ def test_posterior_pruning_keeps_pairs_at_the_threshold():
     assert np.diag(jaccard.survivors(left, right)).all() and jaccard.survivors(left, right).sum() == 50
 
 
-def test_packing(spark, docs):
+def test_packing(docs):
     from tokenizers import Tokenizer
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    more = [(900, "a<|endoftext|> b"), (901, "<|endoftext|>"), (902, text(np.random.default_rng(30), 30_000)), (903, "x" * 5000), (902, None)]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True).withColumn("length", F.lit("clash"))
     rows = bin_slack.pack(docs).collect()
     used = {}
     for r in rows:
@@ -196,10 +197,12 @@ def test_tokens_are_those_of_the_tokenizer_file():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t, enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bin_slack.encoder()
-    t.encode_special_tokens = True
-    cases = ["a  b\n\n c", "<|endoftext|>", "é中文 \U0001f600‍!", "it's  'LL 12٣", "  x　", "x" * 3000, "\r\n\t \x0b"]
-    assert [t.encode(c, add_special_tokens=False).ids for c in cases] == [enc.encode(c, disallowed_special=()) for c in cases]
+    t, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bin_slack.encoder()
+    rng = np.random.default_rng(31)
+    cases = ["a  b\n\n c", "<|endoftext|> a", "a<|endoftext|><|endoftext|>", "<|endoftext", "é中文 \U0001f600‍!", "it's  'LL 12٣", "  x　", "x" * 3000, "\r\n\t \x0b", ""]
+    cases += ["".join(chr(c) for c in rng.integers(1, 0xD7FF, 60)) for _ in range(300)] + ["".join(rng.choice(list(" \n\tab'sé1<|>"), 40)) for _ in range(300)]
+    assert [t.encode(c, add_special_tokens=False).ids for c in cases] == [list(i) for i in encode(cases)]
+    assert list(encode(["<|endoftext|> a"])[0]) == [50256, 257]
 
 
 def test_fullest_combination_is_the_best():
