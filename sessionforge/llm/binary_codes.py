@@ -1,9 +1,10 @@
 """Embedding near-duplicates by randomised-rotation binary codes with stored correction factors.
 
-A vector is rotated at random and kept as the signs of its coordinates (one bit each) and as one
-factor, the inner product of the rotated vector with its own sign vector; both are stored beside the
-vector once. The sign vector times a rotated query over the factor is an unbiased estimate of the inner
-product, and the factor also gives the width of its confidence bound.
+A vector is rotated at random and kept as the signs of its coordinates, one bit each; short vectors are
+rotated several times, up to BITS bits. With the code two factors are stored: the mean inner product of
+the rotated vector with its own sign vector, and the width of the error that follows from it. The sign
+vector times a rotated query over the first factor is an unbiased estimate of the inner product, and
+the second one times the SPREAD is its confidence bound.
 
 1. Buckets: further random rotations name a vector by its greatest coordinate and that one's sign; a
    few such names are a bucket key. A pair right at the threshold misses all buckets with a chance of
@@ -37,6 +38,8 @@ from sessionforge.llm.linking import Exact, clusters, linked, settled
 
 #: Chance that a pair right at the threshold shares no bucket, and that its codes differ in too many bits.
 MISS = 1e-5
+#: Bits of a code at least; more if vectors are longer.
+BITS = 256
 #: Width of the bound on an estimate, in standard deviations of a coordinate of a random unit vector.
 SPREAD = 5.0
 
@@ -80,12 +83,13 @@ def tables_for(dim: int, threshold: float, n: int) -> tuple[list[int], int]:
 
 def most_differing(dim: int, threshold: float) -> int:
     """Bits in which codes of a pair at the threshold differ at most, but for a chance of MISS."""
-    p, left = math.acos(threshold) / math.pi, 1.0
-    for k in range(dim + 1):
-        left -= math.comb(dim, k) * p**k * (1 - p) ** (dim - k)
+    p, left, bits = math.acos(threshold) / math.pi, 1.0, dim * math.ceil(BITS / dim)
+    for k in range(bits + 1):
+        left -= math.exp(math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log1p(-p))
         if left < MISS:
-            return k
-    return dim
+            # bits of rotations of so short a vector aren't independent: let all pass
+            return k if dim >= 8 else bits
+    return bits
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -94,32 +98,35 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed signs and factors of unit vectors."""
+def turned(x: np.ndarray) -> np.ndarray:
+    """Unit vectors under all rotations of the code, one behind the other."""
     dim = x.shape[1]
-    turned = x @ rotations(dim, 1)[0].T.astype("float64")
-    return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(dim)
+    return x @ rotations(dim, math.ceil(BITS / dim)).reshape(-1, dim).T.astype(x.dtype)
 
 
-def estimate(codes: np.ndarray, factor: np.ndarray, query: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of coded unit vectors (rows of +-1) and rotated unit queries (columns), and error bounds.
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed signs, factors and widths of unit vectors."""
+    dim, y = x.shape[1], turned(x)
+    f = np.abs(y).reshape(len(x), -1, dim).sum(axis=2) / math.sqrt(dim)
+    return np.packbits(y >= 0, axis=1), f.mean(axis=1), np.sqrt(np.maximum(0, 1 - f**2).sum(axis=1)) / f.sum(axis=1)
 
-    The error is sqrt(1-f^2)/f * sqrt(1-s^2) * t, where s is the true value and t, a coordinate of a
-    random unit vector of dim-1, stays below spread / sqrt(dim-1) but for a chance that spread tells.
-    The bound is given for s = 0, the worst case; callers scale it to the s they ask about.
+
+def estimate(signs: np.ndarray, factor: np.ndarray, width: np.ndarray, query: np.ndarray, dim: int, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of coded unit vectors (rows of +-1) and turned unit queries (columns), and error bounds.
+
+    With f the factor of a rotation, the error of its part is sqrt(1-f^2) * sqrt(1-s^2) * t, where s is
+    the true value and t a coordinate of a random unit vector of dim-1; the parts' errors add up like
+    independent ones. The bound is given for s = 0, the worst case; callers scale it to the s they ask about.
     """
-    dim = query.shape[1]
-    est = (codes @ query.T) / (math.sqrt(dim) * factor[:, None])
-    t = min(1.0, spread / math.sqrt(max(1, dim - 1)))
-    bound = np.sqrt(np.maximum(0, 1 - factor**2)) / factor * t
-    return est, np.broadcast_to(bound[:, None], est.shape)
+    est = (signs @ query.T) * (math.sqrt(dim) / query.shape[1] / factor[:, None])
+    return est, np.broadcast_to((width * spread / math.sqrt(max(1, dim - 1)))[:, None], est.shape)
 
 
-def near_pairs(left: np.ndarray, codes: np.ndarray, factor: np.ndarray, right: np.ndarray, threshold: float, spread: float = SPREAD) -> np.ndarray:
+def near_pairs(left: np.ndarray, codes: np.ndarray, factor: np.ndarray, width: np.ndarray, right: np.ndarray, threshold: float, spread: float = SPREAD) -> np.ndarray:
     """Boolean matrix of pairs of unit vectors with cosine >= threshold; left has stored codes (packed) and factors."""
-    dim = left.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype("float32") * 2 - 1
-    est, wide = estimate(signs, factor, (right @ rotations(dim, 1)[0].T).astype("float32"), spread)
+    query = turned(right.astype("float32"))
+    signs = np.unpackbits(codes, axis=1, count=query.shape[1]).astype("float32") * 2 - 1
+    est, wide = estimate(signs, factor, width, query, left.shape[1], spread)
     # at a true value of at least the threshold the error is at most wide * sqrt(1 - threshold^2)
     i, j = np.nonzero(est + wide * math.sqrt(max(0.0, 1 - threshold**2)) + 1e-5 >= threshold)
     out = np.zeros(est.shape, bool)
@@ -169,12 +176,12 @@ def stored(threshold: float, most: dict[int, int]):
                 for a in range(0, of_dim.num_rows, 2000):
                     b = of_dim.slice(a, 2000)
                     x = unit(vectors_of(b.column("embedding")))
-                    codes, factor = coded(x)
+                    codes, factor, width = coded(x)
                     keys = names(x.astype("float32"), dim)
                     yield pa.RecordBatch.from_pydict(
                         {
                             "id": b.column("id"), "label": b.column("label"), "weight": b.column("weight"), "dim": b.column("dim"),
-                            "vector": pa.array([v.tobytes() for v in x], pa.binary()), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "factor": pa.array(factor),
+                            "vector": pa.array([v.tobytes() for v in x], pa.binary()), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "factor": pa.array(factor), "width": pa.array(width),
                             "names": pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel())),
                         }
                     )
@@ -183,9 +190,9 @@ def stored(threshold: float, most: dict[int, int]):
 
 
 def comparisons(threshold: float) -> Exact:
-    def parts(rows: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def parts(rows: pd.DataFrame, dim: int) -> tuple[np.ndarray, ...]:
         x = np.frombuffer(b"".join(rows["vector"]), "float64").reshape(len(rows), dim)
-        return x, np.frombuffer(b"".join(rows["code"]), "uint8").reshape(len(rows), -1), rows["factor"].to_numpy()
+        return x, np.frombuffer(b"".join(rows["code"]), "uint8").reshape(len(rows), -1), rows["factor"].to_numpy(), rows["width"].to_numpy()
 
     def links(left: pd.DataFrame, right: pd.DataFrame | None) -> np.ndarray:
         right = left if right is None else right
@@ -193,13 +200,12 @@ def comparisons(threshold: float) -> Exact:
         lk, rk = (list(zip(s["dim"], s["label"], strict=True)) for s in (left, right))
         for dim, label in sorted(set(lk) & set(rk)):
             x, y = (np.array([i for i, k in enumerate(s) if k == (dim, label)]) for s in (lk, rk))
-            v, codes, factor = parts(left.iloc[x], dim)
-            out[np.ix_(x, y)] = near_pairs(v, codes, factor, parts(right.iloc[y], dim)[0], threshold)
+            out[np.ix_(x, y)] = near_pairs(*parts(left.iloc[x], dim), parts(right.iloc[y], dim)[0], threshold)
         return out
 
     def centre(rows: pd.DataFrame) -> tuple[bytes, dict]:
         dim, label = rows["dim"].iat[0], rows["label"].iat[0]
-        x, _, _ = parts(rows[(rows["dim"] == dim) & (rows["label"] == label)], dim)
+        x = parts(rows[(rows["dim"] == dim) & (rows["label"] == label)], dim)[0]
         mean = x.mean(axis=0)
         return (mean if np.abs(mean).max() > 1e-9 else x[0]).tobytes(), {"dim": dim, "label": label}
 
@@ -211,7 +217,7 @@ def comparisons(threshold: float) -> Exact:
             out[out] = parts(rows[out], head["dim"])[0] @ c >= half
         return out
 
-    return Exact({"label": "string", "dim": "int", "vector": "binary", "code": "binary", "factor": "double"}, links, centre, close)
+    return Exact({"label": "string", "dim": "int", "vector": "binary", "code": "binary", "factor": "double", "width": "double"}, links, centre, close)
 
 
 def near_duplicate_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -223,15 +229,16 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     vertices = positions(copies.withColumn("dim", F.size("embedding")), [], ["rep", "vkey"], name="id")
     groups = vertices.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()  # a row a length
     run = stored(threshold, {r["dim"]: r["n"] for r in groups})
-    kept = saved(vertices.select("id", "label", "weight", "dim", "embedding").mapInArrow(run, "id long, label string, weight long, dim int, vector binary, code binary, factor double, names array<long>"))
+    kept = saved(vertices.select("id", "label", "weight", "dim", "embedding").mapInArrow(run, "id long, label string, weight long, dim int, vector binary, code binary, factor double, width double, names array<long>"))
     buckets = saved(kept.select("id", "label", "dim", F.posexplode("names").alias("t", "name")).select(F.xxhash64("label", "dim", "t", "name").alias("key"), "id"))
     limits = {r["dim"]: most_differing(r["dim"], threshold) for r in groups}
 
-    def plausible(s: np.ndarray) -> np.ndarray:
-        dim = int(s[0, :4].copy().view("<i4")[0])
-        bits = np.unpackbits(s[:, 4:], axis=1, count=dim).astype("float32")
-        same = bits @ bits.T + (1 - bits) @ (1 - bits).T
-        return dim - same <= limits[dim]
+    def plausible(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        dims = np.ascontiguousarray(s[i, :4]).view("<i4")[:, 0]
+        most = np.zeros(len(i), int)
+        for dim in np.unique(dims).tolist():
+            most[dims == dim] = limits[dim]
+        return np.bitwise_count(s[i, 4:] ^ s[j, 4:]).sum(axis=1) <= most
 
     # the sketch is the length, in four bytes, and the code; all of a bucket are equally long
     length = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("dim", 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +14,38 @@ from pyspark.sql.window import Window as W
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder `spark.checkpoint.dir` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, that `spark.checkpoint.dir` names.
 
     Where a session on one machine names none, as in tests, a temporary folder is set; on a cluster
     that would lie on one machine, so it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         at = spark.conf.get("spark.checkpoint.dir", None)
         if not at and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder.
+
+    A checkpoint would hand on what is known of its columns' values to the next plan, which in a loop
+    of joins doubles from round to round.
+    """
+    at = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def n_shuffled(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -128,13 +145,13 @@ def components(edges: DataFrame) -> DataFrame:
     changes. Nothing but whether one did reaches the driver. A root with many members is one key of a
     sort-merge join whose other side has one row of it: adaptive skew joins cut it at its size.
     """
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = saved(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
+    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
+    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
     while True:
         near = both.join(labels.hint("merge"), both["b"] == labels["v"]).groupBy("a").agg(F.min("root").alias("m"))
         step = labels.join(near.hint("merge"), labels["v"] == near["a"]).select("v", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         up = step.select(F.col("v").alias("u"), F.col("root").alias("up"))
-        step = saved(step.join(up.hint("merge"), step["root"] == up["u"], "left").select("v", "was", F.least("root", F.coalesce("up", "root")).alias("root")))
+        step = written(step.join(up.hint("merge"), step["root"] == up["u"], "left").select("v", "was", F.least("root", F.coalesce("up", "root")).alias("root")))
         labels = step.select("v", "root")
         if step.where("root <> was").isEmpty():
             return labels

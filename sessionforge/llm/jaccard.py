@@ -111,23 +111,31 @@ def least_matches(seen: int, threshold: float = THRESHOLD, tolerance: float = TO
 LEAST = {k: least_matches(k) for k in range(STEP, HASHES + 1, STEP)}
 
 
-def survivors(left: np.ndarray, right: np.ndarray, upper: bool = False) -> np.ndarray:
-    """Matrix of the pairs whose posterior never fell below the tolerance; rows of last bytes of MinHash values."""
+def plausible(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (last bytes of MinHash values) have a posterior that never fell below the tolerance."""
+    at, agreed = np.arange(len(i)), np.zeros(len(i), "int32")
+    for k in range(0, HASHES, STEP):
+        agreed = agreed + (s[i[at], k : k + STEP] == s[j[at], k : k + STEP]).sum(axis=1)
+        keep = agreed >= LEAST[k + STEP]
+        at, agreed = at[keep], agreed[keep]
+        if not len(at):
+            break
+    out = np.zeros(len(i), bool)
+    out[at] = True
+    return out
+
+
+def survivors(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Matrix of the plausible pairs of all rows of left with all of right."""
     agreed = np.zeros((len(left), len(right)), "int32")
-    for k in range(0, STEP, 1):
+    for k in range(STEP):
         agreed += left[:, k, None] == right[None, :, k]
     i, j = np.nonzero(agreed >= LEAST[STEP])
-    if upper:
-        i, j = i[i < j], j[i < j]
-    m = agreed[i, j]
-    for k in range(STEP, HASHES, STEP):
-        if not len(i):
-            break
-        m = m + np.concatenate([(left[i[c : c + 100_000], k : k + STEP] == right[j[c : c + 100_000], k : k + STEP]).sum(axis=1) for c in range(0, len(i), 100_000)])
-        keep = m >= LEAST[k + STEP]
-        i, j, m = i[keep], j[keep], m[keep]
+    both = np.concatenate([left, right])
     out = np.zeros(agreed.shape, bool)
-    out[i, j] = True
+    for c in range(0, len(i), 100_000):
+        x, y = i[c : c + 100_000], j[c : c + 100_000]
+        out[x, y] = plausible(both, x, len(left) + y)
     return out
 
 
@@ -242,8 +250,8 @@ def judged(docs: DataFrame) -> DataFrame:
     per_set = sketches.groupBy(*keys).agg(F.min(at).alias("at"), F.count("*").alias("weight"), F.min_by(F.struct("sketch", "bands"), at).alias("s"))
     per_set = per_set.select(*keys, "weight", F.col("at.doc_id").alias("rep"), F.col("at.th").alias("th"), "s.*")
     heads = saved(positions(per_set, [], ["rep", *keys], name="id"))
-    buckets = heads.select(F.explode("bands").alias("key"), "id")
-    groups = clusters(buckets, heads.select("id", "sketch"), lambda s: survivors(s, s, upper=True))
+    buckets = saved(heads.select(F.explode("bands").alias("key"), "id"))
+    groups = clusters(buckets, heads.select("id", "sketch"), plausible)
     members = heads.join(groups.hint("merge"), heads["id"] == groups["v"]).select("root", "id", "rep", "weight", "sketch", "th")
     own = texts.select(F.col("doc_id").alias("of"), F.col("th").alias("h"), "text")
     # only texts of clusters travel; a repeated row gives its vertex twice

@@ -64,12 +64,36 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield held[0]
 
 
-def clusters(buckets: DataFrame, sketches: DataFrame, plausible: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Batches of a stream that is sorted by `key`, cut anew so that no group goes on over several; groups must be small."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        if batch.empty:
+            continue
+        start = int(np.searchsorted(batch[key].to_numpy(), batch[key].iat[-1]))
+        if start:
+            yield batch.iloc[:start]
+        held = batch.iloc[start:]
+    if held is not None and len(held):
+        yield held
+
+
+def matrix(sketches: pd.Series) -> np.ndarray:
+    """Sketches as rows of bytes; shorter ones are filled up with zeros."""
+    if sketches.map(len).nunique() > 1:
+        width = int(sketches.map(len).max())
+        sketches = sketches.map(lambda s: s.ljust(width, b"\0"))
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+
+
+def clusters(buckets: DataFrame, sketches: DataFrame, plausible: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(v, root): clusters that hold every pair that shares a bucket and is plausible.
 
-    buckets: (key, id), saved; sketches: (id, sketch binary), saved. plausible takes the sketches of a
-    bucket as rows of bytes and returns the matrix of pairs that may be links. Buckets with the same
-    members (same count, ends and two sums of hashes) are tested once.
+    buckets: (key, id), saved; sketches: (id, sketch binary), saved. plausible(s, i, j) takes sketches as
+    rows of bytes and says which of the pairs of rows i and j may be links; sketches of a bucket are
+    equally long. Buckets with the same members (same count, ends and two sums of hashes) are tested once.
     """
     seen = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")).where("n > 1")
     once = saved(seen.groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "lo"))
@@ -77,11 +101,20 @@ def clusters(buckets: DataFrame, sketches: DataFrame, plausible: Callable[[np.nd
     star = rows.where((F.col("n") > TESTED_BUCKET) & (F.col("id") > F.col("lo"))).select(F.col("id").alias("a"), F.col("lo").alias("b"))
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in grouped(batches, ["key"]):
-            ids = g["id"].to_numpy()
-            if len(ids) > 1:
-                s = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(ids), -1)
-                i, j = np.nonzero(np.triu(plausible(s), 1))
+        """All pairs of all buckets of a batch at once: row i with row i + d, for each d while some bucket goes on as far."""
+        for g in whole_groups(batches, "key"):
+            key, ids, s = g["key"].to_numpy(), g["id"].to_numpy(), matrix(g["sketch"])
+            found = []
+            for d in range(1, TESTED_BUCKET):
+                i = np.flatnonzero(key[d:] == key[:-d])
+                if not len(i):
+                    break
+                for c in range(0, len(i), 100_000):
+                    x = i[c : c + 100_000]
+                    x = x[plausible(s, x, x + d)]
+                    found.append((x, x + d))
+            if found:
+                i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 if len(i):
                     a, b = forest(ids[i], ids[j])
                     yield pd.DataFrame({"a": a, "b": b})

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sessionforge.llm.common import n_words, positions, saved
+from sessionforge.llm.common import n_words, positions, saved, with_facts
 
 MIN_WORDS = 50
 
@@ -46,8 +46,8 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
     lines = saved(line_rows(docs))
     heads = saved(lines.groupBy("doc_id", "th").agg((F.max("line") + 2).cast("long").alias("room")))
     starts = positions(heads, [], ["doc_id", "th"], weight="room", name="start")
-    often = lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select(F.col("x").alias("ox"), F.col("y").alias("oy"))
-    again = lines.join(often.hint("merge"), (F.col("x") == F.col("ox")) & (F.col("y") == F.col("oy"))).drop("ox", "oy")
+    often = saved(lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1"))
+    again = with_facts(lines, often, ["x", "y"], "n", ["n"]).where("n is not null").drop("n")
     s = starts.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("start").alias("doc"))
     again = again.join(s.hint("merge"), again["doc_id"].eqNullSafe(F.col("d")) & (again["th"] == F.col("t"))).drop("d", "t")
     # a repeated row gives the same positions again; one of each stays
@@ -70,11 +70,10 @@ def least_windows(rows: DataFrame, min_words: int) -> DataFrame:
         asks = F.col("asks") == int(first)
         line = F.when(~asks, F.col("at"))
         w = W.partitionBy("doc", "seg")
-        # the first line at or beyond the wish stands behind it, the last line at or below stands ahead of it
-        if first:
-            got = F.first(line, ignorenulls=True).over(w.orderBy("value", F.desc("asks"), "at").rowsBetween(W.currentRow, W.unboundedFollowing))
-        else:
-            got = F.last(line, ignorenulls=True).over(w.orderBy("value", F.col("asks") == 0, "at").rowsBetween(W.unboundedPreceding, W.currentRow))
+        # the first line at or beyond the wish stands behind it, the last line at or below stands ahead of it;
+        # both frames start at the partition's end, as only those run in one pass
+        order = (F.desc("value"), F.col("asks"), F.desc("at")) if first else (F.col("value"), F.col("asks"), F.col("at"))
+        got = F.last(line, ignorenulls=True).over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
         return both.withColumn("got", got).where(asks & F.col("got").isNotNull()).select("at", "got")
 
     on = asked(F.col("upto"), before + min_words, True).select(F.col("at").alias("lo"), F.col("got").alias("hi"))
@@ -84,9 +83,8 @@ def least_windows(rows: DataFrame, min_words: int) -> DataFrame:
 
 def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(doc, pos, name) of the rows whose keys occur more than once; the name is their first position."""
-    first = rows.groupBy(*keys).agg(F.min("pos").alias("_first"), F.count("*").alias("n")).where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return rows.select("doc", "pos", *keys).join(first.hint("merge"), on[0] & on[1]).select("doc", "pos", F.col("_first").alias("name"))
+    first = saved(rows.groupBy(*keys).agg(F.min("pos").alias("name"), F.count("*").alias("n")).where("n > 1"))
+    return with_facts(rows.select("doc", "pos", *keys), first, keys, "n", ["name"]).where("name is not null").select("doc", "pos", "name")
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -99,8 +97,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     levels = level.select(F.lit(0).alias("lk"), "pos", "name")
     for k in range(deepest):
         half = 2**k
-        following = F.first("name").over(W.partitionBy("doc").orderBy("pos").rangeBetween(half, half))
-        level = saved(named(level.withColumn("next", following).where("next is not null"), ["name", "next"]))
+        pairs = level.withColumnRenamed("name", "head").withColumn("next", F.first("head").over(W.partitionBy("doc").orderBy("pos").rangeBetween(half, half)))
+        level = saved(named(pairs.where("next is not null"), ["head", "next"]))
         levels = levels.union(level.select(F.lit(k + 1).alias("lk"), "pos", "name"))
     head = levels.select("lk", F.col("pos").alias("p"), F.col("name").alias("head"))
     tail = levels.select(F.col("lk").alias("tk"), F.col("pos").alias("q"), F.col("name").alias("tail"))
@@ -109,8 +107,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named_windows = named_windows.withColumn("at", end)
     named_windows = named_windows.join(tail.hint("merge"), (F.col("k") == F.col("tk")) & (F.col("at") == F.col("q"))).select("lo", "hi", size.alias("m"), "head", "tail")
     named_windows = saved(named_windows)
-    firsts = named_windows.groupBy("m", "head", "tail").agg(F.min("lo").alias("first")).select(F.col("m").alias("fm"), F.col("head").alias("fh"), F.col("tail").alias("ft"), "first")
-    later = named_windows.join(firsts.hint("merge"), (F.col("m") == F.col("fm")) & (F.col("head") == F.col("fh")) & (F.col("tail") == F.col("ft"))).where("first < lo")
+    firsts = saved(named_windows.groupBy("m", "head", "tail").agg(F.min("lo").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    later = with_facts(named_windows, firsts, ["m", "head", "tail"], "n", ["first"]).where("first < lo")
     later = later.groupBy(F.col("lo").alias("from")).agg(F.max("hi").alias("upto_line"))
     lines = base.select("doc_id", "th", "doc", "pos", "line").join(later.hint("merge"), F.col("pos") == F.col("from"), "left")
     reach = F.max("upto_line").over(W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -129,7 +127,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, s
     out = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
     removed = F.coalesce("_removed", F.array().cast("array<int>"))
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda v, i: F.when(~F.array_contains(removed, i), v)), lambda v: v.isNotNull()), "\n")
+
+    def without(parts: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), removed)
+        return F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+
+    # the lines are bound once: an expression inside a lambda would split the text again for each line
+    kept = F.transform(F.array(lines), without)[0]
     text = F.when(F.size(removed) > 0, kept).otherwise(F.col("text"))
     keep = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in names]
     return out.select(*keep, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias(names[0]), removed.alias(names[1]))

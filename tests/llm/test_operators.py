@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionforge.llm import bin_slack, jaccard, mixing, ngram_bayes, repeated_lines, rule_ensemble
-from sessionforge.llm.binary_codes import estimate, rotations
 from sessionforge.llm.common import components, n_words, positions
 from sessionforge.llm.host_reputation import judge_urls
 from sessionforge.llm.kd_shards import kd_shards
@@ -54,20 +53,6 @@ def test_components_and_positions(spark):
         assert r["at"] == sum(x["w"] for x in rows if x["g"] == r["g"] and x["i"] < r["i"])
 
 
-def test_estimates_are_unbiased_and_bounded():
-    rng = np.random.default_rng(0)
-    a, b = rng.standard_normal((2, 64))
-    a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
-    got = []
-    for turn in rotations(64, 600, seed=8):
-        ra, rb = a @ turn.T, b @ turn.T
-        factor = np.array([np.abs(ra).sum() / 8])
-        est, wide = estimate(np.sign(ra)[None], factor, rb[None], 8.0)
-        got.append(est[0, 0])
-        assert abs(est[0, 0] - a @ b) <= wide[0, 0] + 1e-6
-    assert abs(np.mean(got) - a @ b) < 0.02
-
-
 def test_urls(spark):
     rows = [(1, "https://X.Example.NET/en/5"), (2, "http://a.net/q"), (3, "http://b.example.com/de/1?x"), (4, "ftp://fr.org/fr/2"), (5, None), (6, "no scheme"), (7, "http://ok.com/en/3#a"), (7, "http://ok.com/en/3#a"), (8, "http://net")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))

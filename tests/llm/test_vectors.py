@@ -76,9 +76,15 @@ def test_bounds_hold_and_hash_names_are_enough():
     w = rng.standard_normal((400, 64))
     w -= (w * x).sum(1, keepdims=True) * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * binary_codes.unit(w)
-    codes, factor = binary_codes.coded(x)
-    assert np.diag(binary_codes.near_pairs(x, codes, factor, y, 0.93 - 1e-9)).all()
-    assert not binary_codes.near_pairs(x, codes, factor, y, 0.93 + 1e-9).any()
+    codes, factor, width = binary_codes.coded(x)
+    assert np.diag(binary_codes.near_pairs(x, codes, factor, width, y, 0.93 - 1e-9)).all()
+    assert not binary_codes.near_pairs(x, codes, factor, width, y, 0.93 + 1e-9).any()
+    signs = np.unpackbits(codes, axis=1).astype(float) * 2 - 1
+    for z in (x, y):
+        est, wide = binary_codes.estimate(signs, factor, width, binary_codes.turned(z), 64, 5.0)
+        assert abs((est - x @ z.T).mean()) < 1e-3 and (np.abs(est - x @ z.T) <= wide + 1e-6).all()
+    est, wide = binary_codes.estimate(signs, factor, width, binary_codes.turned(y), 64, 5.0)
+    assert 0 < ((est + wide * np.sqrt(1 - 0.93**2) >= 0.93).sum() - 400) / 400**2 + 1e-9 < 0.001  # few others are recomputed
     bits = (codes[:, None] ^ binary_codes.coded(y)[0][:, None]).reshape(400, -1)
     assert np.unpackbits(bits, axis=1).sum(1).max() <= binary_codes.most_differing(64, 0.93)
     tables = [binary_codes.tables_for(64, 0.93, n)[1] for n in (10**3, 10**6, 10**9)]
