@@ -72,7 +72,7 @@ def least_windows(rows: DataFrame, min_words: int) -> DataFrame:
         w = W.partitionBy("doc", "seg")
         # the first line at or beyond the wish stands behind it, the last line at or below stands ahead of it;
         # both frames start at the partition's end, as only those run in one pass
-        order = (F.desc("value"), F.col("asks"), F.desc("at")) if first else (F.col("value"), F.col("asks"), F.col("at"))
+        order = (F.desc("value"), F.col("asks"), F.desc("at")) if first else (F.col("value"), F.desc("asks"), F.col("at"))
         got = F.last(line, ignorenulls=True).over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
         return both.withColumn("got", got).where(asks & F.col("got").isNotNull()).select("at", "got")
 
