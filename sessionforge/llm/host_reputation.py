@@ -3,14 +3,17 @@
 Pages with a labelled outcome (their document, named by the number that ends the path, is labelled
 toxic or of low quality, or neither) are counted by host. The rate of bad outcomes is shrunk through
 beta-binomial priors: the corpus mean is the prior of a suffix, the suffix's posterior mean that of a
-registered domain, the domain's that of a host. How much a level counts as prior is fitted by moments
+registered domain, the domain's that of a host. A suffix is the last label, or the last two if the last
+has two letters and the one before is one of SECOND_LEVEL (`co.uk`); a registered domain has one label
+more, if the host has. How much a level counts as prior is fitted by moments
 from the spread of its children. A host is blocked where the lower bound of its posterior is at least
 `limit`.
 
 A null url, or one without `://`, has an empty host and path; the empty host is a host like any other.
 Labels that are null, or don't name a page, don't count; several labels of one document count as bad
-if one is. Repeated pages are judged alike. Without any labels every prior mean is 1/2 and no host is
-blocked. Other columns are ignored.
+if one is. Repeated pages are judged alike, and each counts. Without any labels every prior mean is 1/2
+and no host is blocked; a bound of exactly `limit` blocks. An url of any length is taken whole. An empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionforge.llm.common import saved, with_facts
+
 #: (verdict, rule); a rule is a host, and a path from the first slash on.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Standard deviations below the posterior mean, and the rate of bad outcomes that blocks from there.
 Z, LIMIT = 1.645, 0.3
 #: Bounds of the prior strengths, in pages.
 WEAKEST, STRONGEST = 2.0, 1000.0
+#: Labels below a country's that belong to its suffix.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,28 +64,34 @@ def shrunk(units: DataFrame, parent_mean: str, out: str) -> DataFrame:
 
 
 def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, n_labelled, bad_rate, bad_bound) of every host of pages (host, path)."""
+    """(host, pages, n_labelled, bad_rate, bad_bound) of every host of pages (host, path)."""
     bad = labels.where("doc_id is not null and (toxic is not null or quality is not null)")
     bad = bad.groupBy(F.col("doc_id").cast("string").alias("doc")).agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad"))
     number = F.regexp_extract("path", r"/([0-9]+)(?:\.[a-z]+)?/?$", 1)
-    told = pages.withColumn("number", number).join(bad.hint("merge"), F.col("number") == F.col("doc"), "left")
-    hosts = told.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    # pages are counted by host and number before they meet the labels; those without a number meet none
+    counted = saved(pages.groupBy("host", number.alias("number")).agg(F.count("*").alias("c")))
+    told = counted.where("number <> ''").join(bad.hint("merge"), F.col("number") == F.col("doc")).select("host", F.lit(0).cast("long").alias("pages"), F.col("c").alias("n"), (F.col("c") * F.col("bad")).alias("x"))
+    both = counted.select("host", F.col("c").alias("pages"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("x")).union(told)
+    hosts = both.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "x")])
+    two = F.col("host").rlike(rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$")
+    cut = lambda k: F.when(two, F.substring_index("host", ".", -k - 1)).otherwise(F.substring_index("host", ".", -k))
+    hosts = saved(hosts.withColumn("domain", cut(2)).withColumn("suffix", cut(1)))
+    sums = [F.sum("n").alias("n"), F.sum("x").alias("x"), F.count("*").alias("children")]
+    domains = saved(hosts.groupBy("suffix", "domain").agg(*sums))
+    suffixes = domains.groupBy("suffix").agg(*sums)
     top = suffixes.agg(((F.sum("x") + 1) / (F.sum("n") + 2)).alias("p0"))
-    suffixes = shrunk(suffixes.withColumn("p0", top.scalar()), "p0", "p1").select(F.col("suffix").alias("s"), "p1")
-    domains = shrunk(domains.join(suffixes.hint("merge"), F.col("suffix") == F.col("s")), "p1", "p2").select(F.col("domain").alias("d"), "p2")
-    hosts = shrunk(hosts.join(domains.hint("merge"), F.col("domain") == F.col("d")), "p2", "p3")
+    suffixes = saved(shrunk(suffixes.withColumn("p0", top.scalar()), "p0", "p1").select("suffix", "p1", "children"))
+    domains = saved(shrunk(with_facts(domains, suffixes, ["suffix"], "children", ["p1"]), "p1", "p2").select("domain", "p2", "children"))
+    hosts = shrunk(with_facts(hosts, domains, ["domain"], "children", ["p2"]), "p2", "p3")
     low = F.col("p3") - Z * F.sqrt(F.col("p3") * (1 - F.col("p3")) / (F.col("p3_n") + 1))
-    return hosts.select("host", F.col("n").alias("n_labelled"), F.col("p3").alias("bad_rate"), low.alias("bad_bound"))
+    return hosts.select("host", "pages", F.col("n").alias("n_labelled"), F.col("p3").alias("bad_rate"), low.alias("bad_bound"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of pages (page_id, url); labels (doc_id, quality, toxic)."""
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = reputations(split, labels).select(F.col("host").alias("h"), "bad_bound")
-    out = split.join(known.hint("merge"), F.col("host") == F.col("h"), "left").withColumn("rule", best_rule(F.col("host"), F.col("path"), rules))
+    known = saved(reputations(split, labels).select("host", "pages", "bad_bound"))
+    out = with_facts(split, known, ["host"], "pages", ["bad_bound"]).withColumn("rule", best_rule(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string")
     for verdict, rule in rules:
         by_rule = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(by_rule)
@@ -86,6 +99,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float =
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
+_TWO = f"(^|[.])({'|'.join(SECOND_LEVEL)})[.][a-z][a-z]$"
+
 SQL = f"""
 WITH split AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{ASCII_UPPER}', '{ASCII_LOWER}') AS host,
@@ -95,8 +110,8 @@ bad AS (
   SELECT CAST(doc_id AS VARCHAR) AS doc, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL) GROUP BY 1),
 hosts AS (
-  SELECT host, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
-         count(bad) AS n, coalesce(sum(bad), 0) AS x
+  SELECT host, CASE WHEN regexp_matches(host, '{_TWO}') THEN regexp_extract(host, '([^.]*[.])?[^.]*[.][^.]*$') ELSE regexp_extract(host, '([^.]*[.])?[^.]*$') END AS domain,
+         CASE WHEN regexp_matches(host, '{_TWO}') THEN regexp_extract(host, '[^.]*[.][^.]*$') ELSE regexp_extract(host, '[^.]*$') END AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS x
   FROM split LEFT JOIN bad ON regexp_extract(path, '/([0-9]+)(\\.[a-z]+)?/?$', 1) = doc GROUP BY 1),
 d0 AS (SELECT suffix, domain, sum(n) AS n, sum(x) AS x FROM hosts GROUP BY 1, 2),
 s0 AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM d0 GROUP BY 1),
