@@ -9,8 +9,9 @@ permutation of the block indexes, a new one for every pass, gives for j; blocks
 
 Sizes are words, 0 for null and empty texts, whose rows are returned with nothing taken. A null source
 is a source of its own, the last one. Rows with the same doc_id are ordered by text hash; repeated
-rows are taken each on its own. A source without words has target 0. An empty table gives no rows.
-Other columns are ignored.
+rows are taken each on its own. A text of any length is spread over as many blocks as it fills. A source
+without words has target 0. An empty table gives no rows. The table of sources, a row for each, is
+ordered in one task. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sessionforge.llm.common import n_words, positions, saved, words_of
+from sessionforge.llm.common import BROADCAST_ROWS, n_words, positions, saved, words_of
 
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 8192, 17
 #: Weights by turn, the mix's size in times all sizes, and the most times of a source's size.
 WEIGHTS, BUDGET, MOST = (5, 2, 1), 1.5, 2
-#: Cells of the unit interval by which draws find their source; rows up to which a table of sources is broadcast.
-CELLS, BROADCAST_ROWS, ROUNDS = 1024, 50_000, 8
+#: Cells of the unit interval by which draws find their source; rounds of a permutation.
+CELLS, ROUNDS = 1024, 8
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -74,8 +75,7 @@ def draws(sources: DataFrame, n_sources: int, n_slots: int) -> DataFrame:
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / SHARD_SLOTS).alias("shard")).withColumn("u", u)
     drawn = slots.join(small(cells, n_sources + CELLS), (cell(F.col("u")) == F.col("cell")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "shard", "sidx")
     drawn = saved(drawn.withColumn("n", F.row_number().over(W.partitionBy("shard", "sidx").orderBy("slot"))))
-    counts = drawn.groupBy("shard", "sidx").agg(F.count("*").alias("n_drawn"))
-    counts = counts.withColumn("before", F.coalesce(F.sum("n_drawn").over(W.partitionBy("sidx").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    counts = saved(positions(drawn.groupBy("shard", "sidx").agg(F.count("*").alias("n_drawn")), ["sidx"], ["shard"], weight="n_drawn", name="before"))
     totals = counts.groupBy(F.col("sidx").alias("t")).agg(F.sum("n_drawn").alias("total"))
     b = bounds.join(totals.hint("merge"), F.col("sidx") == F.col("t"), "left").select("sidx", "quota", "n_blocks", F.coalesce("total", F.lit(0)).alias("total"))
     before = W.orderBy("sidx").rowsBetween(W.unboundedPreceding, -1)
@@ -136,12 +136,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     texts = texts.withColumn("_nth", F.row_number().over(W.partitionBy("_row.doc_id", "_th", "_row.source").orderBy(F.lit(0))))
     out = texts.join(held.hint("merge"), F.col("_row.doc_id").eqNullSafe(F.col("of")) & (F.col("_th") == F.col("h")) & F.col("_row.source").eqNullSafe(F.col("src")) & (F.col("_nth") == F.col("nth")))
 
-    def copy(c: int) -> Column:
+    def copy(words: Column, c: int) -> Column:
         chosen = F.filter("parts", lambda p: p["copies"] > c)
         n = F.aggregate(chosen, F.lit(0).cast("long"), lambda s, p: s + p["n_words"])
-        cut = F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(F.col("_words"), (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
+        cut = F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
         return F.when(n == F.col("size"), F.col("_row.text")).when(n > 0, cut)
 
-    out = out.withColumn("_words", words_of(F.col("_row.text")))
-    out = out.withColumn("_text", F.concat_ws("\n", copy(0), copy(1)))
+    # the words are bound once: an expression inside a lambda would split the text again for each part
+    out = out.withColumn("_text", F.transform(F.array(words_of(F.col("_row.text"))), lambda w: F.concat_ws("\n", copy(w, 0), copy(w, 1)))[0])
     return out.select(*[(F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col("_row")[c]).alias(c) for c in docs.columns])
