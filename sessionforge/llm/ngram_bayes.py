@@ -2,14 +2,15 @@
 
 The features of a text are the character n-grams (3 to 5 characters, lower case, blanks for any
 white space) that occur in it, hashed to `2^BITS` places. For each place the log-count ratio r says
-how much likelier labelled toxic texts hold it than others, counted over the labelled training texts,
-all of them up to `TRAIN_ROWS`. The places whose ratio stands out most from chance (at most `FEATURES`) are the features; a
-text's vector holds r at the features it has, and a logistic regression is fitted on that, on at most
-`FIT_ROWS` training texts of each class, chosen by hash. Whole texts are scored.
+how much likelier labelled toxic texts hold it than others, counted over the labelled training texts, all of
+them up to half of `TRAIN_ROWS` a class. The places whose ratio stands out most from chance (at most `FEATURES`) are the features; a
+text's vector holds r at the features it has, and a logistic regression is fitted on that, on about
+`FIT_ROWS` training texts of each class, chosen by hash, all if there are fewer. Whole texts of any
+length are scored.
 
 Null and empty texts have no n-grams; their score is that of the bias. Labels that are null are left
 out; a doc_id with several labels is toxic if one says so. A doc_id that appears again is scored for
-every row. Without both classes among the training labels every score is 1/2 or the one class's rate,
+every row, equal texts alike. Without both classes among the training labels every score is 1/2 or the one class's rate,
 smoothed. Labels, language, source and doc_id are no inputs of a score. Other columns are ignored.
 """
 
@@ -22,9 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionforge.llm.common import saved
 
 SIZES, BITS, FEATURES, FIT_ROWS = (3, 4, 5), 18, 4_096, 3_000
-#: Labelled rows that are learned from at most, the first by a hash of doc_id; 16 bytes each.
+#: Labelled rows that are learned from, about half of them of each class, chosen by a hash of doc_id; 16 bytes each.
 TRAIN_ROWS = 200_000
 ALPHA, RIDGE, STEPS = 1.0, 1e-3, 300
 #: Pieces in which a task's counts travel.
@@ -112,8 +114,12 @@ def toxic_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """A weight for each place and the bias, from docs (doc_id, text) and labels (doc_id, toxic)."""
     told = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("label"))
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("text is not null")
-    # TRAIN_ROWS bounds what is broadcast; the texts stay where they are read
-    told = told.orderBy(F.xxhash64("of", F.lit(9)), "of").limit(TRAIN_ROWS)
+    # TRAIN_ROWS bounds what is broadcast, class by class, so that the rarer one isn't thinned with the other; texts stay where they are read
+    told = saved(told)
+    n = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
+    dice = lambda *by: F.pmod(F.xxhash64(*by), F.lit(2**31)) / 2**31
+    share = lambda most, of: F.when(F.col("label") == 1, min(1.0, most / max(1, of.get(1, 0)))).otherwise(min(1.0, most / max(1, of.get(0, 0))))
+    told = told.where(dice("of", F.lit(9)) < share(TRAIN_ROWS // 2, n))
     train = texts.join(F.broadcast(told), F.col("doc") == F.col("of")).select("doc", "text", "label")
     counts = train.select("text", "label").mapInPandas(counted, "segment int, n0 array<long>, n1 array<long>, t0 long, t1 long").groupBy("segment").applyInPandas(added, "segment int, n0 array<long>, n1 array<long>, t0 long, t1 long")
     got = counts.orderBy("segment").collect()  # 2^BITS counts, whatever the input
@@ -132,12 +138,10 @@ def toxic_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             rows = [number[places(t, scratch)] for t in pdf["text"]]
             yield pd.DataFrame({"label": pdf["label"], "f": [np.sort(x[x >= 0]).astype("uint16").tobytes() for x in rows]})
 
-    # a bounded sample of each class by hash: the share that FIT_ROWS is of it, and no more rows than that
-    share = {0: min(1.0, 1.1 * FIT_ROWS / t0), 1: min(1.0, 1.1 * FIT_ROWS / t1)}
-    dice = F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(2**31)) / 2**31
-    some = train.where(dice < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
-    fit = some.select("text", "label").mapInPandas(features, "label int, f binary").limit(2 * FIT_ROWS + FIT_ROWS // 2).collect()
-    w, bias = fitted([np.frombuffer(x["f"], "uint16") for x in fit], r[chosen], np.array([x["label"] for x in fit]))
+    # a sample of each class by hash of id and text; a repeated row counts once, so that no document outweighs the sample
+    some = train.withColumn("th", F.xxhash64("text")).where(dice("doc", "th", F.lit(5)) < share(FIT_ROWS, {0: t0, 1: t1})).dropDuplicates(["doc", "th"])
+    fit = sorted((x["label"], bytes(x["f"])) for x in some.select("text", "label").mapInPandas(features, "label int, f binary").collect())
+    w, bias = fitted([np.frombuffer(f, "uint16") for _, f in fit], r[chosen], np.array([label for label, _ in fit]))
     weights[chosen] = w * r[chosen]
     return weights, bias
 
