@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionforge.operators.stocks import KEY
 from sessionforge.plans.registry import RELATIONS, Query, r
-from sessionforge.sources.market import LOOKBACKS, table
-from sessionforge.streaming.runs import shared_folder
+from sessionforge.sources.market import LOOKBACKS, shared_folder, table
 
 #: Date-level means are drawn in blocks of BLOCK sessions, RESAMPLES times.
 BLOCK, RESAMPLES = 3, 20_000

@@ -59,10 +59,10 @@ def rows_of(source: str) -> str:
     return f"SELECT session_date, name, {case(0)} AS list_category, {case(1)} AS basis, cast({case(2)} AS int) AS category_rank FROM (SELECT *, each({tags}) AS tag FROM {{{source}}} WHERE {CHOSEN} = 1) t"
 
 
-stepped("selcols", "panel", selector_steps())
+stepped("selcols", "panel", selector_steps(), keep=True)
 stepped("selcols16", "panel", selector_steps(16))
 derived("sel", rows_of("selcols"))
-stepped("fwdcols", "selcols", forward_steps())
+stepped("fwdcols", "selcols", forward_steps(), keep=True)
 stepped("bfwdcols", "bench", forward_steps())
 derived("fwd", forward_rows("fwdcols", f"{CHOSEN} AS chosen, {', '.join(f'tag_{t}' for t in TAGS)}"))
 derived("bfwd", f"SELECT session_date AS b_date, horizon AS b_horizon, fwd AS bench_fwd FROM ({forward_rows('bfwdcols', 'name AS ticker')}) t WHERE name = 'ALL'")

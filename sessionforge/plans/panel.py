@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionforge.sources.market import BENCHMARK, CTES, METRICS, benchmarks, group_prices, steps, steps_sql
+from sessionforge.sources.market import BENCHMARK, CTES, METRICS, benchmarks, group_prices, held, steps, steps_sql
 
 #: Metrics that make up momentum, and weights of its two profiles.
 SCORED = ["week", "month", "quarter", "half", "year", "ytd"]
@@ -83,8 +83,8 @@ STEPS: list[dict[str, str]] = [
 
 def panel(spark: SparkSession, sf_dir: str, level: str = "industry") -> DataFrame:
     """One row for each session and group with all derived columns."""
-    bench = benchmarks(spark, sf_dir).where(F.col("name") == BENCHMARK).select(F.col("session_date").alias("b_date"), *[F.col(f"perf_{m}").alias(f"bench_{m}") for m in METRICS])
-    base = group_prices(spark, sf_dir, level)
+    bench = held("bench", benchmarks)(spark, sf_dir).where(F.col("name") == BENCHMARK).select(F.col("session_date").alias("b_date"), *[F.col(f"perf_{m}").alias(f"bench_{m}") for m in METRICS])
+    base = held({"industry": "snap", "sector": "ssnap"}[level], lambda s, d: group_prices(s, d, level))(spark, sf_dir)
     return steps(base.join(F.broadcast(bench), F.col("session_date") == F.col("b_date"), "left").drop("b_date"), STEPS)  # one row a session
 
 

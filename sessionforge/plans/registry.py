@@ -13,15 +13,17 @@ from sessionforge.sources import market
 
 #: Builders of the relations that queries may name in braces.
 RELATIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "panel": panels.panel,
-    "spanel": lambda s, d: panels.panel(s, d, "sector"),
-    "snap": market.group_prices,
-    "ssnap": lambda s, d: market.group_prices(s, d, "sector"),
-    "bench": market.benchmarks,
-    "bars": market.bars,
-    "sess": market.sessions,
-    "trades": market.trades,
-}
+    name: market.held(name, build)
+    for name, build in {
+        "panel": panels.panel,
+        "spanel": lambda s, d: panels.panel(s, d, "sector"),
+        "snap": market.group_prices,
+        "ssnap": lambda s, d: market.group_prices(s, d, "sector"),
+        "bench": market.benchmarks,
+        "bars": market.bars,
+        "sess": market.sessions,
+    }.items()
+} | {"trades": market.trades}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -114,7 +116,8 @@ def derived(name: str, text: str, other: str | None = None) -> None:
     market.CTES[name] = [f"{name} AS ({spoken(re.sub(r'[{](\w+)[}]', lambda m: m[1], other or text), True)})"]
 
 
-def stepped(name: str, source: str, columns: list[dict[str, str]]) -> None:
-    """A relation with more columns, a step at a time."""
-    RELATIONS[name] = lambda spark, sf_dir: market.steps(RELATIONS[source](spark, sf_dir), columns)
+def stepped(name: str, source: str, columns: list[dict[str, str]], keep: bool = False) -> None:
+    """A relation with more columns, a step at a time; held if several queries read most of it."""
+    build = lambda spark, sf_dir: market.steps(RELATIONS[source](spark, sf_dir), columns)
+    RELATIONS[name] = market.held(name, build) if keep else build
     market.CTES[name] = market.steps_sql(source, name, columns)

@@ -7,6 +7,10 @@ another engine. Sums are exact decimals before they become doubles.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under `spark.checkpoint.dir`, or, on one machine alone, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-tables-')}/table-{uuid.uuid4().hex}"
+
+
+_HELD: dict[tuple, DataFrame] = {}
+
+
+def held(name: str, build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The relation, written once to the shared folder for all queries of an application that read the same files.
+
+    Such relations are small beside the tables they come from: a row for each group, ticker or benchmark
+    and session. Queries read of them the columns that they need. A changed file gives a new one.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, name, sf_dir, _stamp(spark, sf_dir))
+        if key not in _HELD:
+            df, at = build(spark, sf_dir), shared_folder(spark)
+            df.write.parquet(at)
+            _HELD[key] = spark.read.schema(df.schema).parquet(at)
+        return _HELD[key]
+
+    return run
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files that market relations come from."""
+    jvm, out = spark._jvm, []
+    for table_name in ("lineitem", "part"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table_name}.parquet")
+        for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line item with its session, groups, ticker and price."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
@@ -37,12 +80,13 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_returns(prices: DataFrame, days: DataFrame) -> DataFrame:
     """Adds sidx and perf_* (percent) to (session_date, name, px, ...); a lookback to a session without a price is null."""
-    p = prices.join(F.broadcast(days), "session_date")
+    p = prices.join(F.broadcast(days), "session_date")  # a row a session, at most one a day
     w = "over (partition by name order by sidx range between {0} preceding and {0} preceding)"
     p = p.withColumns({f"perf_{m}": F.expr(f"100 * (px / nullif(first(px) {w.format(n)}, 0) - 1)") for m, n in LOOKBACKS.items()})
-    base = p.select(F.col("name").alias("y_name"), F.col("sidx").alias("y_sidx"), F.col("px").alias("y_px"))
-    p = p.withColumn("y_at", F.expr("sidx - month(session_date)")).join(base, (F.col("name") == F.col("y_name")) & (F.col("y_at") == F.col("y_sidx")), "left")
-    return p.withColumn("perf_ytd", F.expr("100 * (px / nullif(y_px, 0) - 1)")).drop("y_name", "y_sidx", "y_px", "y_at")
+    # the session before the year's first lies 1 to 12 sessions back: picked from a frame that all lookbacks share
+    p = p.withColumn("y_frame", F.expr("collect_list(struct(sidx, px)) over (partition by name order by sidx range between 12 preceding and 1 preceding)"))
+    p = p.withColumn("y_px", F.expr("get(filter(y_frame, x -> x.sidx = sidx - month(session_date)), 0).px"))
+    return p.withColumn("perf_ytd", F.expr("100 * (px / nullif(y_px, 0) - 1)")).drop("y_frame", "y_px")
 
 
 def group_prices(spark: SparkSession, sf_dir: str, level: str = "industry") -> DataFrame:
@@ -54,15 +98,14 @@ def group_prices(spark: SparkSession, sf_dir: str, level: str = "industry") -> D
         F.expr(f"cast(sum(cast(l_extendedprice as {MONEY})) as double) / 1e6").alias("market_cap"),
         F.expr(f"cast(cast(sum(cast(l_quantity as {MONEY})) as double) as bigint)").alias("avg_volume"),
     )
-    return with_returns(g, sessions(spark, sf_dir))
+    return with_returns(g, held("sess", sessions)(spark, sf_dir))
 
 
 def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark rows: the whole market as `ALL`, and one ticker for each return flag; column name is the ticker."""
-    t = trades(spark, sf_dir).select("session_date", "l_returnflag", "l_extendedprice", "l_quantity")
-    t = t.select("session_date", F.explode(F.array(F.lit(BENCHMARK), "l_returnflag")).alias("name"), "l_extendedprice", "l_quantity")
-    g = t.groupBy("session_date", "name").agg(F.expr(f"cast(sum(cast(l_extendedprice as {MONEY})) as double) / cast(sum(cast(l_quantity as {MONEY})) as double)").alias("px"))
-    return with_returns(g, sessions(spark, sf_dir))
+    sums = trades(spark, sf_dir).groupBy("session_date", F.col("l_returnflag").alias("name")).agg(F.expr(f"sum(cast(l_extendedprice as {MONEY}))").alias("price"), F.expr(f"sum(cast(l_quantity as {MONEY}))").alias("quantity"))
+    sums = sums.union(sums.groupBy("session_date").agg(F.lit(BENCHMARK).alias("name"), F.sum("price").alias("price"), F.sum("quantity").alias("quantity")).select("session_date", "name", "price", "quantity"))
+    return with_returns(sums.selectExpr("session_date", "name", "cast(price as double) / cast(quantity as double) AS px"), held("sess", sessions)(spark, sf_dir))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +121,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"cast(cast(sum(cast(l_quantity as {MONEY})) as double) as bigint)").alias("volume"),
     )
     home = t.groupBy(F.col("l_suppkey").alias("ticker")).agg(F.expr("min_by(industry, l_partkey)").alias("industry"), F.expr("min_by(sector, l_partkey)").alias("sector"))
-    g = g.join(F.broadcast(sessions(spark, sf_dir)), "session_date").join(home, "ticker")
+    g = g.join(F.broadcast(held("sess", sessions)(spark, sf_dir)), "session_date").join(home, "ticker")
     return bar_averages(g)
 
 

@@ -6,23 +6,13 @@ The source is the folder with the events files; results go to Parquet in the sha
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from sessionforge.sources.market import table
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under `spark.checkpoint.dir`, or, on one machine alone, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{base or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+from sessionforge.sources.market import shared_folder, table
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
