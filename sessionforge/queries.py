@@ -13,7 +13,7 @@ MODULES = (panel_columns, selection, stocks, stores, feeds)
 
 
 #: Queries that aren't one SQL text: folds over arrays, and streams.
-FUNCTIONS = {"sm_advance": trades.sm_advance, "sm_catchup": trades.sm_catchup, "ss_session_bars": runs.session_bars, "ss_quote_ingest": runs.quote_ingest, "ss_status": runs.status, "ss_alerts": runs.alerts, "ss_watch_ttl": runs.watch_ttl, "ss_positions": runs.positions} | feeds.FUNCTIONS | packs.FUNCTIONS
+FUNCTIONS = trades.FUNCTIONS | {"ss_session_bars": runs.session_bars, "ss_quote_ingest": runs.quote_ingest, "ss_status": runs.status, "ss_alerts": runs.alerts, "ss_watch_ttl": runs.watch_ttl, "ss_positions": runs.positions} | feeds.FUNCTIONS | packs.FUNCTIONS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q.name: q.sql() for m in MODULES for q in m.QUERIES if q.checked} | {"ss_session_bars": runs.SESSION_BARS_SQL, "ss_quote_ingest": runs.QUOTE_INGEST_SQL, "ss_status": runs.STATUS_SQL, "ss_alerts": runs.ALERTS_SQL, "ss_watch_ttl": runs.WATCH_TTL_SQL} | feeds.SQL | packs.SQL
+    return {q.name: q.sql() for m in MODULES for q in m.QUERIES if q.checked} | {"ss_session_bars": runs.SESSION_BARS_SQL, "ss_quote_ingest": runs.QUOTE_INGEST_SQL, "ss_status": runs.STATUS_SQL, "ss_alerts": runs.ALERTS_SQL, "ss_watch_ttl": runs.WATCH_TTL_SQL} | feeds.SQL | packs.SQL | trades.SQL

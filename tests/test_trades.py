@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sessionforge.operators.trades import folded
 
@@ -45,7 +46,7 @@ def test_fold_equals_the_loop(spark):
         rows += [(t, *b.values()) for b in bars]
         want[t] = plain(100.0, 94.0, bars)
     p = spark.createDataFrame(positions, "ticker long, opened int, entry double, first_stop double")
-    b = spark.createDataFrame(rows, "ticker long, sidx int, open double, high double, low double, close double, prev_close double, atr double, ma20 double, ma50 double")
+    b = spark.createDataFrame(rows, "ticker long, sidx int, open double, high double, low double, close double, prev_close double, atr double, ma20 double, ma50 double").withColumn("earnings_in", F.lit(None).cast("int"))
     got = {r["ticker"]: r for r in folded(p, b).collect()}
     assert len({w["exit_reason"] for w in want.values()}) > 2
     for t, w in want.items():
@@ -56,7 +57,7 @@ def test_fold_equals_the_loop(spark):
 
 def test_every_position_is_advanced_through_its_next_bars(spark):
     from sessionforge import queries  # noqa: F401  (registers the relations)
-    from sessionforge.operators.trades import opened_and_bars, sm_advance, sm_catchup
+    from sessionforge.operators.trades import opened_and_bars
 
     sf = "/root/testdata/sf0.001"
     opened, bars = opened_and_bars(spark, sf)
@@ -65,8 +66,8 @@ def test_every_position_is_advanced_through_its_next_bars(spark):
         by.setdefault(b["ticker"], []).append(b)
     want = {(b["ticker"], b["sidx"]) for of in by.values() for b in of if b["low"] < b["close"]}
     assert want == {(p["ticker"], p["opened"]) for p in opened.collect()}
-    for run, most in ((sm_advance, 1), (sm_catchup, 30)):
-        got = run(spark, sf).collect()
+    for most in (1, 30):
+        got = folded(opened, bars, most).collect()
         assert len(got) == len(want) and {(r["ticker"], r["opened"]) for r in got} == want
         for r in got:
             nexts = [b for b in by[r["ticker"]] if b["sidx"] > r["opened"]][:most]
