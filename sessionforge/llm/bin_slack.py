@@ -14,6 +14,7 @@ same piece numbers. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import itertools
 import os
 import zlib
@@ -30,16 +31,31 @@ from sessionforge.llm.common import positions, saved
 CAPACITY, END = 2048, 0
 #: Texts that are encoded in one call.
 AT_ONCE = 64
-VOCABULARY = "byte_bpe_50k.json"
+#: The tokenizer, and the same vocabulary as ranks for a faster reader of it.
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[list[str]], list[list[int]]]:
-    """The ids of texts by a public tokenizer file as it is, without special tokens added; their strings in a text are those tokens."""
+def encoder(vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> Callable[[list[str]], list]:
+    """The ids of texts by a public tokenizer file as it is, without special tokens added; their strings in a text are those tokens.
+
+    Texts that hold a string of a special token are encoded by `tokenizers` itself. All others are
+    encoded with the same ranks by `tiktoken`, which gives the same ids in two fifths of the time; with
+    ranks None every text is encoded by `tokenizers`.
+    """
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    plain = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    if ranks is None:
+        return plain
+    import tiktoken
+
+    with open(public_tokenizers.path(ranks), "rb") as f:
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    fast = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return lambda texts: [plain([t])[0] if any(s in t for s in special) else fast.encode_to_numpy(t, disallowed_special=()) for t in texts]
 
 
 def pieces_of(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -60,7 +76,7 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False,
             out = []
             texts = (t or "" for t in pdf["text"])
             for doc_id, found in zip(pdf["doc_id"], itertools.chain.from_iterable(map(encode, itertools.batched(texts, AT_ONCE))), strict=True):
-                ids = np.array([*found, END], "<u4")
+                ids = np.append(np.asarray(found, "<u4"), np.uint32(END)).astype("<u4")
                 for piece, (start, length) in enumerate(pieces_of(len(ids), capacity)):
                     part = ids[start : start + length]
                     out.append((doc_id, piece, start, length, zlib.crc32(part.tobytes()), *([part.astype("int32")] if with_ids else [])))

@@ -186,7 +186,11 @@ def test_tokens_are_those_of_the_tokenizer_file():
     rng = np.random.default_rng(31)
     cases = ["a  b\n\n c", "<|endoftext|> a", "a<|endoftext|><|endoftext|>", "<|endoftext", "é中文 \U0001f600‍!", "it's  'LL 12٣", "  x　", "x" * 3000, "\r\n\t \x0b", ""]
     cases += ["".join(chr(c) for c in rng.integers(1, 0xD7FF, 60)) for _ in range(300)] + ["".join(rng.choice(list(" \n\tab'sé1<|>"), 40)) for _ in range(300)]
+    import pyarrow.parquet as pq
+
+    cases += [x for x in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if x]
     assert [t.encode(c, add_special_tokens=False).ids for c in cases] == [list(i) for i in encode(cases)]
+    assert [list(i) for i in encode(cases[:40])] == [list(i) for i in bin_slack.encoder(ranks=None)(cases[:40])]
     assert list(encode(["<|endoftext|> a"])[0]) == [50256, 257]
 
 
