@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionforge.operators.stocks import KEY
 from sessionforge.plans.registry import RELATIONS, Query, r
+from sessionforge.sources.files import embedded_rows, migrated, read_log, read_panel, table_rows, upsert_dates
 from sessionforge.sources.market import LOOKBACKS, shared_folder, table
 
 #: Date-level means are drawn in blocks of BLOCK sessions, RESAMPLES times.
@@ -17,18 +18,61 @@ SECTIONS = {"headline": ("headline", "tl;dr"), "risks": ("risks", "what could go
 LISTED = 5
 
 
-def parsed_log(lines: DataFrame, month: str) -> DataFrame:
-    """Rows of a line-JSON log (line) of one month; malformed lines are left out."""
-    schema = "month string, cost double, _corrupt_record string"
-    got = lines.withColumn("_row", F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    return got.where(F.col("_row._corrupt_record").isNull() & (F.col("_row.month") == month)).withColumn("cost", F.col("_row.cost")).drop("_row", "line")
-
-
-LINES = """concat(chr(123), '"month":"', cast(year(ts) AS string), '-', lpad(cast(month(ts) AS string), 2, '0'), '","cost":', cast(event_id % 100 AS string), CASE WHEN event_id % 10 = 3 THEN '' ELSE chr(125) END)"""
+LINES = """concat(chr(123), '"event_id":', cast(event_id AS string), ',"month":"', cast(year(ts) AS string), '-', lpad(cast(month(ts) AS string), 2, '0'), '","cost":', cast(event_id % 100 AS string), CASE WHEN event_id % 10 = 3 THEN '' ELSE chr(125) END)"""
 
 
 def src_jsonl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed_log(table(spark, sf_dir, "events").selectExpr("event_id", f"{LINES} AS line"), "2024-01")
+    """A log with a line for each event, every tenth of them cut short, written and read back."""
+    at = shared_folder(spark)
+    table(spark, sf_dir, "events").selectExpr(f"{LINES} AS line").write.text(at)
+    return read_log(spark, at, "event_id long, cost double", "2024-01").select("event_id", "cost")
+
+
+def src_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots as text files, with a percent sign behind each return, read back as dates and numbers."""
+    numbers = ["stocks", "avg_volume", "px", *[f"perf_{m}" for m in (*LOOKBACKS, "ytd")]]
+    at = shared_folder(spark)
+    text = [F.concat(F.coalesce(F.col(c).cast("string"), F.lit("-")), F.lit("%" if c.startswith("perf") else "")).alias(c) for c in numbers]
+    RELATIONS["snap"](spark, sf_dir).select(F.col("session_date").cast("string").alias("date"), "name", *text).write.option("header", True).csv(at)
+    got = read_panel(spark, at, numbers)
+    return got.selectExpr("date AS session_date", "name", "cast(stocks AS int) AS stocks", "cast(avg_volume AS bigint) AS avg_volume", "floor(px * 1e6) / 1e6 AS px", *[r(c) for c in numbers if c.startswith("perf")])
+
+
+def src_page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a table of a group's tickers and cents, one row in seventeen short of a cell, made of the bars and read."""
+    row = F.concat(F.lit('<tr><td><a href="q?t='), "ticker", F.lit('">'), "ticker", F.lit("</a></td><td> "), F.floor(F.col("close") * 100 + 0.5), F.lit(" </td>"), F.when(F.col("ticker") % 17 == 0, "").otherwise("<td>x</td>"), F.lit("</tr>"))
+    pages = RELATIONS["bars"](spark, sf_dir).groupBy("session_date", "industry").agg(F.array_join(F.collect_list(row), "\n").alias("rows"))
+    html = F.concat(F.lit("<table><tr><th>Symbol</th><th><b>Last</b></th><th>Junk</th></tr>"), "rows", F.lit("</table>"))
+    found = pages.select("session_date", "industry", F.explode(table_rows(html, {"Symbol": "Ticker", "Last": "Price"}, ["Ticker", "Price"])).alias("m"))
+    return found.select("session_date", "industry", F.col("m")["Ticker"].try_cast("bigint").alias("ticker"), F.col("m")["Price"].try_cast("double").alias("cents"))
+
+
+def src_embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that hold a session's quotes as embedded JSON, made of the bars, back under their labels."""
+    cents = lambda c: F.floor(F.expr(c) * 100 + 0.5) / 100
+    numbers = F.create_map(F.lit("price"), cents("close"), F.lit("change"), cents("100 * (close / prev_close - 1)"), F.lit("volume"), F.col("volume").cast("double"), F.lit("averageVolume"), (F.floor("avg_volume") * 10_000).cast("double"))
+    row = F.struct(F.create_map(F.lit("ticker"), F.when(F.col("ticker") % 13 == 0, "").otherwise(F.col("ticker").cast("string")), F.lit("industry"), F.col("industry")).alias("text"), F.map_filter(numbers, lambda _, v: v.isNotNull()).alias("numbers"))
+    pages = RELATIONS["bars"](spark, sf_dir).groupBy("session_date", F.col("ticker") % 64).agg(F.to_json(F.struct(F.struct(F.collect_list(row).alias("rows")).alias("data"))).alias("json"))
+    html = F.concat(F.lit("<html><script>var x=1</script><script data-ssr-props>"), "json", F.lit("</script></html>"))
+    got = embedded_rows(pages.select("session_date", html.alias("html")), ["Ticker", "Industry", "Price", "Change", "Volume", "Avg Volume", "ATR"])
+    return got.toDF("session_date", "ticker", "industry", "price", "change", "volume", "avg_volume", "atr")
+
+
+def snk_upsert_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store by date whose last sessions are written again, once with rows and once with none."""
+    rows, at = RELATIONS["ssnap"](spark, sf_dir).select("session_date", "name", "stocks", "sidx"), shared_folder(spark)
+    upsert_dates(rows.drop("sidx"), at)
+    upsert_dates(rows.where("sidx >= 80 AND name <> 'none'").select("session_date", "name", (F.col("stocks") + 1).alias("stocks")), at)
+    upsert_dates(rows.drop("sidx").where("stocks < 0"), at)
+    return spark.read.schema("session_date date, name string, stocks int").parquet(at)
+
+
+def snk_schema_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store whose later part has a column more, in another order."""
+    rows = RELATIONS["ssnap"](spark, sf_dir)
+    old = rows.where("sidx < 40").select("session_date", "name", "stocks")
+    new = rows.where("sidx >= 40").select((F.col("stocks") * 2).alias("added"), "name", "stocks", "session_date")
+    return migrated([old, new], ["session_date", "name", "stocks", "added"])
 
 
 def taxonomy_rows(trees: DataFrame) -> DataFrame:
@@ -118,7 +162,7 @@ def _bootstrap(blocks: str, offsets: str, chance: str, low: str, high: str) -> s
 p AS (SELECT m, cast(row_number() OVER (ORDER BY sidx) - 1 AS bigint) AS pos FROM d), n AS (SELECT cast(count(*) AS int) AS n FROM p),
 b AS (SELECT id, {blocks} AS k, (SELECT n FROM n) AS n FROM range({RESAMPLES}) t(id) WHERE (SELECT n FROM n) >= {BLOCK}),
 s AS (SELECT id, k, n, {chance} % (n - {BLOCK - 1}) AS first_pos FROM b), o AS (SELECT id, k, n, first_pos, {offsets} AS i FROM s),
-x AS (SELECT o.id, avg(p.m) AS m FROM o JOIN p ON p.pos = o.first_pos + o.i WHERE o.k * {BLOCK} + o.i < o.n GROUP BY o.id)
+x AS (SELECT /*+ BROADCAST(p) */ o.id, avg(p.m) AS m FROM o JOIN p ON p.pos = o.first_pos + o.i WHERE o.k * {BLOCK} + o.i < o.n GROUP BY o.id)
 SELECT cast(count(*) AS int) AS resamples, {r(low, 'ci_low')}, {r(high, 'ci_high')} FROM x"""
 
 
@@ -146,11 +190,19 @@ a AS (SELECT user_id, max_by(event_type, event_id) AS event_type FROM {{events}}
 SELECT a.user_id, v.action, p.state AS found, coalesce(p.state = v.needs, false) AS accepted, CASE WHEN p.state = v.needs THEN v.leads_to ELSE p.state END AS state FROM a JOIN {ACTIONS} ON v.event_type = a.event_type LEFT JOIN p ON p.ticker = a.user_id"""),
 ]
 
-FUNCTIONS = {f.__name__: f for f in (src_jsonl_log, src_nested_taxonomy, snk_export, fn_split_sections)}
+FUNCTIONS = {f.__name__: f for f in (src_jsonl_log, src_snapshots, src_page_extract, src_embedded_json, snk_upsert_date, snk_schema_migrate, src_nested_taxonomy, snk_export, fn_split_sections)}
 
 _strip = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 SQL = {
     "src_jsonl_log": Query("src_jsonl_log", f"SELECT event_id, cast(json_extract(line, '$.cost') AS DOUBLE) AS cost FROM (SELECT event_id, {LINES} AS line FROM events) t WHERE CASE WHEN json_valid(line) THEN json_extract_string(line, '$.month') = '2024-01' END").sql(),
+    "src_snapshots": Query("src_snapshots", f"SELECT session_date, name, stocks, avg_volume, floor(px * 1e6) / 1e6 AS px, {', '.join(r(f'perf_{m}') for m in (*LOOKBACKS, 'ytd'))} FROM {{snap}}").sql(),
+    "src_page_extract": Query("src_page_extract", "SELECT session_date, industry, ticker, floor(close * 100 + 5e-1) AS cents FROM {bars} WHERE ticker % 17 <> 0").sql(),
+    "src_embedded_json": Query(
+        "src_embedded_json",
+        "SELECT session_date, cast(ticker AS VARCHAR) AS ticker, industry, printf('%.2f', floor(close * 100 + 5e-1) / 100) AS price, coalesce(printf('%.2f', floor(100 * (close / prev_close - 1) * 100 + 5e-1) / 100) || '%', '-') AS change, format('{:,}', volume) AS volume, CASE WHEN floor(avg_volume) >= 100 THEN printf('%.2f', floor(avg_volume) / 100) || 'M' ELSE printf('%.2f', floor(avg_volume) * 10) || 'K' END AS avg_volume, '-' AS atr FROM {bars} WHERE ticker % 13 <> 0",
+    ).sql(),
+    "snk_upsert_date": Query("snk_upsert_date", "SELECT session_date, name, CASE WHEN sidx >= 80 THEN stocks + 1 ELSE stocks END AS stocks FROM {ssnap}").sql(),
+    "snk_schema_migrate": Query("snk_schema_migrate", "SELECT session_date, name, stocks, CASE WHEN sidx >= 40 THEN stocks * 2 END AS added FROM {ssnap}").sql(),
     "src_nested_taxonomy": "SELECT DISTINCT p_type AS sector, p_brand AS industry FROM part",
     "snk_export": Query("snk_export", f"SELECT 'sector' AS kind, session_date, name, {r('px')} FROM {{ssnap}} UNION ALL SELECT 'benchmark' AS kind, session_date, name, {r('px')} FROM {{bench}}").sql(),
     "fn_split_sections": f"""SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN nullif({_strip.format("coalesce(text, '')")}, '') END AS headline, nullif(role, '') AS risks, role AS phase, CASE WHEN turn % 2 = 0 THEN cast(turn AS VARCHAR) ELSE 'turn ' || turn END AS reasoning FROM conversations""",

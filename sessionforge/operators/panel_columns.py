@@ -27,8 +27,8 @@ def forward(h: int, log: bool = False) -> str:
 
 
 def forward_steps() -> list[dict[str, str]]:
-    """Forward returns over all horizons as columns, fwd_h and log_h; one pass over the panel."""
-    return [{"last_sidx": "max(sidx) over ()"}, {f"fwd_{h}": forward(h) for h in HORIZONS} | {f"log_{h}": forward(h, log=True) for h in HORIZONS}]
+    """Forward returns over all horizons as columns, fwd_h and log_h; one pass over the panel, whose last_sidx is the last session there is."""
+    return [{f"fwd_{h}": forward(h) for h in HORIZONS} | {f"log_{h}": forward(h, log=True) for h in HORIZONS}]
 
 
 def forward_rows(source: str, more: str, log: bool = False) -> str:

@@ -173,9 +173,8 @@ SELECT session_date, name, prio, cast(seat AS int) AS seat FROM g WHERE seat <=
     Query("jn_snapshot_delta", f"SELECT s.session_date, s.name, s.stocks, floor(s.px * 1e6) / 1e6 AS px, p.rank_month, p.rank_ytd FROM {{snap}} s LEFT JOIN {{panel}} p ON p.session_date = s.session_date AND p.name = s.name WHERE s.session_date = (SELECT max(session_date) FROM {{snap}})"),
     Query("jn_group_vs_benchmark", f"SELECT s.session_date, s.name, {', '.join(r(f's.perf_{m} - b.perf_{m}', f'rs_{m}') for m in METRICS)} FROM {{snap}} s LEFT JOIN (SELECT * FROM {{bench}} WHERE name = 'ALL') b ON b.session_date = s.session_date"),
     Query("jn_session_lookback", f"SELECT a.session_date, a.name, floor(b.px * 1e6) / 1e6 AS px_5_back FROM {{snap}} a LEFT JOIN {{snap}} b ON b.name = a.name AND b.sidx = a.sidx - 5"),
-    Query("jn_semi_anti", "SELECT f.session_date, f.name, f.stocks FROM {snap} f LEFT ANTI JOIN {sel} s ON s.session_date = f.session_date AND s.name = f.name"),
+    Query("jn_semi_anti", "SELECT /*+ MERGE(s) */ f.session_date, f.name, f.stocks FROM {snap} f LEFT ANTI JOIN {sel} s ON s.session_date = f.session_date AND s.name = f.name"),
     Query("jn_group_card", f"SELECT s.name, s.stocks, {r('s.market_cap', 'market_cap')}, p.rank_ytd, {r('p.momentum_score', 'momentum_score')} FROM {{snap}} s JOIN {{panel}} p ON p.session_date = s.session_date AND p.name = s.name WHERE s.session_date = (SELECT max(session_date) FROM {{snap}}) AND s.name LIKE 'Brand#1%'"),
-    Query("src_snapshots", f"SELECT session_date, name, stocks, avg_volume, floor(px * 1e6) / 1e6 AS px, {', '.join(r(f'perf_{m}') for m in METRICS)} FROM {{snap}}"),
     Query("src_benchmark", f"SELECT session_date, name AS ticker, floor(px * 1e6) / 1e6 AS px, {r('perf_month')} FROM {{bench}} WHERE name = 'ALL'"),
     Query("src_latest_slice", f"SELECT name, rank_month, {r('momentum_score')} FROM {{panel}} WHERE {LATEST}"),
     Query("src_selected_groups", "SELECT session_date, name, listagg(DISTINCT list_category, '|') within group (order by list_category) AS tags, min_by(basis, category_rank * 100 + length(basis)) AS first_basis FROM {sel} GROUP BY session_date, name"),

@@ -38,7 +38,7 @@ STATUS = """CASE WHEN prior_high IS NULL OR prior_low IS NULL OR close IS NULL O
   WHEN (close > ma20 AND (low < ma20 OR prior_low < ma20)) OR (close > ma50 AND (low < ma50 OR prior_low < ma50)) THEN 'reclaim'
   WHEN high >= prior_high THEN 'failed_breakout' ELSE 'setting_up' END"""
 
-derived("picks", "SELECT s.session_date, s.list_category, s.name AS grp, s.category_rank, k.ticker, k.sidx FROM {sel} s JOIN {stock} k ON k.session_date = s.session_date AND k.industry = s.name")
+derived("picks", "SELECT /*+ MERGE(s) */ s.session_date, s.list_category, s.name AS grp, s.category_rank, k.ticker, k.sidx FROM {sel} s JOIN {stock} k ON k.session_date = s.session_date AND k.industry = s.name")
 derived("methods", f"SELECT session_date, version, w_group, w_tight, w_quiet, vol_floor, has_liq, has_earn, has_overhead FROM (SELECT d.session_date, v.*, row_number() OVER (PARTITION BY d.session_date ORDER BY v.effective_date DESC) AS nth FROM {{sess}} d JOIN {METHODS} ON v.effective_date <= d.session_date) t WHERE nth = 1")
 
 BASE = "cap_b > 0.005 AND (sma50_pct > 0 OR sma200_pct > 0 OR sma50_pct > sma20_pct)"
@@ -87,6 +87,8 @@ def scaled(text: str, unit: float) -> str:
 CHAT = "SELECT conv_id, turn, role AS model, coalesce(length(text), 0) AS n_in, cast(floor(coalesce(length(text), 0) / 4e0) AS int) AS n_out, CASE WHEN turn % 3 = 0 THEN 17 END AS thoughts FROM {conversations}"
 PRICES = "(VALUES ('user', 0, 0.5e0, 1.5e0), ('user', 2, 0.4e0, 1.2e0), ('assistant', 1, 2e0, 6e0)) AS v(model, from_turn, per_in, per_out)"
 
+LATENCY = f"SELECT event_type, cast(count(*) AS int) AS n, {r('100e0 * count(*) / (SELECT count(*) FROM {events} WHERE value IS NOT NULL)', 'share')}, {r('median(value)', 'median_value')}, {r('P90', 'p90')} FROM {{events}} WHERE value IS NOT NULL GROUP BY event_type"
+
 QUERIES = [
     Query("fn_pct", f"SELECT {KEY}, try_cast(regexp_replace(trim(pct_text), '%$', '') AS double) AS pct FROM ({TEXTS}) t"),
     Query("fn_cap_b", f"SELECT {KEY}, {r(scaled('cap_text', 1e9), 'cap_b')} FROM ({TEXTS}) t"),
@@ -116,14 +118,14 @@ QUERIES = [
     Query("fn_sessions_between", "SELECT ticker, session_date, cast(sidx - lag(sidx) OVER (PARTITION BY ticker ORDER BY sidx) AS int) AS sessions_between FROM {bars}"),
     Query("fn_token_split", f"SELECT conv_id, turn, n_in, coalesce(n_out, 0) + coalesce(thoughts, greatest(0, cast(n_in / 10e0 AS int) - n_out)) AS billed_out FROM (SELECT conv_id, turn, n_in, n_out, thoughts FROM ({CHAT}) c) t"),
     Query("fn_watch_level", f"SELECT {KEY}, kind, CASE kind WHEN 'above' THEN close >= prior_high WHEN 'below' THEN close <= prior_low WHEN 'reclaim_20ma' THEN close > ma20 AND low < ma20 ELSE close > ma50 AND low < ma50 END AS hit FROM (SELECT *, each('above', 'below', 'reclaim_20ma', 'reclaim_50ma') AS kind FROM {{stock}}) t"),
-    Query("fn_open_position", f"SELECT {KEY}, 'open' AS state, {r('close', 'entry_price')}, {r('low', 'current_stop')}, {r('low', 'profit_floor')}, '20ma' AS trail_basis, 'entered' AS event_type FROM {{stock}} WHERE sidx = 20 AND low < close"),
+    Query("fn_open_position", f"SELECT {KEY}, 'open' AS state, {r('close', 'entry_price')}, {r('low', 'current_stop')}, {r('low', 'profit_floor')}, '20ma' AS trail_basis, 'entered' AS event_type FROM {{stock}} WHERE low < close"),
     Query("fn_json_merge_config", "SELECT event_id, coalesce(try_cast(knob(props, '$.k') AS int), 7) AS knob_k, coalesce(knob(props, '$.basis'), '50ma') AS basis FROM {events}"),
     Query("flt_base_pick", f"SELECT {KEY} FROM {{stock}} WHERE {BASE}"),
     Query("flt_focus_dq", f"SELECT k.session_date, k.ticker FROM {{stock}} k JOIN {{methods}} m ON m.session_date = k.session_date WHERE {DQ}"),
     Query("jn_picks_expand", "SELECT session_date, list_category, grp, ticker FROM {picks}"),
     Query("jn_asof_version", "SELECT session_date, version FROM {methods}"),
     Query("jn_asof_price", f"WITH c AS ({CHAT}), f AS (SELECT model, min_by(per_in, from_turn) AS first_in FROM {PRICES} GROUP BY model), a AS (SELECT c.conv_id, c.turn, c.model, max_by(v.per_in, v.from_turn) AS per_in FROM c LEFT JOIN {PRICES} ON v.model = c.model AND v.from_turn <= c.turn GROUP BY c.conv_id, c.turn, c.model) SELECT a.conv_id, a.turn, a.model, coalesce(a.per_in, f.first_in) AS per_in, f.model IS NULL AS unknown_model FROM a LEFT JOIN f ON f.model = a.model"),
-    Query("jn_asof_tolerance", "WITH s AS (SELECT DISTINCT day(ts) AS d, user_id FROM {events}), t AS (SELECT o_orderkey AS k, o_custkey % 150 AS u, day(o_orderdate) AS want FROM {orders}), a AS (SELECT DISTINCT d FROM s WHERE user_id % 3 = 0) SELECT e.event_id, max(a.d) AS nearest FROM {events} e LEFT JOIN a ON a.d <= day(e.ts) AND a.d >= day(e.ts - INTERVAL '120' HOUR) GROUP BY e.event_id"),
+    Query("jn_asof_tolerance", "WITH a AS (SELECT DISTINCT user_id AS u, day(ts) AS d FROM {events}) SELECT /*+ MERGE(a) */ e.event_id, max(a.d) AS nearest FROM {events} e LEFT JOIN a ON a.u = e.user_id AND a.d <= day(e.ts - INTERVAL '24' HOUR) AND a.d >= day(e.ts - INTERVAL '144' HOUR) GROUP BY e.event_id"),
     Query("jn_latest_bar", f"SELECT p.s_suppkey AS ticker, b.session_date AS last_date, {r('b.close', 'last_close')} FROM {{supplier}} p LEFT JOIN (SELECT ticker, max(session_date) AS session_date, max_by(close, session_date) AS close FROM {{bars}} GROUP BY ticker) b ON b.ticker = p.s_suppkey"),
     Query("jn_bars_after", f"SELECT ticker, session_date, cast(nth AS int) AS nth FROM (SELECT b.ticker, b.session_date, row_number() OVER (PARTITION BY b.ticker ORDER BY b.sidx) AS nth FROM {{bars}} b JOIN (SELECT ticker, max(sidx) AS opened FROM {{bars}} WHERE sidx <= 20 GROUP BY ticker) p ON p.ticker = b.ticker AND b.sidx > p.opened) t WHERE nth <= 30"),
     Query("jn_union_levels", "SELECT ticker, 'pick' AS kind FROM (SELECT DISTINCT ticker FROM {picks} WHERE sidx = 40) p UNION ALL SELECT s_suppkey AS ticker, 'watch' AS kind FROM {supplier} w LEFT ANTI JOIN (SELECT DISTINCT ticker FROM {picks} WHERE sidx = 40) q ON q.ticker = w.s_suppkey"),
@@ -144,7 +146,7 @@ QUERIES = [
     Query("ag_status_counts", f"WITH s AS (SELECT session_date, industry, atr_ext_50, status, lag(status) OVER (PARTITION BY ticker ORDER BY sidx) AS prior FROM (SELECT *, {STATUS} AS status FROM {{stock}}) k) SELECT session_date, cast(count(*) AS int) AS n, cast(sum(CASE WHEN status IN ('triggered', 'reclaim') THEN 1 ELSE 0 END) AS int) AS actionable, cast(sum(CASE WHEN status <> prior THEN 1 ELSE 0 END) AS int) AS changed, cast(count(prior) AS int) AS comparable, {r('median(CASE WHEN status IN (' + chr(39) + 'triggered' + chr(39) + ', ' + chr(39) + 'reclaim' + chr(39) + ') THEN atr_ext_50 END)', 'median_extension')} FROM s GROUP BY session_date"),
     Query("ag_spend", f"SELECT model, {r('sum(n_in * per_in + n_out * per_out) / 1e6', 'cost')}, cast(count(*) AS int) AS runs, cast(count(per_in) AS int) AS priced_runs, max(conv_id) AS last_run FROM (SELECT c.*, p.per_in, p.per_out FROM ({CHAT}) c LEFT JOIN (SELECT * FROM {PRICES} WHERE from_turn <= 1) p ON p.model = c.model) t GROUP BY model"),
     Query("ag_daily_calls", "SELECT day(ts) AS call_date, cast(count(*) AS int) AS calls FROM {events} GROUP BY day(ts)"),
-    Query("ag_latency_bench", f"SELECT event_type, cast(count(*) AS int) AS n, {r('100e0 * count(*) / max(total)', 'share')}, {r('median(value)', 'median_value')}, {r('min(CASE WHEN place >= ceil(0.9e0 * n_type) THEN value END)', 'p90')} FROM (SELECT *, count(*) OVER (PARTITION BY 1) AS total, row_number() OVER (PARTITION BY event_type ORDER BY value) AS place, count(*) OVER (PARTITION BY event_type) AS n_type FROM {{events}} WHERE value IS NOT NULL) t GROUP BY event_type"),
+    Query("ag_latency_bench", LATENCY.replace("P90", "percentile_disc(0.9) WITHIN GROUP (ORDER BY value)"), LATENCY.replace("P90", "quantile_disc(value, 0.9)")),
     Query("ag_ledger_recent", "SELECT user_id, event_id, event_type, cast(nth AS int) AS nth, last_purchase FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS last_purchase FROM {events}) t WHERE nth <= 8"),
     Query("snk_keyed_dedup", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS nth FROM {events}) t WHERE nth = 1"),
     Query("snk_insert_ignore", "SELECT ticker, session_date, 'settled' AS source FROM {bars} WHERE sidx < 60 UNION ALL SELECT n.ticker, n.session_date, 'seed' AS source FROM {bars} n LEFT ANTI JOIN (SELECT ticker, session_date FROM {bars} WHERE sidx < 60) o ON o.ticker = n.ticker AND o.session_date = n.session_date"),
@@ -158,5 +160,5 @@ QUERIES = [
     Query("dq_key_corruption", f"SELECT sector, {r('avg(CASE WHEN substr(industry, 7, 1) = substr(industry, 8, 1) THEN 1e0 ELSE 0e0 END)', 'doubled')}, {r('avg(CASE WHEN length(industry) = 1 THEN 1e0 ELSE 0e0 END)', 'single')} FROM {{trades}} GROUP BY sector"),
     Query("dq_payload_validate", "SELECT event_id, CASE WHEN user_id IS NULL THEN 'no_key' WHEN ts IS NULL THEN 'no_date' WHEN value IS NULL OR value <= 0 THEN 'bad_price' WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'bad_type' ELSE 'ok' END AS verdict FROM {events}"),
     Query("dq_unknown_names", "SELECT DISTINCT b.industry AS name FROM {bars} b LEFT ANTI JOIN (SELECT DISTINCT p_type FROM {part}) p ON b.industry = p.p_type"),
-    Query("dq_completeness", "SELECT q.conv_id, q.role FROM (SELECT DISTINCT conv_id, each('user', 'assistant', 'system') AS role FROM {conversations}) q LEFT ANTI JOIN {conversations} h ON h.conv_id = q.conv_id AND h.role = q.role"),
+    Query("dq_completeness", "SELECT /*+ MERGE(h) */ q.conv_id, q.role FROM (SELECT DISTINCT conv_id, each('user', 'assistant', 'system') AS role FROM {conversations}) q LEFT ANTI JOIN {conversations} h ON h.conv_id = q.conv_id AND h.role = q.role"),
 ]

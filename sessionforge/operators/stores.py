@@ -5,22 +5,34 @@ from __future__ import annotations
 from sessionforge.operators.stocks import KEY
 from sessionforge.plans.registry import Query, r
 
-NEW = "SELECT session_date, name, stocks + 1 AS stocks FROM {ssnap} WHERE sidx >= 80"
+#: Names are words of the benchmark's texts; an answer's words are held against those of the turn before it.
+NAMES = r"""WITH n AS (SELECT DISTINCT w AS name, lower(w) AS folded FROM (SELECT SPLIT(text, '[^\pL\pN_]+')) AS w FROM {benchmark}) b WHERE w <> ''),
+o AS (SELECT DISTINCT conv_id, turn, w FROM (SELECT conv_id, turn, SPLIT(text, '[^\pL\pN_]+')) AS w FROM {conversations} WHERE role = 'assistant') a),
+i AS (SELECT DISTINCT conv_id, turn + 1 AS answered, lower(w) AS folded FROM (SELECT conv_id, turn, SPLIT(text, '[^\pL\pN_]+')) AS w FROM {conversations}) c),
+u AS (SELECT /*+ MERGE(n) */ o.conv_id, o.turn, n.name, n.folded FROM o JOIN n ON n.name = o.w),
+x AS (SELECT /*+ MERGE(i) */ u.conv_id, u.turn, u.name FROM u LEFT ANTI JOIN i ON i.conv_id = u.conv_id AND i.answered = u.turn AND i.folded = u.folded)
+SELECT conv_id, turn, cast(count(*) AS int) AS n_names, min(name) AS first_name FROM x GROUP BY conv_id, turn"""
+RAW_BARS = f"""SELECT {KEY}, close, CASE WHEN ticker % 3 = 0 THEN cast(ticker % 40 AS int) END AS typed, concat(chr(123), '"SMA20":"', cast(cast(floor(sma20_pct * 10) AS bigint) AS string), '%","SMA50":"', cast(cast(floor(sma50_pct) AS bigint) AS string), '%","SMA200":"', CASE WHEN ticker % 5 = 0 THEN '-' ELSE cast(cast(floor(sma200_pct) AS bigint) AS string) END, '%","Days":', cast(ticker % 60 AS string), chr(125)) AS raw FROM {{bars}}"""
+
+
+def level(label: str) -> str:
+    """A moving average from the percent distance in a raw quote; null for a distance of -100 percent or less."""
+    share = f"1 + try_cast(replace(knob(raw, '$.{label}'), '%', '') AS double) / 100"
+    return f"CASE WHEN {share} > 0 THEN close / ({share}) END"
+
 
 QUERIES = [
-    Query("src_page_extract", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, cast((length(html) - length(replace(html, '<li>', ''))) / 4 AS int) AS n_items FROM {pages}"),
-    Query("src_embedded_json", "SELECT page_id, try_cast(regexp_extract(html, 'track[(]([0-9]+)[)]', 1) AS int) AS tracked FROM {pages}"),
+    Query("src_page_facts", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, cast((length(html) - length(replace(html, '<li>', ''))) / 4 AS int) AS n_items FROM {pages}"),
+    Query("src_page_track", "SELECT page_id, try_cast(regexp_extract(html, 'track[(]([0-9]+)[)]', 1) AS int) AS tracked FROM {pages}"),
     Query("dq_min_rows", "SELECT session_date, cast(count(*) AS int) AS n_rows, CASE WHEN count(*) < 8 THEN 'warn' ELSE 'ok' END AS verdict FROM {ssnap} GROUP BY session_date"),
-    Query("dq_text_names", "SELECT doc_id, cast(count(DISTINCT w) AS int) AS n_names FROM (SELECT doc_id, words(text) AS w FROM {documents}) t JOIN (SELECT DISTINCT v FROM (SELECT words(text) AS v FROM {benchmark}) b WHERE length(v) >= 12) n ON n.v = t.w GROUP BY doc_id"),
+    Query("dq_text_names", NAMES.replace("SPLIT", "explode(split").replace("\\pL\\pN", "\\\\pL\\\\pN"), NAMES.replace("SPLIT", "unnest(regexp_split_to_array")),
     Query("dq_format_rules", "SELECT rule, cast(count(*) AS int) AS n FROM (SELECT each(CASE WHEN role NOT IN ('user', 'assistant', 'system') THEN 'bad_role' END, CASE WHEN text IS NULL OR text = '' THEN 'empty' END, CASE WHEN length(text) > 400 THEN 'long' END, CASE WHEN text LIKE '% %' THEN 'has_blank' END) AS rule FROM {conversations}) t GROUP BY rule"),
     Query("ag_advisory", "SELECT user_id, cast(count(*) AS int) AS checked, cast(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS int) AS flagged, listagg(CASE WHEN value > 50 THEN cast(event_id AS string) END, ',') within group (order by event_id) AS items FROM {events} GROUP BY user_id"),
     Query("tk_watch_list", "SELECT user_id, event_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, event_id DESC) AS int) AS place FROM {events}"),
     Query("sm_preclose", f"SELECT {KEY}, CASE WHEN low <= prior_low THEN 'stop' WHEN close < ma50 THEN 'hard_exit' WHEN close < ma20 THEN 'caution' ELSE 'none' END AS severity, {r('CASE WHEN low <= prior_low THEN prior_low WHEN close < ma50 THEN ma50 WHEN close < ma20 THEN ma20 END', 'ref_level')} FROM {{stock}}"),
     Query("jn_positions_view", f"SELECT p.ticker, p.state, {r('b.last_close', 'last_close')}, cast(p.last_sidx - p.sidx AS int) AS sessions_since FROM (SELECT ticker, sidx, CASE WHEN close < ma50 THEN 'closed' ELSE 'open' END AS state, (SELECT max(sidx) FROM {{sess}}) AS last_sidx, row_number() OVER (PARTITION BY ticker ORDER BY sidx DESC) AS nth FROM {{stock}}) p LEFT JOIN (SELECT ticker, max_by(close, sidx) AS last_close FROM {{bars}} GROUP BY ticker) b ON b.ticker = p.ticker WHERE p.nth = 1 AND (p.state = 'open' OR p.last_sidx - p.sidx <= 10)"),
     Query("sm_watch_upsert", "SELECT user_id, CASE last_action WHEN 'purchase' THEN 'removed' ELSE 'active' END AS state, cast(renewals AS int) AS renewals FROM (SELECT user_id, max_by(event_type, event_id) AS last_action, count(*) - 1 AS renewals FROM {events} GROUP BY user_id) t"),
-    Query("fn_normalize_bar", f"""SELECT {KEY}, {r("close / nullif(1 + try_cast(replace(knob(raw, '$.SMA20'), '%', '') AS double) / 100, 0)", 'ma20')} FROM (SELECT {KEY}, close, concat(chr(123), '"SMA20":"', cast(cast(floor(sma20_pct) AS bigint) AS string), '%"', chr(125)) AS raw FROM {{bars}}) t"""),
+    Query("fn_normalize_bar", f"SELECT {KEY}, {', '.join(r(level(f'SMA{n}'), f'ma{n}') for n in (20, 50, 200))}, coalesce(typed, try_cast(knob(raw, '$.Days') AS int)) AS days_to_earnings FROM ({RAW_BARS}) t"),
     Query("fn_canonical_hash", f"SELECT {KEY}, sha(concat('[', cast(cast(floor(close * 1e4 + 5e-1) AS bigint) AS string), ',', cast(volume AS string), ']')) AS digest FROM {{bars}}"),
-    Query("snk_schema_migrate", "SELECT session_date, name, stocks, cast(NULL AS int) AS added FROM {ssnap} WHERE sidx < 40 UNION ALL SELECT session_date, name, stocks, stocks * 2 AS added FROM {ssnap} WHERE sidx >= 40"),
-    Query("snk_upsert_date", f"SELECT session_date, name, stocks FROM {{ssnap}} o LEFT ANTI JOIN (SELECT DISTINCT session_date AS d FROM ({NEW}) n) e ON e.d = o.session_date UNION ALL SELECT session_date, name, stocks FROM ({NEW}) m"),
     Query("snk_session_guard", "SELECT event_id, CASE WHEN hour(ts) >= 16 THEN 'refused' ELSE 'written' END AS verdict FROM {events}"),
 ]

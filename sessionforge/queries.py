@@ -21,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q.name: q.sql() for m in MODULES for q in m.QUERIES if q.checked} | {"ss_session_bars": runs.SESSION_BARS_SQL, "ss_quote_ingest": runs.QUOTE_INGEST_SQL, "ss_status": runs.STATUS_SQL, "ss_alerts": runs.ALERTS_SQL, "ss_watch_ttl": runs.WATCH_TTL_SQL} | feeds.SQL | packs.SQL | trades.SQL
+    return {q.name: q.sql() for m in MODULES for q in m.QUERIES if q.checked} | {"ss_session_bars": runs.SESSION_BARS_SQL, "ss_quote_ingest": runs.QUOTE_INGEST_SQL, "ss_status": runs.STATUS_SQL, "ss_alerts": runs.ALERTS_SQL, "ss_watch_ttl": runs.WATCH_TTL_SQL, "ss_positions": runs.POSITIONS_SQL} | feeds.SQL | packs.SQL | trades.SQL

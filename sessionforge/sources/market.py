@@ -73,9 +73,9 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_date, sidx): the positions of the sessions. One row a session, so a window without keys is fine."""
+    """(session_date, sidx, last_sidx): the positions of the sessions. One row a session, so a window without keys is fine."""
     days = table(spark, sf_dir, "lineitem").select(F.to_date(F.date_trunc("month", "l_shipdate")).alias("session_date")).distinct()
-    return days.select("session_date", F.expr("cast(row_number() over (order by session_date) - 1 as int)").alias("sidx"))
+    return days.select("session_date", F.expr("cast(row_number() over (order by session_date) - 1 as int)").alias("sidx"), F.expr("cast(count(*) over () - 1 as int)").alias("last_sidx"))
 
 
 def with_returns(prices: DataFrame, days: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"cast(cast(sum(cast(l_quantity as {MONEY})) as double) as bigint)").alias("volume"),
     )
     home = t.groupBy(F.col("l_suppkey").alias("ticker")).agg(F.expr("min_by(industry, l_partkey)").alias("industry"), F.expr("min_by(sector, l_partkey)").alias("sector"))
-    g = g.join(F.broadcast(held("sess", sessions)(spark, sf_dir)), "session_date").join(home, "ticker")
+    g = g.join(F.broadcast(held("sess", sessions)(spark, sf_dir).drop("last_sidx")), "session_date").join(home, "ticker")
     return bar_averages(g)
 
 
@@ -165,7 +165,7 @@ def _returns_sql(source: str, name: str) -> list[str]:
     w = "OVER (PARTITION BY name ORDER BY sidx RANGE BETWEEN {0} PRECEDING AND {0} PRECEDING)"
     looks = ", ".join(f"100 * (px / nullif(first(px) {w.format(n)}, 0) - 1) AS perf_{m}" for m, n in LOOKBACKS.items())
     return [
-        f"{name}_p AS (SELECT s.*, sess.sidx FROM {source} s JOIN sess USING (session_date))",
+        f"{name}_p AS (SELECT s.*, sess.sidx, sess.last_sidx FROM {source} s JOIN sess USING (session_date))",
         f"{name}_q AS (SELECT *, {looks} FROM {name}_p)",
         f"{name} AS (SELECT q.*, 100 * (q.px / nullif(y.px, 0) - 1) AS perf_ytd FROM {name}_q q LEFT JOIN {name}_p y ON y.name = q.name AND y.sidx = q.sidx - month(q.session_date))",
     ]
@@ -184,7 +184,7 @@ def _groups_sql(level: str, name: str) -> list[str]:
 #: Common table expressions by the relation they end in, in an order in which each may use those before.
 CTES: dict[str, list[str]] = {
     "trades": ["trades AS (SELECT l.*, p_brand || '/' || p_type AS industry, p_type AS sector, CAST(date_trunc('month', l_shipdate) AS DATE) AS session_date FROM lineitem l JOIN part ON l_partkey = p_partkey)"],
-    "sess": ["sess AS (SELECT session_date, CAST(row_number() OVER (ORDER BY session_date) - 1 AS INT) AS sidx FROM (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS session_date FROM lineitem))"],
+    "sess": ["sess AS (SELECT session_date, CAST(row_number() OVER (ORDER BY session_date) - 1 AS INT) AS sidx, CAST(count(*) OVER () - 1 AS INT) AS last_sidx FROM (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS session_date FROM lineitem))"],
     "snap": _groups_sql("industry", "snap"),
     "ssnap": _groups_sql("sector", "ssnap"),
     "bench": [f"bench_g AS (SELECT session_date, name, {_PX} AS px FROM (SELECT *, '{BENCHMARK}' AS name FROM trades UNION ALL SELECT *, l_returnflag AS name FROM trades) GROUP BY 1, 2)", *_returns_sql("bench_g", "bench")],

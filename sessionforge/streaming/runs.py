@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sessionforge.operators.stocks import STATUS
+from sessionforge.operators.trades import STATE, advance, fold_sql, let, opened_state, settings, settings_sql
+from sessionforge.plans.registry import RELATIONS, Query, r
 from sessionforge.sources.market import shared_folder, table
 
 
@@ -51,7 +54,8 @@ def quote_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream = quotes(spark, sf_dir)
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    seen = spark.read.schema(stream.schema).parquet(f"{at}/out")
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{at}/out/batch=none")  # there is a folder even if no quote came
+    seen = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{at}/out")
     return seen.withColumn("n", F.row_number().over(latest)).where("n = 1").select("ticker", "kind", "event_id")
 
 
@@ -59,17 +63,23 @@ QUOTE_INGEST_SQL = "SELECT user_id AS ticker, event_type AS kind, event_id FROM
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each quote against its ticker's levels of the first day: a join of the stream with a static relation."""
-    ev = table(spark, sf_dir, "events")
-    first = ev.agg(F.min(F.to_date("ts")).alias("d"))
-    levels = ev.where(F.to_date("ts") == first.scalar()).groupBy(F.col("user_id").alias("t")).agg(F.max("value").alias("trigger_level"), F.min("value").alias("stop_level"))
-    q = quotes(spark, sf_dir).join(levels, F.col("ticker") == F.col("t"), "left")
-    state = F.when(F.col("trigger_level").isNull() | F.col("price").isNull(), "no_quote").when(F.col("price") <= F.col("stop_level"), "invalidated").when(F.col("price") >= F.col("trigger_level"), "triggered").otherwise("setting_up")
-    return finished(q.select("event_id", state.alias("status")), spark)
+    """Each quote on the ladder of pick statuses: the stream joined with its ticker's last bar; the quote is the read's open, high, low and close."""
+    stock = RELATIONS["stock"](spark, sf_dir)
+    last = stock.groupBy(F.col("ticker").alias("t")).agg(F.max_by(F.struct("high", "low", "ma20", "ma50"), "sidx").alias("b"))
+    last = last.select("t", F.col("b.high").alias("prior_high"), F.col("b.low").alias("prior_low"), F.col("b.ma20").alias("ma20"), F.col("b.ma50").alias("ma50"))
+    q = quotes(spark, sf_dir).join(last.hint("merge"), F.col("ticker") == F.col("t"), "left")
+    q = q.withColumns({c: F.col("price") * QUOTE_SCALE for c in ("open", "high", "low", "close")})
+    return finished(q.select("event_id", F.expr(STATUS).alias("status")), spark)
 
 
-STATUS_SQL = """WITH l AS (SELECT user_id AS t, max(value) AS hi, min(value) AS lo FROM events WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events) GROUP BY 1)
-SELECT event_id, CASE WHEN hi IS NULL OR value IS NULL THEN 'no_quote' WHEN value <= lo THEN 'invalidated' WHEN value >= hi THEN 'triggered' ELSE 'setting_up' END AS status FROM events LEFT JOIN l ON t = user_id"""
+#: What a quote's price is multiplied by to stand beside the bars.
+QUOTE_SCALE = 20.0
+STATUS_SQL = Query(
+    "ss_status",
+    f"""WITH l AS (SELECT ticker AS t, max_by(high, sidx) AS h, max_by(low, sidx) AS l, max_by(close / nullif(1 + sma20_pct / 100, 0), sidx) AS m20, max_by(close / nullif(1 + sma50_pct / 100, 0), sidx) AS m50 FROM {{bars}} GROUP BY 1),
+q AS (SELECT event_id, value * {QUOTE_SCALE} AS p, h, l, m20, m50 FROM events LEFT JOIN l ON t = user_id)
+SELECT event_id, CASE WHEN h IS NULL OR p IS NULL THEN 'no_quote' WHEN p <= l THEN 'invalidated' WHEN p > h THEN 'gapped_through' WHEN p = h THEN 'triggered' WHEN p > m20 AND l < m20 OR p > m50 AND l < m50 THEN 'reclaim' ELSE 'setting_up' END AS status FROM q""",
+).sql()
 
 
 def kept_state(stream: DataFrame, spark: SparkSession, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame | None:
@@ -124,37 +134,62 @@ def watch_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 WATCH_TTL_SQL = f"""SELECT user_id AS ticker, max(CAST(ts AS DATE)) AS last_day, CAST(greatest(0, {WATCH_SESSIONS + 1} - count(DISTINCT CAST(ts AS DATE))) AS INT) AS days_left, count(DISTINCT CAST(ts AS DATE)) > {WATCH_SESSIONS} AS expired
 FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1"""
 
-#: Share of the entry that a position's stop trails behind the highest close.
-TRAIL = 0.5
+#: Days whose closes and ranges make a day bar's moving averages and its ATR.
+FAST, SLOW = 3, 6
+POSITION = f"struct<entry:double,first_stop:double,closes:array<double>,ranges:array<double>,s:{STATE}>"
 
 
 def position_step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """(ticker, entry, stop, top, last_day, state): day bars move each ticker's position in order; a day counts once.
+    """(ticker, p): day bars move each ticker's position through the trade fold, in order; a day counts once.
 
-    The first day opens the position; a later day whose low reaches the stop of the day before closes
-    it, after which it stays. Bars are one row a day, so a ticker's array holds as many as days.
+    The first day opens the position at its close, with its low as the stop. Later days are bars of the
+    fold: their averages are over the last 3 and 6 closes, their ATR over the last 6 ranges, all kept with
+    the position. Bars are one row a day, so a ticker's array holds as many as days; a day's number is
+    days since 1970. Quotes without a ticker, time or price are left out.
     """
     at = F.struct("ts", "event_id")
-    bars = batch.where("ticker is not null and ts is not null and price is not null").groupBy("ticker", F.to_date("ts").alias("d")).agg(F.min("price").alias("low"), F.max_by("price", at).alias("close"))
-    seen = bars.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("d", "low", "close"))).alias("bars"))
-    fields = "struct<entry:double,stop:double,top:double,last_day:date,state:string>"
+    fine = batch.where("ticker is not null and ts is not null and price is not null")
+    bars = fine.groupBy("ticker", F.unix_date(F.to_date("ts")).alias("d")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"))
+    seen = bars.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("d", "open", "high", "low", "close"))).alias("bars"))
     if old is None:
-        seen = seen.withColumn("p", F.lit(None).cast(fields))
+        seen = seen.withColumn("p", F.lit(None).cast(POSITION))
     else:
-        was = old.select(F.col("ticker").alias("t"), F.struct("entry", "stop", "top", "last_day", "state").cast(fields).alias("p"))
-        seen = seen.join(was, F.col("ticker") == F.col("t"), "full").select(F.coalesce("ticker", "t").alias("ticker"), F.coalesce("bars", F.array().cast("array<struct<d:date,low:double,close:double>>")).alias("bars"), "p")
+        was = old.select(F.col("ticker").alias("t"), F.col("p").cast(POSITION).alias("p"))
+        none = F.array().cast("array<struct<d:int,open:double,high:double,low:double,close:double>>")
+        seen = seen.join(was.hint("merge"), F.col("ticker") == F.col("t"), "full").select(F.coalesce("ticker", "t").alias("ticker"), F.coalesce("bars", none).alias("bars"), "p")
+    cfg = settings(F.lit(None).cast("string"))
+    last = lambda a, n: F.slice(a, F.greatest(F.lit(1), F.size(a) - n + 1), F.lit(n))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
 
-    def moved(p, b):
-        opened = F.struct(b["close"].alias("entry"), (b["close"] * (1 - TRAIL)).alias("stop"), b["close"].alias("top"), b["d"].alias("last_day"), F.lit("open").alias("state")).cast(fields)
-        top = F.greatest(p["top"], b["close"])
-        out = F.struct(p["entry"], p["stop"], p["top"], b["d"].alias("last_day"), F.lit("closed").alias("state")).cast(fields)
-        held = F.struct(p["entry"], (top * (1 - TRAIL)).alias("stop"), top.alias("top"), b["d"].alias("last_day"), F.lit("managing").alias("state")).cast(fields)
-        return F.when(p.isNull(), opened).when((p["state"] == "closed") | (b["d"] <= p["last_day"]), p).when(b["low"] <= p["stop"], out).otherwise(held)
+    def held(entry: Column, stop: Column, closes: Column, ranges: Column, s: Column) -> Column:
+        return F.struct(entry.alias("entry"), stop.alias("first_stop"), closes.alias("closes"), ranges.alias("ranges"), s.alias("s")).cast(POSITION)
 
-    return seen.select("ticker", F.aggregate("bars", F.col("p"), moved).alias("p")).select("ticker", "p.*")
+    def moved(p: Column, b: Column) -> Column:
+        width = b["high"] - b["low"]
+        first = held(b["close"], b["low"], F.array(b["close"]), F.array(width), opened_state(b["low"], b["d"]))
+
+        def with_means(closes: Column) -> Column:
+            ranges = last(F.concat(p["ranges"], F.array(width)), SLOW)
+            parts = {"sidx": b["d"], "open": b["open"], "high": b["high"], "low": b["low"], "close": b["close"], "prev_close": F.element_at(p["closes"], -1), "atr": mean(ranges), "ma20": mean(last(closes, FAST)), "ma50": mean(closes), "earnings_in": F.lit(None).cast("int")}
+            bar = F.struct(*[v.alias(k) for k, v in parts.items()])
+            return let(bar, lambda x: held(p["entry"], p["first_stop"], closes, ranges, advance(p["s"], x, p["entry"], p["entry"] - p["first_stop"], cfg)))
+
+        late = (p["s"]["state"] == "closing") | (b["d"] <= p["s"]["advanced"])
+        return F.when(p.isNull(), first).when(late, p).otherwise(let(last(F.concat(p["closes"], F.array(b["close"])), SLOW), with_means))
+
+    return seen.select("ticker", F.aggregate("bars", F.col("p"), moved).alias("p"))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each ticker's position after all quotes."""
     state = kept_state(quotes(spark, sf_dir), spark, position_step)
-    return spark.createDataFrame([], "ticker long, entry double, stop double, top double, last_day date, state string") if state is None else state
+    state = spark.createDataFrame([], f"ticker long, p {POSITION}") if state is None else state
+    return state.selectExpr("ticker", "p.s.state AS state", r("p.entry", "entry"), r("p.s.stop", "stop"), r("p.s.floor", "floor"), "p.s.basis AS basis", "p.s.caution AS caution", r("p.s.qty", "qty"), r("p.s.exit_price", "exit_price"), "p.s.exit_reason AS exit_reason", "p.s.advanced AS advanced")
+
+
+_days = """d AS (SELECT user_id AS ticker, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INT) AS sidx, min_by(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, row(ts, event_id)) AS close FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2), """
+_day_bars = f"""SELECT ticker, sidx, open, high, low, close, lag(close) OVER w AS prev_close, avg(high - low) OVER (PARTITION BY ticker ORDER BY sidx ROWS {SLOW - 1} PRECEDING) AS atr, avg(close) OVER (PARTITION BY ticker ORDER BY sidx ROWS {FAST - 1} PRECEDING) AS ma20,
+  avg(close) OVER (PARTITION BY ticker ORDER BY sidx ROWS {SLOW - 1} PRECEDING) AS ma50, CAST(NULL AS INT) AS earnings_in FROM d WINDOW w AS (PARTITION BY ticker ORDER BY sidx)"""
+_opened = f"SELECT ticker, sidx AS opened, close AS entry, low AS first_stop, {settings_sql()} FROM d QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY sidx) = 1"
+POSITIONS_SQL = f"""SELECT f.ticker, state, {r('entry')}, stop, floor, basis, caution, qty, exit_price, exit_reason, advanced FROM ({fold_sql(_opened, _day_bars, 10_000, _days)}) f
+JOIN (SELECT user_id AS ticker, max_by(value, row(ts, event_id)) AS entry FROM (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS nth FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL) e WHERE nth = 1 GROUP BY 1) o ON o.ticker = f.ticker"""

@@ -6,12 +6,41 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionforge.operators import feeds
+from sessionforge.sources import files
 from sessionforge.streaming import runs
 
 
-def test_log_skips_malformed_lines_and_other_months(spark):
-    lines = spark.createDataFrame([(1, '{"month":"2024-01","cost":2.5}'), (2, '{"month":"2024-01"'), (3, '{"month":"2024-02","cost":1}'), (4, None), (5, "")], "k int, line string")
-    assert [(x.k, x.cost) for x in feeds.parsed_log(lines, "2024-01").collect()] == [(1, 2.5)]
+def test_log_skips_malformed_lines_and_other_months(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"month":"2024-01","k":1,"cost":2.5}\n{"month":"2024-01"\n{"month":"2024-02","k":3,"cost":1}\n\nnot JSON\n')
+    assert [(x.k, x.cost) for x in files.read_log(spark, str(tmp_path), "k int, cost double", "2024-01").collect()] == [(1, 2.5)]
+
+
+def test_panel_files_coerce_numbers_and_dates(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,name,px,perf\n2024-01-02,a, 1 234.5,3.5%\nbad,b,\"1,234.5\",-\n2024-01-03,,N/A,\n")
+    got = [tuple(x) for x in files.read_panel(spark, str(tmp_path), ["px", "perf"]).collect()]
+    assert got == [(dt.date(2024, 1, 2), "a", None, 3.5), (None, "b", 1234.5, None), (dt.date(2024, 1, 3), None, None, None)]
+
+
+def test_page_tables_and_embedded_data(spark):
+    table = "<table><TR><th>Old</th><th> <b>Price</b></th><th>Junk</th></TR><tr><td><a>X</a></td><td> 3 </td><td>j</td></tr><tr><td>short</td></tr></table>"
+    pages = spark.createDataFrame([(1, table), (2, "<p>no table</p>"), (3, None), (4, "<tr><td>Old</td></tr>")], "id int, html string")
+    got = pages.select("id", files.table_rows(F.col("html"), {"Old": "Ticker"}, ["Ticker", "Price"]).alias("rows")).collect()
+    assert {r.id: r.rows for r in got} == {1: [{"Ticker": "X", "Price": "3"}], 2: [], 3: [], 4: []}
+    json = '{"data":{"rows":[{"text":{"ticker":"A"},"numbers":{"price":2.5,"volume":1234567,"marketCap":1230,"averageVolume":4770000}},{"text":{},"numbers":{}}]}}'
+    pages = spark.createDataFrame([(1, f"<script data-ssr-props='x'>{json}</script>"), (2, "<script data-ssr-props>{bad</script>"), (3, None)], "id int, html string")
+    got = files.embedded_rows(pages, ["Ticker", "Price", "Volume", "Market Cap", "Avg Volume", "Change"]).collect()
+    assert [tuple(r) for r in got] == [(1, "A", "2.50", "1,234,567", "1.23B", "4.77M", "-")]
+    assert len({label for label, _, _ in files.EMBEDDED}) == len(files.EMBEDDED)
+
+
+def test_upsert_replaces_dates_whole(spark, tmp_path):
+    at = str(tmp_path / "store")
+    rows = lambda *r: spark.createDataFrame(r, "session_date date, name string, n int")
+    one, two = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    files.upsert_dates(rows((one, "a", 1), (one, "b", 1), (two, "a", 1)), at)
+    files.upsert_dates(rows((two, "c", 2)), at)
+    files.upsert_dates(rows((one, "x", 9)).where("n < 0"), at)
+    assert sorted((r.session_date, r.name, r.n) for r in spark.read.parquet(at).collect()) == [(one, "a", 1), (one, "b", 1), (two, "c", 2)]
 
 
 def test_taxonomy_rows_and_malformed_node(spark):
@@ -46,36 +75,41 @@ QUOTES = [(1, day(1), 1, "a", 10.0), (2, day(1, 13), 1, "a", 12.0), (3, day(2),
 
 
 def by_loop(rows):
-    """Positions by a plain loop over the days of each ticker."""
+    """Positions by the plain fold over the days of each ticker."""
+    from test_trades import plain
+
     days = {}
     for _, ts, ticker, _, price in sorted((r for r in rows if None not in (r[1], r[2], r[4])), key=lambda r: (r[1], r[0])):
-        low, _ = days.setdefault(ticker, {}).get(ts.date(), (price, price))
-        days[ticker][ts.date()] = (min(low, price), price)
+        days.setdefault(ticker, {}).setdefault(ts.date(), []).append(price)
     out = {}
-    for ticker, bars in days.items():
-        entry = stop = top = last = None
-        state = "new"
-        for d, (low, close) in sorted(bars.items()):
-            if state == "new":
-                entry, stop, top, last, state = close, close * (1 - runs.TRAIL), close, d, "open"
-            elif state != "closed":
-                last = d
-                if low <= stop:
-                    state = "closed"
-                else:
-                    top = max(top, close)
-                    stop, state = top * (1 - runs.TRAIL), "managing"
-        out[ticker] = (entry, stop, top, last, state)
+    for ticker, of in days.items():
+        closes, ranges, bars = [], [], []
+        for d in sorted(of):
+            p = of[d]
+            closes.append(p[-1])
+            ranges.append(max(p) - min(p))
+            mean = lambda a, n: sum(a[-n:]) / len(a[-n:])
+            bars.append(dict(open=p[0], high=max(p), low=min(p), close=p[-1], prev_close=closes[-2] if len(closes) > 1 else p[-1], atr=mean(ranges, 6), ma20=mean(closes, 3), ma50=mean(closes, 6)))
+        s = plain(bars[0]["close"], bars[0]["low"], bars[1:])
+        out[ticker] = (bars[0]["close"], s["state"], s["stop"], s["exit_reason"], s["exit_price"])
     return out
 
 
-@pytest.mark.parametrize("cut", [1, 2, 3, 4, 9])
+MORE = QUOTES + [(20 + 10 * t + i, day(1 + i, 9 + k), 3 + t, "a", 100 + (t + 1) * i * 3.0 + k - (40 if i == 6 + t else 0)) for t in range(4) for i in range(10) for k in range(3)]
+
+
+@pytest.mark.parametrize("cut", [1, 3, 7])
 def test_positions_over_batches_and_a_repeated_batch(spark, cut):
-    first = spark.createDataFrame([q for q in QUOTES if q[1] is None or q[1].day <= cut], SCHEMA)
-    rest = spark.createDataFrame([q for q in QUOTES if q[1] is not None and q[1].day > cut], SCHEMA)
+    first = spark.createDataFrame([q for q in MORE if q[1] is None or q[1].day <= cut], SCHEMA)
+    rest = spark.createDataFrame([q for q in MORE if q[1] is not None and q[1].day > cut], SCHEMA)
     state = runs.position_step(runs.position_step(None, first), rest)
     for s in (state, runs.position_step(state, rest)):
-        assert {x.ticker: (x.entry, x.stop, x.top, x.last_day, x.state) for x in s.collect()} == by_loop(QUOTES)
+        got = {x.ticker: (x.p.entry, x.p.s.state, x.p.s.stop, x.p.s.exit_reason, x.p.s.exit_price) for x in s.collect()}
+        want = by_loop(MORE)
+        assert set(got) == set(want)
+        for k, v in want.items():
+            assert all(x == (pytest.approx(y) if isinstance(y, float) else y) for x, y in zip(got[k], v, strict=True)), (k, got[k], v)
+    assert len({v[1] for v in want.values()}) == 2
 
 
 def test_watch_over_batches_and_a_repeated_batch(spark):

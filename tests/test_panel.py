@@ -58,7 +58,7 @@ def test_no_benchmark_gives_null_strength(spark):
 
 
 def test_forward_returns_need_full_windows(spark):
-    df = spark.createDataFrame([(s, "a", 10.0) for s in range(4)] + [(0, "g", 1.0), (3, "g", 2.0)], "sidx int, name string, perf_day double")
+    df = spark.createDataFrame([(s, "a", 10.0) for s in range(4)] + [(0, "g", 1.0), (3, "g", 2.0)], "sidx int, name string, perf_day double").withColumn("last_sidx", F.lit(3))
     r = {(x["name"], x["sidx"]): x for x in steps(df, forward_steps()).collect()}
     assert r["a", 0]["fwd_3"] == pytest.approx(33.1) and r["a", 3]["fwd_1"] is None
     assert r["a", 2]["fwd_3"] == pytest.approx(10.0) and r["a", 2]["log_3"] is None  # one session is left

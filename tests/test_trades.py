@@ -16,18 +16,18 @@ def plain(entry, stop0, bars):
         count = s["caution"] + 1 if below else 0
         for hit, reason, price in (
             (b["low"] <= s["stop"] and b["open"] < s["stop"], "gap_down_below_stop", b["open"]), (b["low"] <= s["stop"], "stop_hit", s["stop"]), (b["close"] < b["ma50"], "close_below_50ma", b["close"]),
-            ((b["prev_close"] - b["close"]) / b["atr"] >= 3, "severe_breakdown", b["close"]), (below and count >= 2, "two_close_below_20ma", b["close"]),
+            (b["atr"] > 0 and (b["prev_close"] - b["close"]) / b["atr"] >= 3, "severe_breakdown", b["close"]), (below and count >= 2, "two_close_below_20ma", b["close"]),
         ):
             if hit:
                 return s | dict(state="closing", exit_reason=reason, exit_price=price)
         s["caution"] = count
-        if (b["high"] - entry) / (entry - stop0) >= 1:
+        if entry > stop0 and (b["high"] - entry) / (entry - stop0) >= 1:
             s["floor"] = max(s["floor"], entry)
         basis = "50ma" if b["ma50"] > entry else "20ma"
         trail = b["ma50"] if basis == "50ma" else b["ma20"]
         s["stop"] = max(s["floor"], trail) if basis != s["basis"] else max(s["stop"], trail, s["floor"])
         s["basis"] = basis
-        for m in range(7, math.floor((b["close"] - b["ma50"]) / b["atr"]) + 1):
+        for m in range(7, math.floor((b["close"] - b["ma50"]) / b["atr"]) + 1 if b["atr"] > 0 else 0):
             if m > s["trimmed"]:
                 s["qty"], s["trimmed"] = s["qty"] * 0.9, m
         s["state"] = "managing"
@@ -89,8 +89,9 @@ def test_streams_equal_their_batch_twins(spark):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"create view events as select * from '{sf}/events.parquet'")
-    for run, sql in ((runs.session_bars, runs.SESSION_BARS_SQL), (runs.quote_ingest, runs.QUOTE_INGEST_SQL), (runs.status, runs.STATUS_SQL)):
+    for t in ("events", "lineitem", "part"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for run, sql in ((runs.session_bars, runs.SESSION_BARS_SQL), (runs.quote_ingest, runs.QUOTE_INGEST_SQL), (runs.status, runs.STATUS_SQL), (runs.positions, runs.POSITIONS_SQL)):
         df = run(spark, sf)
         other = con.sql(sql)
         cols = sorted(df.columns)
