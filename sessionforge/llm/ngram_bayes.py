@@ -8,7 +8,7 @@ text's vector holds r at the features it has, and a logistic regression is fitte
 `FIT_ROWS` training texts of each class, chosen by hash, all if there are fewer. Whole texts of any
 length are scored.
 
-Null and empty texts have no n-grams; their score is that of the bias. Labels that are null are left
+Null, empty and blank texts have no n-grams; their score is that of the bias. Labels that are null are left
 out; a doc_id with several labels is toxic if one says so. A doc_id that appears again is scored for
 every row, equal texts alike. Without both classes among the training labels every score is 1/2 or the one class's rate,
 smoothed. Labels, language, source and doc_id are no inputs of a score. Other columns are ignored.
@@ -50,6 +50,8 @@ def places(text: str | None, scratch: np.ndarray) -> np.ndarray:
             h = (h ^ c[k : k + m]) * _MULTIPLIERS[k]
             h ^= h >> np.uint32(15)
         found.append(h)
+    if not found:
+        return np.empty(0, "int64")
     h = (np.concatenate(found) >> np.uint32(32 - BITS)).astype("int64")
     at = np.arange(len(h))
     scratch[h] = at
