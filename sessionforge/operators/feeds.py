@@ -169,8 +169,50 @@ SELECT cast(count(*) AS int) AS resamples, {r(low, 'ci_low')}, {r(high, 'ci_high
 _raw = {"Ticker": "CASE WHEN ticker % 17 = 0 THEN '' ELSE cast(ticker AS string) END", "Price": "cast(cast(floor(close * 100 + 5e-1) AS bigint) AS string)", "ATR": "'-'", "Volume": "cast(volume AS string)"}
 _projected = f"SELECT {KEY}, cast(raw_ticker AS string) AS quoted, try_cast(raw_price AS double) AS price, try_cast(raw_atr AS double) AS atr, try_cast(raw_volume AS double) AS volume, raw FROM (SELECT {KEY}, {', '.join(f'{v} AS raw_{k.lower()}' for k, v in _raw.items())}, RAW AS raw FROM {{bars}}) t WHERE raw_ticker <> ''"
 
-#: What an owner may do: the state it needs and the state it leads to.
-ACTIONS = "(VALUES ('purchase', 'confirm', 'closing', 'closed'), ('view', 'still_holding', 'closing', 'managing'), ('click', 'correct', 'closed', 'closed'), ('signup', 'reopen', 'closed', 'managing'), ('error', 'reopen', 'closed', 'managing')) AS v(event_type, action, needs, leads_to)"
+#: What an owner may do: the event that stands for it, the state it needs and the state it leads to.
+ACTIONS = {"purchase": ("confirm", "closing", "closed"), "view": ("still_holding", "closing", "managing"), "click": ("correct", "closed", "closed"), "signup": ("reopen", "closed", "managing"), "error": ("reopen", "closed", "managing")}
+
+
+def owner_transitions(actions: DataFrame, states: DataFrame) -> DataFrame:
+    """(position, nth, action, found, accepted, state): actions (position, nth, action) applied in order to states (position, state).
+
+    An action is accepted if its position is in the state it needs, and refused otherwise; then, and where
+    there is no position, nothing changes. What a batch does to one position is one array.
+    """
+    of = {action: (needs, leads) for action, needs, leads in ACTIONS.values()}
+    pick = lambda a, i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in of.items() for x in (k, v[i])]), a)
+    seen = actions.groupBy(F.col("position").alias("of")).agg(F.sort_array(F.collect_list(F.struct("nth", "action"))).alias("asked"))
+    seen = seen.join(states.hint("merge"), F.col("of") == F.col("position"), "left")
+    told = "array<struct<nth:bigint,action:string,found:string,accepted:boolean,state:string>>"
+
+    def step(acc: Column, a: Column) -> Column:
+        fine = F.coalesce(acc["state"] == pick(a["action"], 0), F.lit(False))
+        state = F.when(fine, pick(a["action"], 1)).otherwise(acc["state"])
+        row = F.struct(a["nth"].alias("nth"), a["action"].alias("action"), acc["state"].alias("found"), fine.alias("accepted"), state.alias("state"))
+        return F.struct(state.alias("state"), F.concat(acc["told"], F.array(row)).cast(told).alias("told"))
+
+    end = F.aggregate("asked", F.struct(F.col("state").alias("state"), F.array().cast(told).alias("told")), step, lambda acc: acc["told"])
+    return seen.select("of", F.explode(end).alias("t")).select(F.col("of").alias("position"), "t.*")
+
+
+def sm_owner_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an owner's action on the position that the ticker's last bar leaves, in the order of time."""
+    last = RELATIONS["stock"](spark, sf_dir).groupBy(F.col("ticker").alias("position")).agg(F.max_by(F.struct("low", "prior_low", "close", "ma50"), "sidx").alias("b"))
+    states = last.select("position", F.expr("CASE WHEN b.low <= b.prior_low THEN 'closed' WHEN b.close < b.ma50 THEN 'closing' ELSE 'managing' END").alias("state"))
+    action = F.try_element_at(F.create_map(*[F.lit(x) for k, v in ACTIONS.items() for x in (k, v[0])]), F.col("event_type"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("position"), F.col("event_id").cast("long").alias("nth"), action.alias("action"))
+    return owner_transitions(events.where("position is not null and action is not null"), states).withColumnsRenamed({"position": "user_id", "nth": "event_id"})
+
+
+_OWNER_SQL = Query(
+    "sm_owner_transitions",
+    f"""WITH v(event_type, action, needs, leads) AS (VALUES {', '.join(f"('{k}', '{a}', '{n}', '{l}')" for k, (a, n, l) in ACTIONS.items())}),
+e AS (SELECT user_id, event_id, v.*, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events JOIN v USING (event_type) WHERE user_id IS NOT NULL),
+p AS (SELECT ticker, CASE WHEN low <= prior_low THEN 'closed' WHEN close < ma50 THEN 'closing' ELSE 'managing' END AS state FROM {{stock}} QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY sidx DESC) = 1),
+f AS (SELECT e.user_id, e.event_id, e.nth, e.action, p.state AS found, coalesce(p.state = e.needs, false) AS accepted, CASE WHEN p.state = e.needs THEN e.leads ELSE p.state END AS state FROM e LEFT JOIN p ON p.ticker = e.user_id WHERE e.nth = 1
+UNION ALL SELECT e.user_id, e.event_id, e.nth, e.action, f.state, coalesce(f.state = e.needs, false), CASE WHEN f.state = e.needs THEN e.leads ELSE f.state END FROM f JOIN e ON e.user_id = f.user_id AND e.nth = f.nth + 1)
+SELECT user_id, event_id, action, found, accepted, state FROM f""",
+)
 
 QUERIES = [
     Query(
@@ -185,12 +227,9 @@ QUERIES = [
         _bootstrap(f"explode(sequence(0, cast(ceil((SELECT n FROM n) / {BLOCK}e0) AS int) - 1))", f"explode(sequence(0, {BLOCK - 1}))", "cast(conv(substr(md5(concat(cast(id AS string), '|', cast(k AS string))), 1, 7), 16, 10) AS bigint)", "percentile(m, 0.025)", "percentile(m, 0.975)"),
         _bootstrap(f"unnest(range(0, cast(ceil((SELECT n FROM n) / {BLOCK}e0) AS int)))", f"unnest(range(0, {BLOCK}))", "('0x' || substr(md5(concat(cast(id AS string), '|', cast(k AS string))), 1, 7))::BIGINT", "quantile_cont(m, 0.025)", "quantile_cont(m, 0.975)"),
     ),
-    Query("sm_owner_transitions", f"""WITH p AS (SELECT ticker, CASE WHEN low <= prior_low THEN 'closed' WHEN close < ma50 THEN 'closing' ELSE 'managing' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY sidx DESC) AS nth FROM {{stock}}) k WHERE nth = 1),
-a AS (SELECT user_id, max_by(event_type, event_id) AS event_type FROM {{events}} GROUP BY user_id)
-SELECT a.user_id, v.action, p.state AS found, coalesce(p.state = v.needs, false) AS accepted, CASE WHEN p.state = v.needs THEN v.leads_to ELSE p.state END AS state FROM a JOIN {ACTIONS} ON v.event_type = a.event_type LEFT JOIN p ON p.ticker = a.user_id"""),
 ]
 
-FUNCTIONS = {f.__name__: f for f in (src_jsonl_log, src_snapshots, src_page_extract, src_embedded_json, snk_upsert_date, snk_schema_migrate, src_nested_taxonomy, snk_export, fn_split_sections)}
+FUNCTIONS = {f.__name__: f for f in (src_jsonl_log, src_snapshots, src_page_extract, src_embedded_json, snk_upsert_date, snk_schema_migrate, src_nested_taxonomy, snk_export, fn_split_sections, sm_owner_transitions)}
 
 _strip = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 SQL = {
@@ -203,6 +242,7 @@ SQL = {
     ).sql(),
     "snk_upsert_date": Query("snk_upsert_date", "SELECT session_date, name, CASE WHEN sidx >= 80 THEN stocks + 1 ELSE stocks END AS stocks FROM {ssnap}").sql(),
     "snk_schema_migrate": Query("snk_schema_migrate", "SELECT session_date, name, stocks, CASE WHEN sidx >= 40 THEN stocks * 2 END AS added FROM {ssnap}").sql(),
+    "sm_owner_transitions": _OWNER_SQL.sql().replace("WITH", "WITH RECURSIVE", 1),
     "src_nested_taxonomy": "SELECT DISTINCT p_type AS sector, p_brand AS industry FROM part",
     "snk_export": Query("snk_export", f"SELECT 'sector' AS kind, session_date, name, {r('px')} FROM {{ssnap}} UNION ALL SELECT 'benchmark' AS kind, session_date, name, {r('px')} FROM {{bench}}").sql(),
     "fn_split_sections": f"""SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN nullif({_strip.format("coalesce(text, '')")}, '') END AS headline, nullif(role, '') AS risks, role AS phase, CASE WHEN turn % 2 = 0 THEN cast(turn AS VARCHAR) ELSE 'turn ' || turn END AS reasoning FROM conversations""",

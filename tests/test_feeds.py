@@ -66,6 +66,17 @@ def test_sections_and_phase(spark):
     assert [tuple(x) for x in answers.select(label, why).collect()] == [("up", "a b"), ("first", "second third"), ("Why: only", "only"), ("", "")]
 
 
+def test_owner_actions_need_their_state(spark):
+    asked = [(1, 1, "still_holding"), (1, 2, "confirm"), (1, 3, "reopen"), (2, 5, "confirm"), (2, 6, "confirm"), (2, 7, "correct"), (2, 8, "reopen"), (3, 9, "confirm"), (4, 1, "unheard_of")]
+    actions = spark.createDataFrame(asked, "position long, nth long, action string")
+    states = spark.createDataFrame([(1, "closing"), (2, "closing"), (4, "closed"), (5, "managing")], "position long, state string")
+    got = {(r.position, r.nth): (r.found, r.accepted, r.state) for r in feeds.owner_transitions(actions, states).collect()}
+    assert got == {
+        (1, 1): ("closing", True, "managing"), (1, 2): ("managing", False, "managing"), (1, 3): ("managing", False, "managing"), (2, 5): ("closing", True, "closed"), (2, 6): ("closed", False, "closed"),
+        (2, 7): ("closed", True, "closed"), (2, 8): ("closed", True, "managing"), (3, 9): (None, False, None), (4, 1): ("closed", False, "closed"),
+    }
+
+
 def day(n, hour=12):
     return dt.datetime(2024, 1, n, hour)
 
