@@ -6,7 +6,8 @@ the buckets in which pairs meet. Inside a bucket the values of a pair are compar
 and the pair is dropped once the posterior probability that its similarity reaches the threshold,
 after what agreed so far, is below the tolerance. All that is left is verified on the exact sets.
 
-Null and empty texts have no runs and link with nothing; they stay their own class. Texts with the
+Texts of any length are taken whole, and a similarity of exactly the threshold is a link. Null and empty
+texts have no runs and link with nothing; they stay their own class. Texts with the
 same set of runs are one vertex with a weight; a repeated row is a copy. Vertices are numbered by
 their smallest doc_id, then by fingerprint, so that rows of one doc_id with different texts have
 vertices, links and classes of their own. Rows with a null doc_id are returned without links. Other

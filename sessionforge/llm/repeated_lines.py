@@ -17,7 +17,8 @@ Positions are ordered by doc_id and line, so the first copy is that of the small
 repeats inside one document loses its later copies too. Lines are what stands between line feeds,
 compared as written. Null texts have no lines and stay null; empty texts are one empty line. Rows with
 the same doc_id are ordered by text hash; a repeated row (same doc_id and text) counts as one document
-and both rows get the same result. Null doc_ids come first. Other columns are ignored.
+and both rows get the same result. Null doc_ids come first. A text may have any number of lines; it is
+rebuilt in one pass. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ zero; the rules left, and the bias, are the score, written as one Spark column e
 
 Null and empty texts have statistics of zero and get a score like any other. Null labels are left out;
 a doc_id with several labels is good if all say so. Rows are scored each, so repeated rows get the
-same score. Without both classes among the training labels the score is the smoothed rate of good
+same score. Texts of any length are measured whole, and a score of exactly 1/2 predicts good. Without both classes among the training labels the score is the smoothed rate of good
 ones. Labels, language, source and doc_id are no inputs of a score. Other columns are ignored.
 """
 

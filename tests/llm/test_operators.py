@@ -233,6 +233,49 @@ def test_repeated_lines(spark, docs):
     assert repeated_lines.dedup_lines(docs.where("doc_id < 0")).count() == 0
 
 
+def test_long_texts_and_a_hot_line(spark):
+    rng = np.random.default_rng(21)
+    lines = [text(rng, 9) for _ in range(6000)]
+    common = "the same line in all"
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[100:5000])), (3, "\n".join(["x", *lines[10:14], "y", *lines[20:40]])), (4, "\n".join([common] * 3000)), (5, "\n".join([common, lines[0], common]))]
+    got = {r["doc_id"]: r for r in repeated_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[1]["removed"] and got[2]["text"] == "" and list(got[3]["removed"]) == list(range(6, 26))
+    # runs of 50 words of the common line repeat from the second line on
+    assert list(got[4]["removed"]) == list(range(1, 3000)) and got[4]["text"] == common and not got[5]["removed"]
+
+
+def test_a_large_cluster_of_near_copies_and_long_texts(spark):
+    rng = np.random.default_rng(22)
+    base, rows = text(rng, 90).split(), []
+    for i in range(620):
+        w = list(base)
+        for k in rng.integers(0, 90, int(rng.integers(0, 4))):
+            w[k] = f"x{rng.integers(0, 99)}"
+        rows.append((i, " ".join(w)))
+    long = text(rng, 25_000).split()
+    rows += [(1000, " ".join(long)), (1001, " ".join([*long[:500], "x", *long[500:]])), (1002, text(rng, 25_000))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows if (w := t.split())}
+    links, root = Counter(), {i: i for i in sets}
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
+                x, y = a, b
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                root[max(x, y)] = min(x, y)
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (links[i], top(i)) for i in ids} and got[1001] == (1, 1000)
+
+
 def test_classifiers(spark):
     d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     extra = spark.createDataFrame([(10_001, None, None, None, None), (10_002, "", None, None, None)], d.schema)
