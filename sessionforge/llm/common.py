@@ -105,15 +105,16 @@ def positions(df: DataFrame, group: list[str], order: list[str], weight: str | N
 HOT_KEYS, HOT_ROWS = 20_000, 1_000
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, columns: list[str]) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, columns: list[str], total: int | None = None) -> DataFrame:
     """rows left-joined to facts on keys: adds `columns` of facts, null where there are none.
 
     facts has one row a key; its column n says how many rows have the key. There are at most HOT_KEYS
     keys with more than a HOT_KEYS-th of all rows: these are broadcast, and their rows dealt at random
     by a salt, so that no key gathers in one task. Rows whose key is null find nothing. facts should
-    be cheap to read twice.
+    be cheap to read twice; total is the sum of n, if it is known.
     """
-    total = facts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).collect()[0]["t"]
+    if total is None:
+        total = facts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).collect()[0]["t"]
     is_hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
     renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     hot = facts.where(is_hot).select(*renamed, F.struct(*columns).alias("_hot"))
@@ -142,19 +143,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round takes the smallest label of the neighbours and then follows the label's own label
     (pointer jumping), so rounds grow with the logarithm of the longest path; they go on until no label
-    changes. Nothing but whether one did reaches the driver. A root with many members is one key of a
-    sort-merge join whose other side has one row of it: adaptive skew joins cut it at its size.
+    changes. Vertices with many neighbours and roots with many members are joined as hot keys. Nothing
+    but counts reaches the driver.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
+    # every edge stands there both ways, so a vertex is as often b as it is a
+    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"), F.count("*").alias("degree")).select("v", "degree", F.least("v", "m").alias("root")))
+    n_edges, n_vertices = both.count(), labels.count()
     while True:
-        near = both.join(labels.hint("merge"), both["b"] == labels["v"]).groupBy("a").agg(F.min("root").alias("m"))
-        step = labels.join(near.hint("merge"), labels["v"] == near["a"]).select("v", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        up = step.select(F.col("v").alias("u"), F.col("root").alias("up"))
-        step = written(step.join(up.hint("merge"), step["root"] == up["u"], "left").select("v", "was", F.least("root", F.coalesce("up", "root")).alias("root")))
-        labels = step.select("v", "root")
+        near = with_facts(both, labels.withColumnRenamed("v", "b"), ["b"], "degree", ["root"], n_edges).groupBy("a").agg(F.min("root").alias("m"))
+        step = labels.join(near.hint("merge"), labels["v"] == near["a"])
+        step = written(step.select("v", "degree", F.col("root").alias("was"), F.least("root", "m").alias("root")))
+        up = step.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("n"))
+        up = up.join(step.select("v", F.col("root").alias("up")).hint("merge"), F.col("r") == F.col("v")).select(F.col("r").alias("root"), "n", "up")
+        step = written(with_facts(step, up, ["root"], "n", ["up"], n_vertices).select("v", "degree", "was", F.least("root", F.coalesce("up", "root")).alias("root")))
+        labels = step.select("v", "degree", "root")
         if step.where("root <> was").isEmpty():
-            return labels
+            return labels.select("v", "root")
 
 
 def forest(a, b):
