@@ -141,12 +141,20 @@ def within(d: np.ndarray, ratio: float) -> np.ndarray:
 
 
 class Lists:
-    """The centroids of one length, their graph, and how vectors of this length are lifted."""
+    """The centroids of one length, their graph, and how vectors of this length are lifted; `parts` are plain data."""
 
-    def __init__(self, sample: np.ndarray, n: int, scale: float, longest: float):
-        self.scale, self.longest = scale, longest
-        self.centroids = balanced_centroids(self.lifted(sample), n_lists(n)) if len(sample) else np.zeros((1, 1), "float32")
-        self.graph = neighbour_graph(self.centroids)
+    def __init__(self, centroids: np.ndarray, graph: np.ndarray, scale: float, longest: float):
+        self.centroids, self.graph, self.scale, self.longest = centroids, graph, scale, longest
+        self.parts = (centroids, graph, scale, longest)
+
+    @classmethod
+    def fitted(cls, sample: np.ndarray, n: int, scale: float, longest: float) -> Lists:
+        """Fitted on a sample of n vectors; scale: their greatest component, longest: the greatest square of a length, in its units."""
+        blank = cls(np.zeros((1, 1), "float32"), np.zeros((1, 1), "int32"), scale, longest)
+        if not len(sample):
+            return blank
+        centroids = balanced_centroids(blank.lifted(sample), n_lists(n))
+        return cls(centroids, neighbour_graph(centroids), scale, longest)
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         x = x / self.scale
@@ -277,9 +285,9 @@ def _answers(df: DataFrame, every: int, k: int, closure: float, max_copies: int,
         mine = drawn.filter(pa.compute.equal(drawn["dim"], dim))["embedding"].combine_chunks()
         x = vectors_of(mine if isinstance(mine, pa.Array) else mine.chunk(0)).astype("float64") if len(mine) else np.empty((0, dim))
         longest = float(((x / f["scale"]) ** 2).sum(1).max(initial=0)) * 1.05  # what is longer still is not lifted
-        index[dim] = Lists(x, f["n"], f["scale"], longest or 1.0)
+        index[dim] = Lists.fitted(x, f["n"], f["scale"], longest or 1.0).parts
     held = spark.sparkContext.broadcast(index)  # 4 sqrt(n) centroids
-    lists = sum(len(i.centroids) for i in index.values())
+    lists = sum(len(parts[0]) for parts in index.values())
 
     def placed(get, key: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +295,7 @@ def _answers(df: DataFrame, every: int, k: int, closure: float, max_copies: int,
                 dims = b.column("dim").to_numpy()
                 for dim in np.unique(dims).tolist():
                     part = b.filter(pa.array(dims == dim))
-                    row, at = get(held.value[dim], vectors_of(part.column("embedding")).astype("float64"))
+                    row, at = get(Lists(*held.value[dim]), vectors_of(part.column("embedding")).astype("float64"))
                     yield pa.RecordBatch.from_pydict({key: part.column(key).take(pa.array(row)), "dim": pa.array(np.full(len(row), dim, "int32")), "list": pa.array(at.astype("int32"))})
 
         return run

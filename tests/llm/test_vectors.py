@@ -150,7 +150,7 @@ def test_many_lists_are_pruned_and_recall_holds(spark):
     assert hit / (20 * len(queries)) >= 0.9
     assert posting_lists.n_lists(6000) > 150 and posting_lists.n_lists(10**8) == 40_000
     x64 = x.astype("float64")
-    index = posting_lists.Lists(x64, 6000, float(np.abs(x).max()), float(((x64 / np.abs(x).max()) ** 2).sum(1).max()))
+    index = posting_lists.Lists.fitted(x64, 6000, float(np.abs(x).max()), float(((x64 / np.abs(x).max()) ** 2).sum(1).max()))
     row, _ = index.of_queries(x64[::20], 96, 0.15)
     all_probes, _ = index.of_queries(x64[::20], 96, 1e9)
     assert len(row) < 0.5 * len(queries) * len(index.centroids) and len(row) < len(all_probes)  # pruned by number and by ratio
