@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionforge.llm.common import positions, saved, with_facts
-from sessionforge.llm.linking import Exact, clusters, linked, settled
+from sessionforge.llm.linking import Exact, clusters, linked, settled, with_root_rep
 
 #: Chance that a pair right at the threshold shares no bucket, and that its codes differ in too many bits.
 MISS = 1e-5
@@ -247,8 +247,7 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     members = saved(kept.join(found.hint("merge"), kept["id"] == found["v"]).select("root", "id", "weight", *exact.columns))
     links = settled(linked(members, exact))
     # back from vertices to rows: a copy has its vertex's links, and one for each other copy
-    reps = vertices.select(F.col("id").alias("rid"), F.col("rep").alias("component_id"))
-    links = links.join(reps.hint("merge"), F.col("root") == F.col("rid")).select(F.col("id").alias("lid"), F.col("n_links").alias("n"), "component_id")
+    links = with_root_rep(links, vertices).select(F.col("id").alias("lid"), F.col("n_links").alias("n"), F.col("rep").alias("component_id"))
     facts = vertices.join(links.hint("merge"), F.col("id") == F.col("lid"), "left")
     facts = saved(facts.select("vkey", "label", "embedding", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")))
     keyed = rows.withColumn("vkey", F.when(F.col("vec_id").isNotNull(), F.xxhash64("label", "embedding")))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionforge.llm.common import positions, saved, with_facts
-from sessionforge.llm.linking import Exact, clusters, linked, settled
+from sessionforge.llm.linking import Exact, clusters, linked, settled, with_root_rep
 
 WORDS, THRESHOLD = 5, 0.8
 #: 32 bands of 4 values: a pair at 0.8 shares no band once in 2e7.
@@ -264,7 +264,7 @@ def judged(docs: DataFrame) -> DataFrame:
     members = saved(members.join(own.hint("merge"), (members["rep"] == F.col("of")) & (members["th"] == F.col("h"))).drop("of", "h", "rep", "th").dropDuplicates(["id"]))
     found = settled(linked(members, comparisons()))
     # a class is named by the doc_id of its first vertex, the smallest of all its rows
-    found = found.join(heads.select(F.col("id").alias("rid"), F.col("rep").alias("class_id")).hint("merge"), F.col("root") == F.col("rid")).select(F.col("id").alias("fid"), "n_links", "root", "class_id")
+    found = with_root_rep(found, heads).select(F.col("id").alias("fid"), "n_links", "root", F.col("rep").alias("class_id"))
     per = heads.select("id", "fx", "fy", "size", "rep", "weight", "th").join(found.hint("merge"), F.col("id") == F.col("fid"), "left")
     stays = F.when(F.coalesce("root", "id") == F.col("id"), F.col("th")).alias("stays")
     per = per.select(*keys, "weight", "rep", stays, (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))

@@ -215,3 +215,11 @@ def settled(found: DataFrame) -> DataFrame:
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     roots = components(found.where("a is not null").select(F.col("id").alias("a"), F.col("a").alias("b")))
     return counts.join(roots.hint("merge"), counts["id"] == roots["v"]).select("id", "n_links", "root")
+
+
+def with_root_rep(found: DataFrame, reps: DataFrame) -> DataFrame:
+    """found (..., root) with `rep`, what reps (id, rep) says of the root; a root may have any number of members."""
+    found = saved(found)
+    n = found.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("n"))
+    facts = saved(n.join(reps.select("id", "rep").hint("merge"), F.col("r") == F.col("id")).select(F.col("r").alias("root"), "n", "rep"))
+    return with_facts(found, facts, ["root"], "n", ["rep"])
