@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionforge.llm import host_reputation
+from sessionforge.llm import host_reputation, merkle_log
 from sessionforge.llm.bin_slack import pack
 from sessionforge.llm.binary_codes import near_duplicate_vectors
 from sessionforge.llm.common import table
 from sessionforge.llm.host_reputation import judge_urls
 from sessionforge.llm.jaccard import jaccard_join
 from sessionforge.llm.kd_shards import kd_shards
+from sessionforge.llm.merkle_log import proofs
 from sessionforge.llm.mixing import mix
 from sessionforge.llm.ngram_bayes import toxicity_scores
 from sessionforge.llm.posting_lists import nearest
@@ -60,7 +61,11 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed", "text")
 
 
-QUERIES = (op1_binary_code_dedup, op2_posting_lists, op3_host_reputation, op4_mix_sources, op5_rule_ensemble, op6_kd_shards, op7_ngram_bayes, op8_jaccard_join, op9_bin_slack, op10_repeated_lines)
+def op12_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_binary_code_dedup, op2_posting_lists, op3_host_reputation, op4_mix_sources, op5_rule_ensemble, op6_kd_shards, op7_ngram_bayes, op8_jaccard_join, op9_bin_slack, op10_repeated_lines, op12_merkle_log)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -69,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others are held against brute force in tests."""
-    return {"op3_host_reputation": host_reputation.SQL}
+    return {"op3_host_reputation": host_reputation.SQL, "op12_merkle_log": merkle_log.SQL}
