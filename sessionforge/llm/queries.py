@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sessionforge.llm import host_reputation, merkle_log
 from sessionforge.llm.bin_slack import pack
 from sessionforge.llm.binary_codes import near_duplicate_vectors
+from sessionforge.llm.bpe_transducer import round_trip
 from sessionforge.llm.common import table
 from sessionforge.llm.host_reputation import judge_urls
 from sessionforge.llm.jaccard import jaccard_join
@@ -65,7 +66,11 @@ def op12_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_binary_code_dedup, op2_posting_lists, op3_host_reputation, op4_mix_sources, op5_rule_ensemble, op6_kd_shards, op7_ngram_bayes, op8_jaccard_join, op9_bin_slack, op10_repeated_lines, op12_merkle_log)
+def op13_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_binary_code_dedup, op2_posting_lists, op3_host_reputation, op4_mix_sources, op5_rule_ensemble, op6_kd_shards, op7_ngram_bayes, op8_jaccard_join, op9_bin_slack, op10_repeated_lines, op12_merkle_log, op13_bpe_transducer)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
