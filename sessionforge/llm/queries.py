@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionforge.llm import host_reputation, merkle_log
+from sessionforge.llm import host_reputation, merkle_log, phrase_mining
 from sessionforge.llm.bin_slack import pack
 from sessionforge.llm.binary_codes import near_duplicate_vectors
 from sessionforge.llm.bpe_transducer import round_trip
@@ -17,6 +17,7 @@ from sessionforge.llm.kd_shards import kd_shards
 from sessionforge.llm.merkle_log import proofs
 from sessionforge.llm.mixing import mix
 from sessionforge.llm.ngram_bayes import toxicity_scores
+from sessionforge.llm.phrase_mining import collocations
 from sessionforge.llm.posting_lists import nearest
 from sessionforge.llm.repeated_lines import dedup_lines
 from sessionforge.llm.rule_ensemble import quality_scores
@@ -62,6 +63,10 @@ def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed", "text")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs(table(spark, sf_dir, "documents"))
 
@@ -70,7 +75,7 @@ def op13_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_binary_code_dedup, op2_posting_lists, op3_host_reputation, op4_mix_sources, op5_rule_ensemble, op6_kd_shards, op7_ngram_bayes, op8_jaccard_join, op9_bin_slack, op10_repeated_lines, op12_merkle_log, op13_bpe_transducer)
+QUERIES = (op1_binary_code_dedup, op2_posting_lists, op3_host_reputation, op4_mix_sources, op5_rule_ensemble, op6_kd_shards, op7_ngram_bayes, op8_jaccard_join, op9_bin_slack, op10_repeated_lines, op11_phrase_mining, op12_merkle_log, op13_bpe_transducer)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -79,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others are held against brute force in tests."""
-    return {"op3_host_reputation": host_reputation.SQL, "op12_merkle_log": merkle_log.SQL}
+    return {"op3_host_reputation": host_reputation.SQL, "op11_phrase_mining": phrase_mining.SQL, "op12_merkle_log": merkle_log.SQL}
