@@ -113,9 +113,6 @@ QUERIES = [
     Query("fn_evidence_fields", f"SELECT {KEY}, {r('100 * (close - prior_low) / nullif(close, 0)', 'stop_gap_pct')}, {r('100 * (prior_high - close) / nullif(close, 0)', 'trigger_gap_pct')}, {r('(prior_high - close) / nullif(atr, 0)', 'gap_atr')}, {r('range_atr')}, {r('atr_ext_20')}, {r('atr_ext_50')} FROM {{stock}}"),
     Query("fn_earnings_days", "SELECT k, said, as_of, CASE WHEN hit IS NULL THEN NULL WHEN datediff(as_of, hit) > 180 THEN datediff(add_months(hit, 12), as_of) ELSE datediff(hit, as_of) END AS days FROM (SELECT k, said, as_of, try_to_timestamp(concat(cast(year(as_of) AS string), ' ', regexp_extract(said, '^([A-Z][a-z][a-z] [0-9]+)(/[ab])?$', 1)), 'yyyy MMM d') AS hit FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN '-' ELSE concat(date_format(o_orderdate, 'MMM d'), CASE o_orderkey % 3 WHEN 0 THEN '/a' WHEN 1 THEN '/b' ELSE '' END) END AS said, to_date(o_orderdate + make_interval(0, 0, 0, cast(o_custkey % 300 AS int))) AS as_of FROM {orders}) s) t",
           "SELECT k, said, as_of, CASE WHEN hit IS NULL THEN NULL WHEN datediff('day', hit, as_of) > 180 THEN datediff('day', as_of, CAST(hit + INTERVAL 12 MONTH AS DATE)) ELSE datediff('day', as_of, hit) END AS days FROM (SELECT k, said, as_of, CAST(try_strptime(concat(cast(year(as_of) AS string), ' ', regexp_extract(said, '^([A-Z][a-z][a-z] [0-9]+)(/[ab])?$', 1)), '%Y %b %-d') AS DATE) AS hit FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN '-' ELSE concat(strftime(o_orderdate, '%b %-d'), CASE o_orderkey % 3 WHEN 0 THEN '/a' WHEN 1 THEN '/b' ELSE '' END) END AS said, CAST(o_orderdate + to_days(cast(o_custkey % 300 AS int)) AS DATE) AS as_of FROM {orders}) s) t"),
-    Query("fn_trading_day", "SELECT e.event_id, max(d.day_date) AS trading_date FROM {events} e JOIN (SELECT DISTINCT day(ts) AS day_date FROM {events}) d ON d.day_date <= CASE WHEN hour(e.ts) < 9 THEN day(e.ts - INTERVAL '24' HOUR) ELSE day(e.ts) END AND d.day_date >= day(e.ts - INTERVAL '240' HOUR) AND weekday(d.day_date) < 5 GROUP BY e.event_id",
-          "SELECT e.event_id, max(d.day_date) AS trading_date FROM {events} e JOIN (SELECT DISTINCT day(ts) AS day_date FROM {events}) d ON d.day_date <= CASE WHEN hour(e.ts) < 9 THEN day(e.ts - INTERVAL '24' HOUR) ELSE day(e.ts) END AND d.day_date >= day(e.ts - INTERVAL '240' HOUR) AND isodow(d.day_date) < 6 GROUP BY e.event_id"),
-    Query("fn_sessions_between", "SELECT ticker, session_date, cast(sidx - lag(sidx) OVER (PARTITION BY ticker ORDER BY sidx) AS int) AS sessions_between FROM {bars}"),
     Query("fn_token_split", f"SELECT conv_id, turn, n_in, coalesce(n_out, 0) + coalesce(thoughts, greatest(0, cast(n_in / 10e0 AS int) - n_out)) AS billed_out FROM (SELECT conv_id, turn, n_in, n_out, thoughts FROM ({CHAT}) c) t"),
     Query("fn_watch_level", f"SELECT {KEY}, kind, CASE kind WHEN 'above' THEN close >= prior_high WHEN 'below' THEN close <= prior_low WHEN 'reclaim_20ma' THEN close > ma20 AND low < ma20 ELSE close > ma50 AND low < ma50 END AS hit FROM (SELECT *, each('above', 'below', 'reclaim_20ma', 'reclaim_50ma') AS kind FROM {{stock}}) t"),
     Query("fn_open_position", f"SELECT {KEY}, 'open' AS state, {r('close', 'entry_price')}, {r('low', 'current_stop')}, {r('low', 'profit_floor')}, '20ma' AS trail_basis, 'entered' AS event_type FROM {{stock}} WHERE low < close"),
