@@ -125,7 +125,7 @@ def fn_sessions_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 FUNCTIONS = {f.__name__: f for f in (fn_trading_day, fn_sessions_between)}
 
 #: A calendar told in another way: holidays listed year by year, Easter by Gauss's rule for 1900 to 2099, look-ups by counting.
-_days_sql = """years AS (SELECT range AS y FROM range(1990, 2036)),
+DAYS = """years AS (SELECT range AS y FROM range(1990, 2036)),
 gauss AS (SELECT y, (19 * (y % 19) + 24) % 30 AS p FROM years),
 easter AS (SELECT y, make_date(y, 3, 22) + CAST(p + q - CASE WHEN p = 29 AND q = 6 OR p = 28 AND q = 6 AND y % 19 > 10 THEN 7 ELSE 0 END AS INT) AS sunday FROM (SELECT *, (2 * (y % 4) + 4 * (y % 7) + 6 * p + 5) % 7 AS q FROM gauss) g),
 fixed AS (SELECT make_date(y, m, d) AS day, m FROM years, (VALUES (1, 1), (6, 19), (7, 4), (12, 25)) f(m, d) WHERE m <> 6 OR y >= 2022),
@@ -136,9 +136,9 @@ holidays AS (SELECT sunday - 2 AS day FROM easter
   UNION ALL SELECT make_date(y, 5, 31) - CAST(isodow(make_date(y, 5, 31)) - 1 AS INT) FROM years),
 open_days AS (SELECT day FROM (SELECT CAST(DATE '1990-01-01' + CAST(range AS INT) AS DATE) AS day FROM range(0, 16500)) d WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM holidays))"""
 SQL = {
-    "fn_trading_day": f"""WITH {_days_sql}, walls AS (SELECT event_id, CAST(CASE WHEN hour(t) < {OPENS_AT} THEN t - INTERVAL 1 DAY ELSE t END AS DATE) AS wall FROM (SELECT event_id, timezone('{ZONE}', timezone('UTC', ts)) AS t FROM events) e)
+    "fn_trading_day": f"""WITH {DAYS}, walls AS (SELECT event_id, CAST(CASE WHEN hour(t) < {OPENS_AT} THEN t - INTERVAL 1 DAY ELSE t END AS DATE) AS wall FROM (SELECT event_id, timezone('{ZONE}', timezone('UTC', ts)) AS t FROM events) e)
 SELECT event_id, day AS trading_date FROM walls ASOF LEFT JOIN open_days ON wall >= day""",
-    "fn_sessions_between": f"""WITH {_days_sql}, items AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(o_orderdate AS DATE) AS ordered, CAST(l_shipdate AS DATE) AS shipped FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+    "fn_sessions_between": f"""WITH {DAYS}, items AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(o_orderdate AS DATE) AS ordered, CAST(l_shipdate AS DATE) AS shipped FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 spans AS (SELECT ordered AS a, shipped AS b FROM items UNION SELECT shipped, ordered FROM items),
 counted AS (SELECT a, b, CAST(count(day) AS INT) AS n FROM spans LEFT JOIN open_days ON day > a AND day <= b GROUP BY a, b)
 SELECT i.*, there.n AS sessions, back.n AS back FROM items i JOIN counted there ON there.a = ordered AND there.b = shipped JOIN counted back ON back.a = shipped AND back.b = ordered""",

@@ -6,16 +6,16 @@ The source is the folder with the events files; results go to Parquet in the sha
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sessionforge.operators.calendar import DAYS
 from sessionforge.operators.stocks import STATUS
-from sessionforge.operators.trades import STATE, advance, fold_sql, let, opened_state, settings, settings_sql
+from sessionforge.operators.trades import fold_sql, settings_sql
 from sessionforge.plans.registry import RELATIONS, Query, r
 from sessionforge.sources.market import shared_folder, table
+from sessionforge.streaming.keyed import FAST, SLOW, positions, watch_sql, watch_ttl
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,23 +82,6 @@ SELECT event_id, CASE WHEN h IS NULL OR p IS NULL THEN 'no_quote' WHEN p <= l TH
 ).sql()
 
 
-def kept_state(stream: DataFrame, spark: SparkSession, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame | None:
-    """State rows after all batches; step makes them of the state before (None at first) and a batch.
-
-    Batch n reads version n - 1 and overwrites version n, so that a batch that is run again, after a
-    failure, changes nothing.
-    """
-    at, last = shared_folder(spark), []
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{at}/state/v={batch_id - 1}") if batch_id else None
-        step(old, batch).write.mode("overwrite").parquet(f"{at}/state/v={batch_id}")
-        last.append(batch_id)
-
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/state/v={last[-1]}") if last else None
-
-
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alert for each ticker, kind and day, however often a quote gives rise to it; keys are kept for a week."""
     q = quotes(spark, sf_dir).withWatermark("ts", "7 days").select("ts", "ticker", "kind", F.to_date("ts").alias("alert_date"))
@@ -107,85 +90,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALERTS_SQL = "SELECT DISTINCT user_id AS ticker, event_type AS kind, CAST(ts AS DATE) AS alert_date FROM events"
 
-#: Sessions that a watched ticker stays on the list.
-WATCH_SESSIONS = 10
-
-
-def watch_step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """(ticker, last_day, days_left): each day with a quote that hasn't been seen yet takes one session; the first is free."""
-    days = batch.where("ticker is not null and ts is not null").select("ticker", F.to_date("ts").alias("d")).distinct()
-    if old is None:
-        return days.groupBy("ticker").agg(F.max("d").alias("last_day"), F.greatest(F.lit(0), WATCH_SESSIONS + 1 - F.count("d")).cast("int").alias("days_left"))
-    was = old.withColumnRenamed("ticker", "t")
-    both = days.join(was, F.col("ticker") == F.col("t"), "full").withColumn("new", (F.col("last_day").isNull() | (F.col("d") > F.col("last_day"))).cast("int"))
-    left = F.coalesce(F.max("days_left"), F.lit(WATCH_SESSIONS + 1)) - F.coalesce(F.sum("new"), F.lit(0))
-    out = both.withColumn("ticker", F.coalesce("ticker", "t")).groupBy("ticker").agg(F.greatest(F.max("d"), F.max("last_day")).alias("last_day"), F.greatest(F.lit(0), left).cast("int").alias("days_left"))
-    return out
-
-
-def watch_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The watch list after all quotes, with what is left of each ticker's sessions."""
-    stream = quotes(spark, sf_dir).select("ticker", "ts")
-    state = kept_state(stream, spark, watch_step)
-    state = spark.createDataFrame([], "ticker long, last_day date, days_left int") if state is None else state
-    return state.select("ticker", "last_day", "days_left", (F.col("days_left") <= 0).alias("expired"))
-
-
-WATCH_TTL_SQL = f"""SELECT user_id AS ticker, max(CAST(ts AS DATE)) AS last_day, CAST(greatest(0, {WATCH_SESSIONS + 1} - count(DISTINCT CAST(ts AS DATE))) AS INT) AS days_left, count(DISTINCT CAST(ts AS DATE)) > {WATCH_SESSIONS} AS expired
-FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1"""
-
-#: Days whose closes and ranges make a day bar's moving averages and its ATR.
-FAST, SLOW = 3, 6
-POSITION = f"struct<entry:double,first_stop:double,closes:array<double>,ranges:array<double>,s:{STATE}>"
-
-
-def position_step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """(ticker, p): day bars move each ticker's position through the trade fold, in order; a day counts once.
-
-    The first day opens the position at its close, with its low as the stop. Later days are bars of the
-    fold: their averages are over the last 3 and 6 closes, their ATR over the last 6 ranges, all kept with
-    the position. Bars are one row a day, so a ticker's array holds as many as days; a day's number is
-    days since 1970. Quotes without a ticker, time or price are left out.
-    """
-    at = F.struct("ts", "event_id")
-    fine = batch.where("ticker is not null and ts is not null and price is not null")
-    bars = fine.groupBy("ticker", F.unix_date(F.to_date("ts")).alias("d")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"))
-    seen = bars.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("d", "open", "high", "low", "close"))).alias("bars"))
-    if old is None:
-        seen = seen.withColumn("p", F.lit(None).cast(POSITION))
-    else:
-        was = old.select(F.col("ticker").alias("t"), F.col("p").cast(POSITION).alias("p"))
-        none = F.array().cast("array<struct<d:int,open:double,high:double,low:double,close:double>>")
-        seen = seen.join(was.hint("merge"), F.col("ticker") == F.col("t"), "full").select(F.coalesce("ticker", "t").alias("ticker"), F.coalesce("bars", none).alias("bars"), "p")
-    cfg = settings(F.lit(None).cast("string"))
-    last = lambda a, n: F.slice(a, F.greatest(F.lit(1), F.size(a) - n + 1), F.lit(n))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-
-    def held(entry: Column, stop: Column, closes: Column, ranges: Column, s: Column) -> Column:
-        return F.struct(entry.alias("entry"), stop.alias("first_stop"), closes.alias("closes"), ranges.alias("ranges"), s.alias("s")).cast(POSITION)
-
-    def moved(p: Column, b: Column) -> Column:
-        width = b["high"] - b["low"]
-        first = held(b["close"], b["low"], F.array(b["close"]), F.array(width), opened_state(b["low"], b["d"]))
-
-        def with_means(closes: Column) -> Column:
-            ranges = last(F.concat(p["ranges"], F.array(width)), SLOW)
-            parts = {"sidx": b["d"], "open": b["open"], "high": b["high"], "low": b["low"], "close": b["close"], "prev_close": F.element_at(p["closes"], -1), "atr": mean(ranges), "ma20": mean(last(closes, FAST)), "ma50": mean(closes), "earnings_in": F.lit(None).cast("int")}
-            bar = F.struct(*[v.alias(k) for k, v in parts.items()])
-            return let(bar, lambda x: held(p["entry"], p["first_stop"], closes, ranges, advance(p["s"], x, p["entry"], p["entry"] - p["first_stop"], cfg)))
-
-        late = (p["s"]["state"] == "closing") | (b["d"] <= p["s"]["advanced"])
-        return F.when(p.isNull(), first).when(late, p).otherwise(let(last(F.concat(p["closes"], F.array(b["close"])), SLOW), with_means))
-
-    return seen.select("ticker", F.aggregate("bars", F.col("p"), moved).alias("p"))
-
-
-def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each ticker's position after all quotes."""
-    state = kept_state(quotes(spark, sf_dir), spark, position_step)
-    state = spark.createDataFrame([], f"ticker long, p {POSITION}") if state is None else state
-    return state.selectExpr("ticker", "p.s.state AS state", r("p.entry", "entry"), r("p.s.stop", "stop"), r("p.s.floor", "floor"), "p.s.basis AS basis", "p.s.caution AS caution", r("p.s.qty", "qty"), r("p.s.exit_price", "exit_price"), "p.s.exit_reason AS exit_reason", "p.s.advanced AS advanced")
-
+WATCH_TTL_SQL = watch_sql(DAYS)
 
 _days = """d AS (SELECT user_id AS ticker, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS INT) AS sidx, min_by(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, row(ts, event_id)) AS close FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2), """
 _day_bars = f"""SELECT ticker, sidx, open, high, low, close, lag(close) OVER w AS prev_close, avg(high - low) OVER (PARTITION BY ticker ORDER BY sidx ROWS {SLOW - 1} PRECEDING) AS atr, avg(close) OVER (PARTITION BY ticker ORDER BY sidx ROWS {FAST - 1} PRECEDING) AS ma20,

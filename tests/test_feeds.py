@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sessionforge.operators import feeds
 from sessionforge.sources import files
-from sessionforge.streaming import runs
 
 
 def test_log_skips_malformed_lines_and_other_months(spark, tmp_path):
@@ -75,57 +74,3 @@ def test_owner_actions_need_their_state(spark):
         (1, 1): ("closing", True, "managing"), (1, 2): ("managing", False, "managing"), (1, 3): ("managing", False, "managing"), (2, 5): ("closing", True, "closed"), (2, 6): ("closed", False, "closed"),
         (2, 7): ("closed", True, "closed"), (2, 8): ("closed", True, "managing"), (3, 9): (None, False, None), (4, 1): ("closed", False, "closed"),
     }
-
-
-def day(n, hour=12):
-    return dt.datetime(2024, 1, n, hour)
-
-
-SCHEMA = "event_id long, ts timestamp, ticker long, kind string, price double"
-QUOTES = [(1, day(1), 1, "a", 10.0), (2, day(1, 13), 1, "a", 12.0), (3, day(2), 1, "a", 20.0), (4, day(3), 1, "a", 9.0), (5, day(4), 1, "a", 50.0), (6, day(2), 2, "a", 5.0), (7, day(3), 2, "a", 6.0), (8, None, 2, "a", 1.0), (9, day(3), None, "a", 1.0), (10, day(4), 2, "a", None)]
-
-
-def by_loop(rows):
-    """Positions by the plain fold over the days of each ticker."""
-    from test_trades import plain
-
-    days = {}
-    for _, ts, ticker, _, price in sorted((r for r in rows if None not in (r[1], r[2], r[4])), key=lambda r: (r[1], r[0])):
-        days.setdefault(ticker, {}).setdefault(ts.date(), []).append(price)
-    out = {}
-    for ticker, of in days.items():
-        closes, ranges, bars = [], [], []
-        for d in sorted(of):
-            p = of[d]
-            closes.append(p[-1])
-            ranges.append(max(p) - min(p))
-            mean = lambda a, n: sum(a[-n:]) / len(a[-n:])
-            bars.append(dict(open=p[0], high=max(p), low=min(p), close=p[-1], prev_close=closes[-2] if len(closes) > 1 else p[-1], atr=mean(ranges, 6), ma20=mean(closes, 3), ma50=mean(closes, 6)))
-        s = plain(bars[0]["close"], bars[0]["low"], bars[1:])
-        out[ticker] = (bars[0]["close"], s["state"], s["stop"], s["exit_reason"], s["exit_price"])
-    return out
-
-
-MORE = QUOTES + [(20 + 10 * t + i, day(1 + i, 9 + k), 3 + t, "a", 100 + (t + 1) * i * 3.0 + k - (40 if i == 6 + t else 0)) for t in range(4) for i in range(10) for k in range(3)]
-
-
-@pytest.mark.parametrize("cut", [1, 3, 7])
-def test_positions_over_batches_and_a_repeated_batch(spark, cut):
-    first = spark.createDataFrame([q for q in MORE if q[1] is None or q[1].day <= cut], SCHEMA)
-    rest = spark.createDataFrame([q for q in MORE if q[1] is not None and q[1].day > cut], SCHEMA)
-    state = runs.position_step(runs.position_step(None, first), rest)
-    for s in (state, runs.position_step(state, rest)):
-        got = {x.ticker: (x.p.entry, x.p.s.state, x.p.s.stop, x.p.s.exit_reason, x.p.s.exit_price) for x in s.collect()}
-        want = by_loop(MORE)
-        assert set(got) == set(want)
-        for k, v in want.items():
-            assert all(x == (pytest.approx(y) if isinstance(y, float) else y) for x, y in zip(got[k], v, strict=True)), (k, got[k], v)
-    assert len({v[1] for v in want.values()}) == 2
-
-
-def test_watch_over_batches_and_a_repeated_batch(spark):
-    first, rest = (spark.createDataFrame([q for q in QUOTES if q[1] is not None and (q[1].day <= 2) == early], SCHEMA) for early in (True, False))
-    want = {1: runs.WATCH_SESSIONS + 1 - 4, 2: runs.WATCH_SESSIONS + 1 - 3}
-    state = runs.watch_step(runs.watch_step(None, first), rest)
-    for s in (state, runs.watch_step(state, rest)):
-        assert {x.ticker: x.days_left for x in s.collect()} == want
