@@ -16,6 +16,7 @@ empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: States of a transducer, seams and whole matches that a task remembers.
-MOST_STATES, MOST_SEAMS, MOST_MATCHES = 50_000, 500_000, 300_000
+MOST_STATES, MOST_SEAMS, MOST_MATCHES = 200_000, 500_000, 400_000
 #: Ids that are decoded at once.
 AT_ONCE = 4_096
 
@@ -50,7 +51,7 @@ class Merges:
             raise ValueError(f"bytes without a token: {missing[:5]}")
         self.ranks, self.bytes_of = ranks, {r: t for t, r in ranks.items()}
         self._edges: dict[int, tuple[list[bytes], list[bytes]]] = {}
-        self._seams: dict[tuple[int, int], bool] = {}
+        self._seams: dict[int, bool] = {}
 
     def edges(self, token: int) -> tuple[list[bytes], list[bytes]]:
         """The pieces that stand at the token's left and right edge while it is merged, first to last."""
@@ -72,18 +73,20 @@ class Merges:
         return self._edges[token]
 
     def parts(self, first: int, second: int) -> bool:
-        """No merge goes across the seam of two tokens.
+        """No merge goes across the seam of two tokens; before a text's first token stands none (-1).
 
         Both sides are merged in order of rank, the left one first on a tie, and at each time the two pieces
         at the seam must not make a token that would come before what either side does next.
         """
-        if (known := self._seams.get((first, second))) is not None:
+        seam = first << 32 | second
+        if (known := self._seams.get(seam)) is not None:
             return known
-        a, b = self.edges(first)[1], self.edges(second)[0]
+        b = self.edges(second)[0]
+        a = self.edges(first)[1] if first >= 0 else []
         i = j = 0
         none = len(self.ranks)
-        out = bool(a and b)
-        while out:
+        out = bool(b) and (bool(a) or first < 0)
+        while out and a:
             here = self.ranks.get(a[i] + b[j], none)
             on_left = self.ranks[a[i + 1]] if i + 1 < len(a) else none
             on_right = self.ranks[b[j + 1]] if j + 1 < len(b) else none
@@ -97,7 +100,7 @@ class Merges:
                 j += 1
         if len(self._seams) >= MOST_SEAMS:
             self._seams.clear()
-        self._seams[first, second] = out
+        self._seams[seam] = out
         return out
 
 
@@ -113,7 +116,7 @@ class Transducer:
             node = 0
             for byte in text:
                 self.inner[node] = True
-                key = node * 256 + byte
+                key = node << 8 | byte
                 if (node := self.next.get(key, 0)) == 0:
                     node = self.next[key] = len(self.token)
                     self.token.append(-1)
@@ -123,7 +126,8 @@ class Transducer:
 
     def _forget(self) -> None:
         start: tuple[Config, ...] = (((), -1, 0),)
-        self.numbers, self.states, self.moves = {start: 0}, [start], [{}]
+        self.numbers, self.states = {start: 0}, [start]
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte
 
     def step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after a byte and the tokens that are sure by then; determinised when it is first asked for.
@@ -133,44 +137,50 @@ class Transducer:
         """
         found: list[Config] = []
         ends: list[tuple[tuple[int, ...], int, int]] = []
+        next_of, inner, tokens = self.next.get, self.inner, self.token
         for ahead, last, node in self.states[number]:
-            if node := self.next.get(node * 256 + byte, 0):
-                if self.inner[node]:
+            if node := next_of(node << 8 | byte, 0):
+                if inner[node]:
                     found.append((ahead, last, node))
-                if (token := self.token[node]) >= 0:
+                if (token := tokens[node]) >= 0:
                     ends.append((ahead, last, token))
+        parts = self.merges.parts
         for ahead, last, token in ends:
-            if token == ends[-1][2] or (self.merges.parts(last, token) if last >= 0 else self.merges.edges(token)[0]):
+            if token == ends[-1][2] or parts(last, token):
                 found.append(((*ahead, token), token, 0))
                 break
         sure = found[0][0]
-        for ahead, _, _ in found:
-            n = 0
-            while n < len(sure) and n < len(ahead) and sure[n] == ahead[n]:
-                n += 1
-            sure = sure[:n]
-        state = tuple([(ahead[len(sure) :], last, node) for ahead, last, node in found] if sure else found)
-        full = len(self.states) >= self.most_states
+        if sure:
+            for ahead, _, _ in found:
+                n = 0
+                while n < len(sure) and n < len(ahead) and sure[n] == ahead[n]:
+                    n += 1
+                sure = sure[:n]
+            if sure:
+                found = [(ahead[len(sure) :], last, node) for ahead, last, node in found]
+        state = tuple(found)
         if (to := self.numbers.get(state)) is None:
-            if full:
+            if len(self.states) >= self.most_states:
                 self._forget()
+                number = -1
             to = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
-            if full:
-                return to, sure
-        self.moves[number][byte] = to, sure
-        return to, sure
+        move = to, sure
+        if number >= 0:
+            self.moves[number << 8 | byte] = move
+        return move
 
     def encode(self, data: bytes) -> list[int]:
         """The tokens of the bytes: those that became sure byte by byte, and in the end those that were still open."""
         number, out = 0, []
         for byte in data:
-            move = self.moves[number].get(byte)
-            number, sure = move or self.step(number, byte)
+            number, sure = self.moves.get(number << 8 | byte) or self.step(number, byte)
             if sure:
                 out += sure
-        out += next(ahead for ahead, _, node in self.states[number] if node == 0)
+        for ahead, _, node in reversed(self.states[number]):
+            if node == 0:
+                out += ahead
+                break
         return out
 
 
@@ -294,6 +304,7 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     matcher = Matcher()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # as below
         encoder = Encoder(read_ranks(ranks), matcher)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [np.array(encoder.encode(t or ""), "int32") for t in pdf["text"]]})
@@ -324,6 +335,7 @@ def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     matcher = Matcher()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # states and matches are many and hold no cycles; looking through them again and again takes half the time
         encoder = Encoder(read_ranks(ranks), matcher)
         bytes_of = encoder.transducer.merges.bytes_of
         for pdf in batches:
