@@ -2,12 +2,13 @@
 
 A phrase is a run of words within a piece of a text, pieces being parted by punctuation and line breaks.
 What occurs SUPPORT times in all occurs at least SUPPORT / SHARDS times in one of SHARDS shards of the
-documents. So the first pass counts the phrases of each shard, by a 64-bit hash, and keeps those that are
-frequent there. The union is a bitmap of bounded size; the second pass counts what the bitmap knows, by
-its words, over all documents, and what falls short goes. Hashes that meet and bits that many share only
-let more through to the exact count. A shard is no task: all tasks mine all shards, each adds up what it
-reads before it is shuffled, and a shard's count of a phrase is one row of the shuffle. (With a support as
-small as 10, shards of one task each would keep every phrase.)
+documents. So a first pass for each length counts the phrases of each shard, by a 64-bit hash, and keeps
+those that are frequent there; a phrase is only looked at if both shorter ones that it overlaps in all but
+a word were kept. The union over the shards is a bitmap of bounded size for each length; a last pass counts
+what the bitmaps know, by its words, over all documents, and what falls short goes. Hashes that meet and
+bits that many share only let more through to the exact count. A shard is no task: all tasks mine all
+shards, each adds up what it reads before it is shuffled, and a shard's count of a phrase is one row of the
+shuffle. (With a support as small as 10, shards of one task each would keep every phrase.)
 
 Words are cut and hashed whole batches at a time on the bytes of the texts. Null texts are empty; a null
 language is `und`. Texts of any length are read whole, a piece at a time at least. Documents that repeat count
@@ -30,13 +31,13 @@ from sessionforge.llm.common import n_shuffled, saved, with_facts, written
 
 SUPPORT, MOST_WORDS, COVERED, TOP = 10, 3, 50, 2_000
 #: Shards that the documents are dealt to; local support is SUPPORT / SHARDS, and has to stay above 1 to weed anything.
-SHARDS = 4
+SHARDS = 2
 #: Bits of a hash that a shard's number takes.
 SHARD_BITS = 4
 #: Bits of the bitmap of candidates, as a power of 2, and bits for each candidate.
 MOST_BITS, BITS_EACH = 27, 16
-#: Bytes of text that are cut at once, and phrases that a task holds before it gives them on.
-CHUNK, MOST_HELD, MOST_TOLD = 1 << 21, 1 << 21, 500_000
+#: Bytes of text that are cut at once, and phrases whose words a task holds before it gives them on.
+CHUNK, MOST_TOLD = 1 << 20, 150_000
 #: Rows of a batch that is given on.
 ROWS = 50_000
 
@@ -57,11 +58,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, factor: int) -> np.ndarray:
     """1, factor, factor^2, ... modulo 2^64."""
-    out = np.full(n, factor, "uint64")
-    out[0] = 1
-    return np.cumprod(out, dtype="uint64")
+    if len(_powers.get(factor, ())) < n:
+        out = np.full(max(n, CHUNK + CHUNK // 4), factor, "uint64")
+        out[0] = 1
+        _powers[factor] = np.cumprod(out, dtype="uint64")
+    return _powers[factor][:n]
 
 
 class Words:
@@ -134,41 +140,29 @@ def languages(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]
     return names, place, seeds[place] if len(names) else np.zeros(0, "uint64")
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, in order, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, "int64")
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def local_counts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """(key, n): occurrences of phrases in the batches, by hash and shard."""
-    keys, counts = np.zeros(0, "uint64"), np.zeros(0, "int64")
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n_held = 0
+def known(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes a bitmap knows."""
+    bit = h >> U(64 - (64 * len(bits) - 1).bit_length())
+    return (bits[(bit >> U(6)).astype("int64")] >> (bit & U(63))) & U(1) == 1
 
-    def told() -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(keys), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + ROWS].view("int64")), pa.array(counts[i : i + ROWS])], ["key", "n"])
 
+def local_counts(batches: Iterator[pa.RecordBatch], k: int, shorter: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(key, n): occurrences of phrases of k words, by hash and shard, added up a chunk at a time; shorter: the bitmap of phrases of k - 1 words."""
     for batch in batches:
         _, _, seeds = languages(batch)
         shard = batch.column("shard").to_numpy(zero_copy_only=False).astype("uint64")
         for data, bounds in chunks(batch):
             words = Words(data, bounds)
-            for _, first, h in words.phrases(most, seeds, 0):
-                found, n = np.unique((h >> U(SHARD_BITS) << U(SHARD_BITS)) | shard[words.text[first]], return_counts=True)
-                held.append((found, n))
-                n_held += len(found)
-            if n_held > MOST_HELD:
-                keys, counts = _sums(np.concatenate([keys, *[k for k, _ in held]]), np.concatenate([counts, *[n for _, n in held]]))
-                held, n_held = [], 0
-                if len(keys) > MOST_HELD:
-                    yield from told()
-                    keys, counts = keys[:0], counts[:0]
-    keys, counts = _sums(np.concatenate([keys, *[k for k, _ in held]]), np.concatenate([counts, *[n for _, n in held]]))
-    yield from told()
+            likely = np.zeros(len(words.starts) + 1, bool)
+            for n, first, h in words.phrases(k, seeds, 0):
+                if n == k - 1:
+                    likely[first] = known(h, shorter)
+            if k > 1:
+                both = likely[first] & likely[first + 1]
+                first, h = first[both], h[both]
+            keys, n = np.unique((h >> U(SHARD_BITS) << U(SHARD_BITS)) | shard[words.text[first]], return_counts=True)
+            for i in range(0, len(keys), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + ROWS].view("int64")), pa.array(n[i : i + ROWS])], ["key", "n"])
 
 
 class Told:
@@ -204,18 +198,20 @@ class Told:
     def given(self) -> Iterator[pa.RecordBatch]:
         """All rows so far, which are forgotten then."""
         by_name = np.argsort(self.at)
-        rows = self.rows + [(*name, int(n)) for name, n in zip(self.names, self.counts[by_name], strict=True)]
+        lang, k, phrase = (list(x) for x in zip(*self.names, strict=True)) if self.names else ([], [], [])
+        more = (list(x) for x in zip(*self.rows, strict=True)) if self.rows else ([], [], [], [])
+        columns = [a + b for a, b in zip((lang, k, phrase, self.counts[by_name].tolist()), more, strict=True)]
         self.__init__()
-        for i in range(0, len(rows), ROWS):
-            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "k", "phrase", "n"), row, strict=True)) for row in rows[i : i + ROWS]], schema=_TOLD)
+        for i in range(0, len(columns[0]), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS], f.type) for c, f in zip(columns, _TOLD, strict=True)], schema=_TOLD)
 
 
 _TOLD = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def exact_counts(batches: Iterator[pa.RecordBatch], most: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(lang, k, phrase, n): occurrences of the phrases that the bitmap knows; with k 0 and no phrase, a language's words."""
-    told, shift = Told(), U(64 - (64 * len(bits) - 1).bit_length())
+def exact_counts(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(lang, k, phrase, n): occurrences of the phrases that the bitmaps know, one for each length; with k 0 and no phrase, a language's words."""
+    told, most = Told(), len(bitmaps)
     for batch in batches:
         langs, place, seeds = languages(batch)
         n_words = np.zeros(len(langs), "int64")
@@ -223,8 +219,7 @@ def exact_counts(batches: Iterator[pa.RecordBatch], most: int, bits: np.ndarray)
             words = Words(data, bounds)
             n_words += np.bincount(place[words.text], minlength=len(langs))
             for (k, first, h), (_, _, check) in zip(words.phrases(most, seeds, 0), words.phrases(most, seeds, 1), strict=True):
-                bit = h >> shift
-                hit = (bits[(bit >> U(6)).astype("int64")] >> (bit & U(63))) & U(1) == 1
+                hit = known(h, bitmaps[k - 1])
                 told.add(words, langs, place, k, first[hit], h[hit], check[hit])
             if len(told.names) > MOST_TOLD:
                 yield from told.given()
@@ -246,11 +241,15 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, most: int = MOST_W
     if not 1 <= shards <= 1 << SHARD_BITS:
         raise ValueError(f"shards must be 1 to {1 << SHARD_BITS}")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
-    local = texts.mapInArrow(lambda batches: local_counts(batches, most), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= -(-support // shards))
-    keys = saved(local.select(F.expr(f"key & ~{(1 << SHARD_BITS) - 1}L").alias("key")).distinct())
-    bits = min(MOST_BITS, max(12, (BITS_EACH * keys.count()).bit_length()))
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(keys, bits))  # at most 2^MOST_BITS bits
-    found = texts.mapInArrow(lambda batches: exact_counts(batches, most, held.value), "lang string, k int, phrase string, n long")
+    context, held = docs.sparkSession.sparkContext, []
+    for k in range(1, most + 1):
+        shorter = held[-1] if held else None
+        local = texts.mapInArrow(lambda batches, k=k, shorter=shorter: local_counts(batches, k, shorter and shorter.value), "key long, n long")
+        local = local.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= -(-support // shards))
+        keys = saved(local.select(F.expr(f"key & ~{(1 << SHARD_BITS) - 1}L").alias("key")).distinct())
+        bits = min(MOST_BITS, max(12, (BITS_EACH * keys.count()).bit_length()))
+        held.append(context.broadcast(bitmap(keys, bits)))  # at most 2^MOST_BITS bits
+    found = texts.mapInArrow(lambda batches: exact_counts(batches, [b.value for b in held]), "lang string, k int, phrase string, n long")
     return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("a")).where((F.col("a") >= support) | (F.col("k") == 0))
 
 
