@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from sessionforge.operators.stocks import KEY
 from sessionforge.plans.registry import RELATIONS, Query, r
-from sessionforge.sources.files import embedded_rows, migrated, read_log, read_panel, table_rows, upsert_dates
+from sessionforge.sources.files import embedded_rows, migrated, read_log, read_panel, table_rows
+from sessionforge.sources.gated import Gate, GatedStore, attempt
 from sessionforge.sources.market import LOOKBACKS, shared_folder, table
 
 #: Date-level means are drawn in blocks of BLOCK sessions, RESAMPLES times.
 BLOCK, RESAMPLES = 3, 20_000
-LABELS = ["name", "px", "stocks", "market_cap", "avg_volume", *[f"perf_{m}" for m in (*LOOKBACKS, "ytd")]]
 #: Headers by the section that they open.
 SECTIONS = {"headline": ("headline", "tl;dr"), "risks": ("risks", "what could go wrong")}
 LISTED = 5
@@ -59,12 +59,21 @@ def src_embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk_upsert_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store by date whose last sessions are written again, once with rows and once with none."""
-    rows, at = RELATIONS["ssnap"](spark, sf_dir).select("session_date", "name", "stocks", "sidx"), shared_folder(spark)
-    upsert_dates(rows.drop("sidx"), at)
-    upsert_dates(rows.where("sidx >= 80 AND name <> 'none'").select("session_date", "name", (F.col("stocks") + 1).alias("stocks")), at)
-    upsert_dates(rows.drop("sidx").where("stocks < 0"), at)
-    return spark.read.schema("session_date date, name string, stocks int").parquet(at)
+    """Two stores after later writes of their last sessions, one with rows, one with none and one that the gate keeps out.
+
+    In the first a date is replaced whole; in the second rows are replaced by date and name.
+    """
+    rows = RELATIONS["ssnap"](spark, sf_dir).select("session_date", "name", "stocks", "sidx")
+    later = rows.where("sidx >= 80 AND length(name) % 3 <> 0").withColumn("stocks", F.col("stocks") + 1)
+    gate = Gate(refused={"negative stocks": "stocks < 0"}, empty="skip")
+    out = []
+    for keys in (["session_date"], ["session_date", "name"]):
+        store = GatedStore(spark, shared_folder(spark), "session_date date, name string, stocks int", keys)
+        for batch in (rows, later, rows.where("stocks < 0")):
+            store.upsert(batch, gate)
+        kept = attempt(store, rows.withColumn("stocks", F.when(F.col("sidx") > 80, -1).otherwise(7)), gate)[0]
+        out.append(store.read().select(F.lit("+".join(keys)).alias("keys"), "session_date", "name", "stocks", F.lit(kept).alias("last_write")))
+    return out[0].union(out[1])
 
 
 def snk_schema_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +230,6 @@ QUERIES = [
         _feed("cast(to_json(struct_pack(version := 2, as_of := cast(session_date AS string), n_rows := cast(max(n) AS int), leaders := LEADERS, movers := MOVERS)) AS VARCHAR)", f"list(name ORDER BY PLACE) FILTER (PLACE <= {LISTED})"),
     ),
     Query("fn_quote_projection", _projected.replace("RAW", f"to_json(map({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in _raw.items())}))"), _projected.replace("RAW", f"cast(to_json(map([{', '.join(f'{chr(39)}{k}{chr(39)}' for k in _raw)}], [{', '.join(_raw.values())}])) AS VARCHAR)")),
-    Query("dq_header_drift", f"SELECT session_date, n_missing, CASE WHEN n_missing = 0 THEN 'ok' WHEN no_key = 1 OR n_missing > 0.1 * {len(LABELS)} THEN 'abort' ELSE 'warn' END AS verdict FROM (SELECT session_date, CASE WHEN count(name) = 0 THEN 1 ELSE 0 END AS no_key, {' + '.join(f'CASE WHEN count({c}) = 0 THEN 1 ELSE 0 END' for c in LABELS)} AS n_missing FROM {{ssnap}} GROUP BY session_date) t"),
     Query(
         "ag_block_bootstrap",
         _bootstrap(f"explode(sequence(0, cast(ceil((SELECT n FROM n) / {BLOCK}e0) AS int) - 1))", f"explode(sequence(0, {BLOCK - 1}))", "cast(conv(substr(md5(concat(cast(id AS string), '|', cast(k AS string))), 1, 7), 16, 10) AS bigint)", "percentile(m, 0.025)", "percentile(m, 0.975)"),
@@ -240,7 +248,11 @@ SQL = {
         "src_embedded_json",
         "SELECT session_date, cast(ticker AS VARCHAR) AS ticker, industry, printf('%.2f', floor(close * 100 + 5e-1) / 100) AS price, coalesce(printf('%.2f', floor(100 * (close / prev_close - 1) * 100 + 5e-1) / 100) || '%', '-') AS change, format('{:,}', volume) AS volume, CASE WHEN floor(avg_volume) >= 100 THEN printf('%.2f', floor(avg_volume) / 100) || 'M' ELSE printf('%.2f', floor(avg_volume) * 10) || 'K' END AS avg_volume, '-' AS atr FROM {bars} WHERE ticker % 13 <> 0",
     ).sql(),
-    "snk_upsert_date": Query("snk_upsert_date", "SELECT session_date, name, CASE WHEN sidx >= 80 THEN stocks + 1 ELSE stocks END AS stocks FROM {ssnap}").sql(),
+    "snk_upsert_date": Query(
+        "snk_upsert_date",
+        """SELECT 'session_date' AS keys, session_date, name, CASE WHEN sidx >= 80 THEN stocks + 1 ELSE stocks END AS stocks, 'abort: negative stocks' AS last_write FROM {ssnap} s WHERE sidx < 80 OR length(name) % 3 <> 0 OR session_date NOT IN (SELECT session_date FROM {ssnap} WHERE length(name) % 3 <> 0)
+UNION ALL SELECT 'session_date+name', session_date, name, CASE WHEN sidx >= 80 AND length(name) % 3 <> 0 THEN stocks + 1 ELSE stocks END, 'abort: negative stocks' FROM {ssnap}""",
+    ).sql(),
     "snk_schema_migrate": Query("snk_schema_migrate", "SELECT session_date, name, stocks, CASE WHEN sidx >= 40 THEN stocks * 2 END AS added FROM {ssnap}").sql(),
     "sm_owner_transitions": _OWNER_SQL.sql().replace("WITH", "WITH RECURSIVE", 1),
     "src_nested_taxonomy": "SELECT DISTINCT p_type AS sector, p_brand AS industry FROM part",

@@ -180,7 +180,6 @@ SELECT session_date, name, prio, cast(seat AS int) AS seat FROM g WHERE seat <=
     Query("src_selected_groups", "SELECT session_date, name, listagg(DISTINCT list_category, '|') within group (order by list_category) AS tags, min_by(basis, category_rank * 100 + length(basis)) AS first_basis FROM {sel} GROUP BY session_date, name"),
     Query("qry_coverage", "SELECT 'industry' AS dataset, cast(count(DISTINCT session_date) AS int) AS n_dates, min(session_date) AS first_date, max(session_date) AS last_date, cast(count(*) AS int) AS n FROM {snap} UNION ALL SELECT 'sector', cast(count(DISTINCT session_date) AS int), min(session_date), max(session_date), cast(count(*) AS int) FROM {ssnap} UNION ALL SELECT 'benchmark', cast(count(DISTINCT session_date) AS int), min(session_date), max(session_date), cast(count(*) AS int) FROM {bench}"),
     Query("dq_freshness", "SELECT name, max(session_date) AS last_date, cast((SELECT max(sidx) FROM {sess}) - max(sidx) AS int) AS stale_sessions, CASE WHEN (SELECT max(sidx) FROM {sess}) = max(sidx) THEN 'fresh' WHEN (SELECT max(sidx) FROM {sess}) - max(sidx) <= 5 THEN 'stale' ELSE 'expired' END AS state FROM {snap} GROUP BY name"),
-    Query("dq_empty_batch", "SELECT session_date, cast(count(*) AS int) AS n_rows, CASE WHEN count(*) = 0 THEN 'abort' WHEN count(*) < 100 THEN 'warn' ELSE 'ok' END AS verdict FROM {snap} GROUP BY session_date"),
     Query("st_crosscheck", "WITH a AS (SELECT DISTINCT industry AS name FROM {trades} WHERE session_date < DATE '1995-01-01'), b AS (SELECT DISTINCT industry AS name FROM {trades} WHERE l_quantity > 45) SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'only_theirs' WHEN b.name IS NULL THEN 'only_ours' ELSE 'both' END AS side FROM a FULL OUTER JOIN b ON a.name = b.name"),
     Query("ag_majority_map", "SELECT sector, industry, cast(n AS int) AS n FROM (SELECT sector, industry, n, row_number() OVER (PARTITION BY sector ORDER BY n DESC, industry) AS place FROM (SELECT sector, industry, count(*) AS n FROM {trades} GROUP BY sector, industry) c) t WHERE place = 1"),
     Query(

@@ -154,7 +154,6 @@ QUERIES = [
     Query("sm_alert_dedup", "SELECT user_id, alert_date, event_type, first_event FROM (SELECT user_id, day(ts) AS alert_date, event_type, min(event_id) AS first_event FROM {events} GROUP BY user_id, day(ts), event_type) a LEFT ANTI JOIN (SELECT DISTINCT user_id AS u, event_type AS e FROM {events} WHERE day(ts) = (SELECT min(day(ts)) FROM {events})) l ON l.u = a.user_id AND l.e = a.event_type"),
     Query("st_union_universe", "SELECT DISTINCT ticker FROM (SELECT s_suppkey AS ticker FROM {supplier} UNION ALL SELECT user_id AS ticker FROM {events}) t"),
     Query("st_union_sessions", "SELECT event_id, 'morning' AS session FROM {events} WHERE hour(ts) < 10 UNION ALL SELECT event_id, 'pre_close' AS session FROM {events} WHERE hour(ts) < 15"),
-    Query("dq_key_corruption", f"SELECT sector, {r('avg(CASE WHEN substr(industry, 7, 1) = substr(industry, 8, 1) THEN 1e0 ELSE 0e0 END)', 'doubled')}, {r('avg(CASE WHEN length(industry) = 1 THEN 1e0 ELSE 0e0 END)', 'single')} FROM {{trades}} GROUP BY sector"),
     Query("dq_payload_validate", "SELECT event_id, CASE WHEN user_id IS NULL THEN 'no_key' WHEN ts IS NULL THEN 'no_date' WHEN value IS NULL OR value <= 0 THEN 'bad_price' WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'bad_type' ELSE 'ok' END AS verdict FROM {events}"),
     Query("dq_unknown_names", "SELECT DISTINCT b.industry AS name FROM {bars} b LEFT ANTI JOIN (SELECT DISTINCT p_type FROM {part}) p ON b.industry = p.p_type"),
     Query("dq_completeness", "SELECT /*+ MERGE(h) */ q.conv_id, q.role FROM (SELECT DISTINCT conv_id, each('user', 'assistant', 'system') AS role FROM {conversations}) q LEFT ANTI JOIN {conversations} h ON h.conv_id = q.conv_id AND h.role = q.role"),

@@ -24,7 +24,6 @@ def level(label: str) -> str:
 QUERIES = [
     Query("src_page_facts", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, cast((length(html) - length(replace(html, '<li>', ''))) / 4 AS int) AS n_items FROM {pages}"),
     Query("src_page_track", "SELECT page_id, try_cast(regexp_extract(html, 'track[(]([0-9]+)[)]', 1) AS int) AS tracked FROM {pages}"),
-    Query("dq_min_rows", "SELECT session_date, cast(count(*) AS int) AS n_rows, CASE WHEN count(*) < 8 THEN 'warn' ELSE 'ok' END AS verdict FROM {ssnap} GROUP BY session_date"),
     Query("dq_text_names", NAMES.replace("SPLIT", "explode(split").replace("\\pL\\pN", "\\\\pL\\\\pN"), NAMES.replace("SPLIT", "unnest(regexp_split_to_array")),
     Query("dq_format_rules", "SELECT rule, cast(count(*) AS int) AS n FROM (SELECT each(CASE WHEN role NOT IN ('user', 'assistant', 'system') THEN 'bad_role' END, CASE WHEN text IS NULL OR text = '' THEN 'empty' END, CASE WHEN length(text) > 400 THEN 'long' END, CASE WHEN text LIKE '% %' THEN 'has_blank' END) AS rule FROM {conversations}) t GROUP BY rule"),
     Query("ag_advisory", "SELECT user_id, cast(count(*) AS int) AS checked, cast(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS int) AS flagged, listagg(CASE WHEN value > 50 THEN cast(event_id AS string) END, ',') within group (order by event_id) AS items FROM {events} GROUP BY user_id"),
@@ -34,5 +33,4 @@ QUERIES = [
     Query("sm_watch_upsert", "SELECT user_id, CASE last_action WHEN 'purchase' THEN 'removed' ELSE 'active' END AS state, cast(renewals AS int) AS renewals FROM (SELECT user_id, max_by(event_type, event_id) AS last_action, count(*) - 1 AS renewals FROM {events} GROUP BY user_id) t"),
     Query("fn_normalize_bar", f"SELECT {KEY}, {', '.join(r(level(f'SMA{n}'), f'ma{n}') for n in (20, 50, 200))}, coalesce(typed, try_cast(knob(raw, '$.Days') AS int)) AS days_to_earnings FROM ({RAW_BARS}) t"),
     Query("fn_canonical_hash", f"SELECT {KEY}, sha(concat('[', cast(cast(floor(close * 1e4 + 5e-1) AS bigint) AS string), ',', cast(volume AS string), ']')) AS digest FROM {{bars}}"),
-    Query("snk_session_guard", "SELECT event_id, CASE WHEN hour(ts) >= 16 THEN 'refused' ELSE 'written' END AS verdict FROM {events}"),
 ]

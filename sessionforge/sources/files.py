@@ -118,12 +118,6 @@ def embedded_rows(pages: DataFrame, labels: list[str]) -> DataFrame:
     return rows.select(*[c for c in pages.columns if c != "html"], *out)
 
 
-def upsert_dates(rows: DataFrame, path: str, date: str = "session_date") -> None:
-    """Writes rows by date; each of their dates is replaced whole, others stay, and nothing changes if there are none."""
-    if not rows.isEmpty():
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
-
-
 def migrated(parts: list[DataFrame], target: list[str]) -> DataFrame:
     """Parts of a store whose columns grew over time, as one relation with the target's columns in its order; blanks for what a part lacks."""
     out = parts[0]

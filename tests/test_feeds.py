@@ -32,16 +32,6 @@ def test_page_tables_and_embedded_data(spark):
     assert len({label for label, _, _ in files.EMBEDDED}) == len(files.EMBEDDED)
 
 
-def test_upsert_replaces_dates_whole(spark, tmp_path):
-    at = str(tmp_path / "store")
-    rows = lambda *r: spark.createDataFrame(r, "session_date date, name string, n int")
-    one, two = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
-    files.upsert_dates(rows((one, "a", 1), (one, "b", 1), (two, "a", 1)), at)
-    files.upsert_dates(rows((two, "c", 2)), at)
-    files.upsert_dates(rows((one, "x", 9)).where("n < 0"), at)
-    assert sorted((r.session_date, r.name, r.n) for r in spark.read.parquet(at).collect()) == [(one, "a", 1), (one, "b", 1), (two, "c", 2)]
-
-
 def test_taxonomy_rows_and_malformed_node(spark):
     good = spark.createDataFrame([('{"sector":"S","industries":[{"name":"a"},{"name":"b"}]}',)], "tree string")
     assert sorted(tuple(x) for x in feeds.taxonomy_rows(good).collect()) == [("S", "a"), ("S", "b")]
