@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionforge.operators.stocks import KEY
 from sessionforge.plans.registry import RELATIONS, Query, r
-from sessionforge.sources.files import embedded_rows, migrated, read_log, read_panel, table_rows
+from sessionforge.sources.files import displayed, embedded_rows, migrated, read_log, read_panel, table_rows
 from sessionforge.sources.gated import Gate, GatedStore, attempt
 from sessionforge.sources.market import LOOKBACKS, shared_folder, table
 
@@ -48,14 +48,31 @@ def src_page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that hold a session's quotes as embedded JSON, made of the bars, back under their labels."""
+    """Pages that hold a session's quotes as embedded JSON, made of the bars, back under their labels.
+
+    Before the script with the quotes stand one that is cut short and one without rows; one behind it isn't read.
+    """
     cents = lambda c: F.floor(F.expr(c) * 100 + 0.5) / 100
-    numbers = F.create_map(F.lit("price"), cents("close"), F.lit("change"), cents("100 * (close / prev_close - 1)"), F.lit("volume"), F.col("volume").cast("double"), F.lit("averageVolume"), (F.floor("avg_volume") * 10_000).cast("double"))
-    row = F.struct(F.create_map(F.lit("ticker"), F.when(F.col("ticker") % 13 == 0, "").otherwise(F.col("ticker").cast("string")), F.lit("industry"), F.col("industry")).alias("text"), F.map_filter(numbers, lambda _, v: v.isNotNull()).alias("numbers"))
-    pages = RELATIONS["bars"](spark, sf_dir).groupBy("session_date", F.col("ticker") % 64).agg(F.to_json(F.struct(F.struct(F.collect_list(row).alias("rows")).alias("data"))).alias("json"))
-    html = F.concat(F.lit("<html><script>var x=1</script><script data-ssr-props>"), "json", F.lit("</script></html>"))
-    got = embedded_rows(pages.select("session_date", html.alias("html")), ["Ticker", "Industry", "Price", "Change", "Volume", "Avg Volume", "ATR"])
-    return got.toDF("session_date", "ticker", "industry", "price", "change", "volume", "avg_volume", "atr")
+    values = {"price": cents("close"), "change": cents("100 * (close / prev_close - 1)"), "volume": F.col("volume").cast("double"), "averageVolume": (F.floor("avg_volume") * 10_000_000).cast("double"), "marketCap": cents("close * (ticker % 40)")}
+    numbers = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    earnings = F.concat(F.date_add("session_date", F.col("ticker").cast("int")).cast("string"), F.element_at(F.array(*map(F.lit, ("", "T08:30:00", "T16:30:00"))), (F.col("ticker") % 3 + 1).cast("int")))
+    text = F.create_map(F.lit("ticker"), F.when(F.col("ticker") % 13 == 0, "").otherwise(F.col("ticker").cast("string")), F.lit("industry"), F.col("industry"), F.lit("earningsDate"), F.when(F.col("ticker") % 7 == 0, "soon").otherwise(earnings))
+    pages = RELATIONS["bars"](spark, sf_dir).groupBy("session_date", F.col("ticker") % 64).agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(text.alias("text"), numbers.alias("numbers"))).alias("rows")).alias("data"))).alias("json"))
+    script = lambda *c: F.concat(F.lit("<script data-ssr-props>"), *c, F.lit("</script>"))
+    html = F.concat(F.lit("<html><script>var x=1</script>"), script(F.substring("json", 1, 30)), script(F.lit('{"data":{"rows":"later"}}')), script("json"), script(F.lit('{"data":{"rows":[{"text":{"ticker":"9"}}]}}')), F.lit("</html>"))
+    got = embedded_rows(pages.select("session_date", html.alias("html")), ["Ticker", "Industry", "Price", "Change", "Volume", "Avg Volume", "Market Cap", "Earnings", "ATR"])
+    return got.toDF("session_date", "ticker", "industry", "price", "change", "volume", "avg_volume", "market_cap", "earnings", "atr")
+
+
+def fn_display_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and dates of the bars in each of the display forms."""
+    bars = RELATIONS["bars"](spark, sf_dir)
+    cents = lambda c: F.floor(F.expr(c) * 100 + 0.5) / 100
+    values = {
+        "f2": cents("close"), "pct": F.when(F.col("ticker") % 9 != 0, cents("sma20_pct")), "int": F.expr("volume * (ticker % 5) * pow(10, sidx % 6)"), "money": cents("close * (ticker % 40)"),
+        "count": F.floor("avg_volume") * F.pow(F.lit(10), F.col("ticker") % 10), "earn": F.concat("session_date", F.element_at(F.array(*map(F.lit, ("", "T08:30", "T12:00", " soon"))), (F.col("ticker") % 4 + 1).cast("int"))),
+    }
+    return bars.select("ticker", "session_date", *[displayed(v.cast("string"), k).alias(k) for k, v in values.items()])
 
 
 def snk_upsert_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,16 +254,25 @@ QUERIES = [
     ),
 ]
 
-FUNCTIONS = {f.__name__: f for f in (src_jsonl_log, src_snapshots, src_page_extract, src_embedded_json, snk_upsert_date, snk_schema_migrate, src_nested_taxonomy, snk_export, fn_split_sections, sm_owner_transitions)}
+FUNCTIONS = {f.__name__: f for f in (src_jsonl_log, src_snapshots, src_page_extract, src_embedded_json, fn_display_format, snk_upsert_date, snk_schema_migrate, src_nested_taxonomy, snk_export, fn_split_sections, sm_owner_transitions)}
 
 _strip = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_size = lambda v: f"CASE WHEN {v} >= 1e9 THEN printf('%.2f', {v} / 1e9) || 'B' WHEN {v} >= 1e6 THEN printf('%.2f', {v} / 1e6) || 'M' WHEN {v} >= 1e3 THEN printf('%.2f', {v} / 1e3) || 'K' ELSE printf('%.2f', {v}) END"
+_money = lambda v: f"CASE WHEN {v} >= 1e3 THEN printf('%.2f', {v} / 1e3) || 'B' ELSE printf('%.2f', {v}) || 'M' END"
 SQL = {
     "src_jsonl_log": Query("src_jsonl_log", f"SELECT event_id, cast(json_extract(line, '$.cost') AS DOUBLE) AS cost FROM (SELECT event_id, {LINES} AS line FROM events) t WHERE CASE WHEN json_valid(line) THEN json_extract_string(line, '$.month') = '2024-01' END").sql(),
     "src_snapshots": Query("src_snapshots", f"SELECT session_date, name, stocks, avg_volume, floor(px * 1e6) / 1e6 AS px, {', '.join(r(f'perf_{m}') for m in (*LOOKBACKS, 'ytd'))} FROM {{snap}}").sql(),
     "src_page_extract": Query("src_page_extract", "SELECT session_date, industry, ticker, floor(close * 100 + 5e-1) AS cents FROM {bars} WHERE ticker % 17 <> 0").sql(),
     "src_embedded_json": Query(
         "src_embedded_json",
-        "SELECT session_date, cast(ticker AS VARCHAR) AS ticker, industry, printf('%.2f', floor(close * 100 + 5e-1) / 100) AS price, coalesce(printf('%.2f', floor(100 * (close / prev_close - 1) * 100 + 5e-1) / 100) || '%', '-') AS change, format('{:,}', volume) AS volume, CASE WHEN floor(avg_volume) >= 100 THEN printf('%.2f', floor(avg_volume) / 100) || 'M' ELSE printf('%.2f', floor(avg_volume) * 10) || 'K' END AS avg_volume, '-' AS atr FROM {bars} WHERE ticker % 13 <> 0",
+        f"""SELECT session_date, cast(ticker AS VARCHAR) AS ticker, industry, printf('%.2f', floor(close * 100 + 5e-1) / 100) AS price, coalesce(printf('%.2f', floor(100 * (close / prev_close - 1) * 100 + 5e-1) / 100) || '%', '-') AS change, format('{{:,}}', volume) AS volume,
+{_size('floor(avg_volume) * 1e7')} AS avg_volume, {_money('floor(close * (ticker % 40) * 100 + 5e-1) / 100')} AS market_cap,
+CASE WHEN ticker % 7 = 0 THEN '-' ELSE strftime(session_date + cast(ticker AS INT), '%b %d') || CASE ticker % 3 WHEN 0 THEN '' WHEN 1 THEN '/b' ELSE '/a' END END AS earnings, '-' AS atr FROM {{bars}} WHERE ticker % 13 <> 0""",
+    ).sql(),
+    "fn_display_format": Query(
+        "fn_display_format",
+        f"""SELECT ticker, session_date, printf('%.2f', floor(close * 100 + 5e-1) / 100) AS f2, CASE WHEN ticker % 9 = 0 OR sma20_pct IS NULL THEN '-' ELSE printf('%.2f%%', floor(sma20_pct * 100 + 5e-1) / 100) END AS pct, format('{{:,}}', cast(volume * (ticker % 5) * cast(pow(10, sidx % 6) AS BIGINT) AS BIGINT)) AS int,
+{_money('floor(close * (ticker % 40) * 100 + 5e-1) / 100')} AS money, {_size('floor(avg_volume) * pow(10, ticker % 10)')} AS count, strftime(session_date, '%b %d') || CASE ticker % 4 WHEN 1 THEN '/b' WHEN 2 THEN '/a' ELSE '' END AS earn FROM {{bars}}""",
     ).sql(),
     "snk_upsert_date": Query(
         "snk_upsert_date",

@@ -93,29 +93,63 @@ def table_rows(html: Column, aliases: dict[str, str], wanted: list[str]) -> Colu
     return F.when(F.size(rows) > 0, F.transform(F.array(rows), mapped)[0]).otherwise(none)
 
 
-def shown(value: Column, kind: str) -> Column:
-    """An embedded number as pages used to show it; `-` for none."""
-    two = lambda v: F.format_string("%.2f", v)
-    forms = {
-        "f2": two(value), "pct": F.concat(two(value), F.lit("%")), "int": F.format_number(value, 0),
-        "money": F.when(F.abs(value) >= 1e3, F.concat(two(value / 1e3), F.lit("B"))).otherwise(F.concat(two(value), F.lit("M"))),
-        "count": F.when(F.abs(value) >= 1e6, F.concat(two(value / 1e6), F.lit("M"))).when(F.abs(value) >= 1e3, F.concat(two(value / 1e3), F.lit("K"))).otherwise(two(value)),
-    }
-    return F.when(value.isNull(), "-").otherwise(forms[kind])
+def two_places(x: Column) -> Column:
+    """A double to two places by its exact binary value, ties to even; Java's own formatting rounds the shortest decimal instead.
+
+    The fraction times 2^56 is cut into a long, which holds a hundred times as much, and what is lost by the cut.
+    """
+    size = F.abs(x)
+    whole = F.floor(size)
+    large = (size - whole) * F.lit(2.0**56)
+    parts, lost = F.floor(large) * 100, (large - F.floor(large)) * 100
+    cents, short = F.shiftright(parts, 56), F.lit(2**55) - parts.bitwiseAND(F.lit(2**56 - 1))
+    total = whole * 100 + cents + F.when((short < lost) | ((short == 0) & (lost == 0) & (cents % 2 == 1)), 1).otherwise(0)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+    return F.when(size < 1e13, text).otherwise(F.format_string("%.2f", x))
+
+
+def displayed(value: Column, kind: str) -> Column:
+    """A value of embedded data, as text, in the form that pages used to show; `-` for none and for what can't be read.
+
+    text as it is; earn: a date, with /b or /a for a time before noon or after it; numbers: f2 and pct to two
+    places, int with commas (halves to even), money of millions, count of units.
+    """
+    once = lambda v, body: F.transform(F.array(v), body)[0]  # noqa: E731  a value that is computed once and used in body
+    number = F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
+    units = {"f2": (), "pct": (), "money": ((1e3, "B"), (0, "M")), "count": ((1e9, "B"), (1e6, "M"), (1e3, "K"))}
+
+    def scaled(v: Column) -> Column:
+        size, suffix = F.lit(1.0), F.lit("%" if kind == "pct" else "")
+        for least, letter in reversed(units[kind]):
+            size = F.when(F.abs(v) >= least, least or 1.0).otherwise(size)
+            suffix = F.when(F.abs(v) >= least, letter).otherwise(suffix)
+        return F.concat(once(v / size, two_places), suffix)
+
+    if kind == "text":
+        text = value
+    elif kind == "earn":
+        hit = r"^(\d{4}-\d{2}-\d{2})(?:T(\d{2}))?"
+        day, hour = F.try_to_date(F.regexp_extract(value, hit, 1), "yyyy-MM-dd"), F.regexp_extract(value, hit, 2)
+        text = F.concat(F.date_format(day, "MMM dd"), F.when(hour == "", "").when(hour < "12", "/b").otherwise("/a"))
+    elif kind == "int":
+        text = F.format_number(F.bround(number, 0).cast("long"), 0)
+    else:
+        text = once(number, lambda v: F.when(v.isNotNull(), scaled(v)))
+    return F.coalesce(F.when(value != "", text), F.lit("-"))
 
 
 def embedded_rows(pages: DataFrame, labels: list[str]) -> DataFrame:
-    """pages (html, ...) with a row for each row of their embedded data that has a ticker: one text column a label."""
-    schema = "data struct<rows:array<struct<text:map<string,string>,numbers:map<string,double>>>>"
-    data = F.from_json(F.regexp_extract("html", r"(?s)<script[^>]*data-ssr-props[^>]*>(.*?)</script>", 1), schema)
-    rows = pages.withColumn("_row", F.explode(data["data"]["rows"])).where(F.coalesce(F.try_element_at("_row.text", F.lit("ticker")), F.lit("")) != "")
+    """pages (html, ...) with a row for each row of their embedded data that has a ticker: one text column a label.
+
+    The first script that holds rows counts; scripts that are malformed or hold other things are skipped.
+    """
+    schema = "data struct<rows:array<struct<text:map<string,string>,numbers:map<string,string>>>>"
+    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*data-ssr-props[^>]*>(.*?)</script>"), F.lit(1))
+    held = F.filter(F.transform(scripts, lambda s: F.from_json(s, schema)["data"]["rows"]), lambda rows: rows.isNotNull())
+    rows = pages.withColumn("_row", F.explode(F.get(held, 0))).where(F.coalesce(F.try_element_at("_row.text", F.lit("ticker")), F.lit("")) != "")
     known = {label: (key, kind) for label, key, kind in EMBEDDED}
-    out = []
-    for label in labels:
-        key, kind = known[label]
-        text = F.coalesce(F.try_element_at("_row.text", F.lit(key)), F.lit("-"))
-        out.append((text if kind in ("text", "earn") else shown(F.try_element_at("_row.numbers", F.lit(key)), kind)).alias(label))
-    return rows.select(*[c for c in pages.columns if c != "html"], *out)
+    value = lambda key, kind: F.try_element_at("_row.text" if kind in ("text", "earn") else "_row.numbers", F.lit(key))
+    return rows.select(*[c for c in pages.columns if c != "html"], *[displayed(value(*known[label]), known[label][1]).alias(label) for label in labels])
 
 
 def migrated(parts: list[DataFrame], target: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Log lines, trees, exports, sections and the state kept over stream batches, on literal rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ def test_page_tables_and_embedded_data(spark):
     pages = spark.createDataFrame([(1, f"<script data-ssr-props='x'>{json}</script>"), (2, "<script data-ssr-props>{bad</script>"), (3, None)], "id int, html string")
     got = files.embedded_rows(pages, ["Ticker", "Price", "Volume", "Market Cap", "Avg Volume", "Change"]).collect()
     assert [tuple(r) for r in got] == [(1, "A", "2.50", "1,234,567", "1.23B", "4.77M", "-")]
+    good = json.replace('"A"', '"B"')
+    several = f"<script data-ssr-props>{json[:50]}</script><script data-ssr-props>[1]</script><script data-ssr-props>{{\"data\":{{\"rows\":7}}}}</script><SCRIPT data-ssr-props>{good}</SCRIPT><script data-ssr-props>{json}</script>"
+    blank = '<script data-ssr-props>{"data":{"rows":[]}}</script>'
+    pages = spark.createDataFrame([(1, several), (2, blank + several)], "id int, html string")
+    assert [tuple(r) for r in files.embedded_rows(pages, ["Ticker", "Price"]).collect()] == [(1, "B", "2.50")]  # rows, though none, end the search
     assert len({label for label, _, _ in files.EMBEDDED}) == len(files.EMBEDDED)
 
 
@@ -64,3 +70,19 @@ def test_owner_actions_need_their_state(spark):
         (1, 1): ("closing", True, "managing"), (1, 2): ("managing", False, "managing"), (1, 3): ("managing", False, "managing"), (2, 5): ("closing", True, "closed"), (2, 6): ("closed", False, "closed"),
         (2, 7): ("closed", True, "closed"), (2, 8): ("closed", True, "managing"), (3, 9): (None, False, None), (4, 1): ("closed", False, "closed"),
     }
+
+
+def test_display_forms(spark):
+    rng = random.Random(3)
+    size = lambda x: f"{x / 1e9:.2f}B" if abs(x) >= 1e9 else f"{x / 1e6:.2f}M" if abs(x) >= 1e6 else f"{x / 1e3:.2f}K" if abs(x) >= 1e3 else f"{x:.2f}"
+    plain = {"f2": lambda x: f"{x:.2f}", "pct": lambda x: f"{x:.2f}%", "int": lambda x: f"{round(x):,}", "money": lambda x: f"{x / 1000:.2f}B" if abs(x) >= 1000 else f"{x:.2f}M", "count": size}
+    numbers = [0.0, 311.0, 1234567.0, -1234.5, 0.125, 0.375, 1.005, 1.115, 26.435, 2.675, -2.675, 999.995, 999.999, 1000.0, 1.5e9, 2.5, 3.5, -0.001, 1e15, 0.005, 0.015, 123456.785]
+    numbers += [rng.choice([rng.uniform(-1, 1), rng.uniform(-1e4, 1e4), rng.uniform(0, 1e10), rng.randrange(10**6) / 1000 + 0.005]) for _ in range(400)]
+    df = spark.createDataFrame([(repr(x),) for x in numbers], "v string")
+    got = df.select("v", *[files.displayed(F.col("v"), k).alias(k) for k in plain]).collect()
+    assert [(r["v"], *(r[k] for k in plain)) for r in got] == [(repr(x), *(f(x) for f in plain.values())) for x in numbers]
+    others = [("2026-08-26T16:30:00", "earn", "Aug 26/a"), ("2026-08-26T11:59", "earn", "Aug 26/b"), ("2026-08-06", "earn", "Aug 06"), ("soon", "earn", "-"), ("2026-13-40", "earn", "-"), ("", "text", "-"), ("x", "text", "x"), (None, "text", "-"), (None, "int", "-"), ("NaN", "f2", "-"), ("n/a", "count", "-"), ("", "money", "-")]
+    df = spark.createDataFrame([(i, v) for i, (v, _, _) in enumerate(others)], "i int, v string")
+    for kind in {k for _, k, _ in others}:
+        shown = {r["i"]: r["t"] for r in df.select("i", files.displayed(F.col("v"), kind).alias("t")).collect()}
+        assert all(shown[i] == want for i, (_, k, want) in enumerate(others) if k == kind), kind
