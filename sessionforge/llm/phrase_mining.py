@@ -37,7 +37,7 @@ SHARD_BITS = 4
 #: Bits of the bitmap of candidates, as a power of 2, and bits for each candidate.
 MOST_BITS, BITS_EACH = 27, 16
 #: Bytes of text that are cut at once, and phrases whose words a task holds before it gives them on.
-CHUNK, MOST_TOLD = 1 << 20, 150_000
+CHUNK, MOST_TOLD = 1 << 20, 800_000
 #: Rows of a batch that is given on.
 ROWS = 50_000
 
@@ -46,6 +46,7 @@ BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, "uint8")
 _KIND[list(BLANKS)], _KIND[list(BREAKS)] = 1, 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWERED = np.frombuffer(_LOWER, "uint8")
 _dice = np.random.default_rng(11)
 #: For two independent hashes: a number for each byte, small and capital letters alike, and an odd factor.
 _OF_BYTE = [_dice.integers(0, 2**64, 256, "uint64")[list(_LOWER)] for _ in range(2)]
@@ -110,6 +111,21 @@ class Words:
     def phrase(self, first: int, k: int) -> str:
         return b" ".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(first, first + k)).translate(_LOWER).decode("utf-8", "replace")
 
+    def texts(self, first: np.ndarray, k: int) -> pa.Array:
+        """Phrases as text: bytes of the chunk as they stand, put together at once, or word by word where more than a blank is between words."""
+        plain = np.ones(len(first), bool)
+        for i in range(k - 1):
+            end = self.ends[first + i]
+            plain &= (self.starts[first + i + 1] == end + 1) & (self.data[end] == 32)
+        start, size = self.starts[first[plain]], self.ends[first[plain] + k - 1] - self.starts[first[plain]]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        taken = self.data[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)]
+        out = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(_LOWERED[taken])])
+        if plain.all():
+            return out
+        others = pa.array([self.phrase(int(i), k) for i in first[~plain]], pa.string())
+        return pa.concat_arrays([out, others]).take(pa.array(np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))))
+
 
 def chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, bounds of the texts in them) of a batch's text column, cut only between texts or pieces."""
@@ -169,9 +185,11 @@ class Told:
     """Counts of phrases by their words; a phrase's words are put together once, when its hashes are new."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, str | None, int]] = []
         self.keys, self.checks, self.counts, self.at = (np.zeros(0, t) for t in ("uint64", "uint64", "int64", "int64"))
-        self.names: list[tuple[str, int, str]] = []
+        self.parts: list[tuple[pa.Array, np.ndarray, int]] = []  # texts, languages, words
+        self.rows: list[tuple[str, int, str | None, int]] = []
+        self.langs: dict[str, int] = {}
+        self.n = 0
 
     def add(self, words: Words, langs: list[str], place: np.ndarray, k: int, first: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
         """Adds occurrences: phrases of k words from `first` on, with two hashes. Where the first meets and the second doesn't, the occurrence is told apart."""
@@ -180,30 +198,35 @@ class Told:
         for i in np.flatnonzero(check != check[lead][inverse]):
             self.rows.append((*name(i), 1))
             n[inverse[i]] -= 1
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        for i in np.flatnonzero(known):
+        to = np.searchsorted(self.keys, keys)
+        at = np.minimum(to, max(0, len(self.keys) - 1))
+        old = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        for i in np.flatnonzero(old):
             if self.checks[at[i]] != check[lead[i]]:
                 self.rows.append((*name(lead[i]), int(n[i])))
                 n[i] = 0
-        self.counts[at[known]] += n[known]
-        new = ~known
-        self.at = np.concatenate([self.at, len(self.names) + np.arange(int(new.sum()))])
-        self.names += [name(i) for i in lead[new]]
-        self.keys, self.checks, self.counts = np.concatenate([self.keys, keys[new]]), np.concatenate([self.checks, check[lead[new]]]), np.concatenate([self.counts, n[new]])
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.checks, self.counts, self.at = self.keys[order], self.checks[order], self.counts[order], self.at[order]
+        self.counts[at[old]] += n[old]
+        new = ~old
+        codes = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], "int32")
+        fresh = first[lead[new]]
+        self.parts.append((words.texts(fresh, k), codes[place[words.text[fresh]]], k))
+        insert = lambda held, more: np.insert(held, to[new], more)
+        self.keys, self.checks, self.counts, self.at = insert(self.keys, keys[new]), insert(self.checks, check[lead[new]]), insert(self.counts, n[new]), insert(self.at, self.n + np.arange(len(fresh)))
+        self.n += len(fresh)
 
     def given(self) -> Iterator[pa.RecordBatch]:
         """All rows so far, which are forgotten then."""
-        by_name = np.argsort(self.at)
-        lang, k, phrase = (list(x) for x in zip(*self.names, strict=True)) if self.names else ([], [], [])
-        more = (list(x) for x in zip(*self.rows, strict=True)) if self.rows else ([], [], [], [])
-        columns = [a + b for a, b in zip((lang, k, phrase, self.counts[by_name].tolist()), more, strict=True)]
+        counts = np.zeros(self.n, "int64")
+        counts[self.at] = self.counts
+        names, parts, rows, done = pa.array(list(self.langs), pa.string()), self.parts, self.rows, 0
         self.__init__()
-        for i in range(0, len(columns[0]), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS], f.type) for c, f in zip(columns, _TOLD, strict=True)], schema=_TOLD)
+        for texts, codes, k in parts:
+            for i in range(0, len(texts), ROWS):
+                some, own = texts[i : i + ROWS], codes[i : i + ROWS]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(np.full(len(own), k, "int32")), some, pa.array(counts[done + i : done + i + len(own)])], schema=_TOLD)
+            done += len(texts)
+        for i in range(0, len(rows), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + ROWS], strict=True), _TOLD, strict=True)], schema=_TOLD)
 
 
 _TOLD = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -221,7 +244,7 @@ def exact_counts(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -
             for (k, first, h), (_, _, check) in zip(words.phrases(most, seeds, 0), words.phrases(most, seeds, 1), strict=True):
                 hit = known(h, bitmaps[k - 1])
                 told.add(words, langs, place, k, first[hit], h[hit], check[hit])
-            if len(told.names) > MOST_TOLD:
+            if told.n > MOST_TOLD:
                 yield from told.given()
         told.rows += [(lang, 0, None, int(n)) for lang, n in zip(langs, n_words, strict=True) if n]
     yield from told.given()
@@ -230,9 +253,9 @@ def exact_counts(batches: Iterator[pa.RecordBatch], bitmaps: list[np.ndarray]) -
 def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of 2^bits bits over hashes (key), by their highest bits; at most 2^(bits - 6) numbers reach the driver."""
     at = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("bit"))
-    got = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toPandas()
+    got = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), "int64")
-    out[got["word"].to_numpy("int64")] = got["bits"].to_numpy("int64")
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.view("uint64")
 
 
@@ -285,9 +308,10 @@ def collocations(docs: DataFrame, support: int = SUPPORT, most: int = MOST_WORDS
     longer = longer.groupBy(F.col("lang").alias("of"), _run(F.col("w"), F.col("first"), F.col("n")).alias("part")).agg(F.max("a").alias("most"))
     rows = scored(frequent).join(longer.hint("merge"), (F.col("lang") == F.col("of")) & (F.col("phrase") == F.col("part")), "left").where(F.col("most").isNull() | (100 * F.col("most") < covered * F.col("a")))
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    # the first of each of some random parts of a language, then of the language
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(n_shuffled(docs.sparkSession))))
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    # the first of each of many random parts of a language, then of a few, then of the language
+    for parts in (n_shuffled(docs.sparkSession), 4):
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+        rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     words = frequent.where("k = 0").select(F.col("lang").alias("_of"), F.col("a").alias("n"))
     rows = rows.join(words.hint("merge"), F.col("lang") == F.col("_of"))
