@@ -149,7 +149,6 @@ QUERIES = [
     Query("snk_dim_flag", "SELECT s.s_suppkey AS ticker, CASE WHEN r.ticker IS NOT NULL THEN true ELSE s.s_acctbal > 5000 END AS validated FROM {supplier} s LEFT JOIN (SELECT DISTINCT ticker FROM {bars} WHERE sidx = 80) r ON r.ticker = s.s_suppkey"),
     Query("sm_autoconfirm", f"SELECT ticker, {r('signal_price', 'exit_price')}, CASE WHEN last_sidx - sidx >= 5 THEN 'closed' ELSE 'closing' END AS state FROM (SELECT ticker, sidx, close AS signal_price, (SELECT max(sidx) FROM {{sess}}) AS last_sidx, row_number() OVER (PARTITION BY ticker ORDER BY sidx DESC) AS nth FROM {{stock}} WHERE close < ma50) t WHERE nth = 1"),
     Query("sm_stop_ack", "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior FROM {events}) t WHERE prior IS NULL OR prior <> event_type"),
-    Query("sm_watch_tick", "SELECT user_id, CASE WHEN b.ticker IS NULL THEN days ELSE days - 1 END AS days_left, b.ticker IS NOT NULL AND days <= 1 AS expired FROM (SELECT user_id, cast(count(*) % 5 AS int) AS days FROM {events} GROUP BY user_id) w LEFT JOIN (SELECT DISTINCT ticker FROM {bars}) b ON b.ticker = w.user_id"),
     Query("sm_alert_dedup", "SELECT user_id, alert_date, event_type, first_event FROM (SELECT user_id, day(ts) AS alert_date, event_type, min(event_id) AS first_event FROM {events} GROUP BY user_id, day(ts), event_type) a LEFT ANTI JOIN (SELECT DISTINCT user_id AS u, event_type AS e FROM {events} WHERE day(ts) = (SELECT min(day(ts)) FROM {events})) l ON l.u = a.user_id AND l.e = a.event_type"),
     Query("st_union_universe", "SELECT DISTINCT ticker FROM (SELECT s_suppkey AS ticker FROM {supplier} UNION ALL SELECT user_id AS ticker FROM {events}) t"),
     Query("st_union_sessions", "SELECT event_id, 'morning' AS session FROM {events} WHERE hour(ts) < 10 UNION ALL SELECT event_id, 'pre_close' AS session FROM {events} WHERE hour(ts) < 15"),
