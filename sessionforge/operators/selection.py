@@ -71,9 +71,9 @@ derived(
     "board",
     f"""WITH f AS (SELECT *, median(fwd) OVER (PARTITION BY session_date, horizon) AS median_fwd, avg(CASE WHEN chosen = 0 THEN fwd END) OVER (PARTITION BY session_date, horizon) AS control_fwd,
   concat_ws('|', {', '.join(f"CASE WHEN {v} = 1 THEN '{k}' END" for k, v in CATEGORY_TAGS.items())}) AS tags FROM {{fwd}})
-SELECT session_date AS pick_date, name, tags, horizon, n_avail, fwd, bench_fwd, median_fwd, control_fwd, fwd - bench_fwd AS excess_bench, fwd - median_fwd AS excess_median, fwd - control_fwd AS excess_control,
+SELECT /*+ MERGE(bf) */ session_date AS pick_date, name, tags, horizon, n_avail, fwd, bench_fwd, median_fwd, control_fwd, fwd - bench_fwd AS excess_bench, fwd - median_fwd AS excess_median, fwd - control_fwd AS excess_control,
   CASE WHEN n_avail = horizon AND fwd IS NOT NULL THEN 1 ELSE 0 END AS settled
-FROM f LEFT JOIN {{bfwd}} ON b_date = session_date AND b_horizon = horizon WHERE chosen = 1""",
+FROM f LEFT JOIN {{bfwd}} bf ON b_date = session_date AND b_horizon = horizon WHERE chosen = 1""",
 )
 
 #: Study rules: name, rows that qualify, order, most names.
@@ -118,7 +118,7 @@ def top(columns: str, where: str, order: str, n: int, label: str = "place") -> s
 QUERIES = [
     Query("tk_select_groups", "SELECT * FROM {sel}"),
     Query("tk_select_groups_capped", rows_of("selcols16")),
-    Query("ag_selection_summary", "SELECT session_date, list_category, cast(count(*) AS int) AS n, cast(max(unique_groups) AS int) AS unique_groups FROM (SELECT s.*, u.unique_groups FROM {sel} s JOIN (SELECT session_date AS d, count(DISTINCT name) AS unique_groups FROM {sel} GROUP BY session_date) u ON u.d = s.session_date) t GROUP BY session_date, list_category"),
+    Query("ag_selection_summary", "SELECT session_date, list_category, cast(count(*) AS int) AS n, cast(max(unique_groups) AS int) AS unique_groups FROM (SELECT /*+ MERGE(u) */ s.*, u.unique_groups FROM {sel} s JOIN (SELECT session_date AS d, count(DISTINCT name) AS unique_groups FROM {sel} GROUP BY session_date) u ON u.d = s.session_date) t GROUP BY session_date, list_category"),
     Query("w_scoreboard", f"SELECT pick_date, name, tags, horizon, cast(n_avail AS int) AS n_avail, {', '.join(r(c) for c in ('fwd', 'bench_fwd', 'median_fwd', 'control_fwd', 'excess_bench', 'excess_median', 'excess_control'))}, settled FROM {{board}}"),
     Query("ag_eval_overall", f"SELECT horizon, cast(count(*) AS int) AS n, cast(count(DISTINCT pick_date) AS int) AS n_dates, {r('avg(excess_bench)', 'mean_excess')}, {r('median(excess_bench)', 'median_excess')}, {r('avg(CASE WHEN excess_bench > 0 THEN 1e0 WHEN excess_bench IS NOT NULL THEN 0e0 END)', 'hit_rate')} FROM {{board}} WHERE settled = 1 GROUP BY horizon"),
     Query("ag_eval_bucket", f"SELECT tag, horizon, cast(count(*) AS int) AS n, {r('avg(excess_bench)', 'mean_excess')}, {r('avg(CASE WHEN excess_bench > 0 THEN 1e0 WHEN excess_bench IS NOT NULL THEN 0e0 END)', 'hit_rate')} FROM (SELECT pieces(tags) AS tag, horizon, excess_bench FROM {{board}} WHERE settled = 1) t GROUP BY tag, horizon"),
@@ -190,6 +190,6 @@ t AS (SELECT session_date, ticker, CASE WHEN place <= 30 THEN 2 WHEN place <= 60
 SELECT session_date, ticker, CASE least(by_group, by_volume, by_range, by_growth) WHEN 2 THEN 'full' WHEN 1 THEN 'soft' ELSE 'none' END AS tier FROM t""",
     ),
     Query("jn_taxonomy", "WITH exact AS (SELECT DISTINCT industry, sector FROM {trades} WHERE l_returnflag = 'R'), maj AS (SELECT sector AS s, min(industry) AS fallback FROM {trades} WHERE l_returnflag = 'R' GROUP BY sector), q AS (SELECT DISTINCT l_suppkey AS ticker, industry, sector FROM {trades} WHERE l_returnflag = 'A') SELECT q.ticker, q.industry, CASE WHEN q.ticker % 50 = 0 THEN 'fund' WHEN e.industry IS NOT NULL THEN 'exact' WHEN m.s IS NOT NULL THEN 'sector' ELSE 'none' END AS source, CASE WHEN q.ticker % 50 = 0 THEN 'FUND' ELSE coalesce(e.industry, m.fallback) END AS mapped, CASE WHEN e.industry IS NOT NULL THEN 1e0 WHEN m.s IS NOT NULL THEN 0.5e0 ELSE 0e0 END AS confidence FROM q LEFT JOIN exact e ON e.industry = q.industry LEFT JOIN maj m ON m.s = q.sector"),
-    Query("src_pagination_cap", "WITH s AS (SELECT session_date, name, min(CASE list_category WHEN 'leaders' THEN 1 WHEN 'emerging' THEN 2 WHEN 'accel' THEN 3 WHEN 'rs_new_high' THEN 4 ELSE 5 END) AS prio FROM {sel} GROUP BY session_date, name), t AS (SELECT s.session_date, s.name, s.prio, b.ticker, row_number() OVER (PARTITION BY s.session_date, s.name ORDER BY b.ticker) AS nth FROM s JOIN {bars} b ON b.session_date = s.session_date AND b.industry = s.name), p AS (SELECT session_date, name, prio, ceil(least(count(*), 40) / 20e0) AS pages FROM t GROUP BY session_date, name, prio), u AS (SELECT *, sum(pages) OVER (PARTITION BY session_date ORDER BY prio, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM p) SELECT t.session_date, t.name, t.ticker, cast(t.nth AS int) AS nth FROM t JOIN u ON u.session_date = t.session_date AND u.name = t.name WHERE t.nth <= 40 AND u.used <= 12"),
+    Query("src_pagination_cap", "WITH s AS (SELECT session_date, name, min(CASE list_category WHEN 'leaders' THEN 1 WHEN 'emerging' THEN 2 WHEN 'accel' THEN 3 WHEN 'rs_new_high' THEN 4 ELSE 5 END) AS prio FROM {sel} GROUP BY session_date, name), t AS (SELECT /*+ MERGE(s) */ s.session_date, s.name, s.prio, b.ticker, row_number() OVER (PARTITION BY s.session_date, s.name ORDER BY b.ticker) AS nth FROM s JOIN {bars} b ON b.session_date = s.session_date AND b.industry = s.name), p AS (SELECT session_date, name, prio, ceil(least(count(*), 40) / 20e0) AS pages FROM t GROUP BY session_date, name, prio), u AS (SELECT *, sum(pages) OVER (PARTITION BY session_date ORDER BY prio, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM p) SELECT /*+ MERGE(u) */ t.session_date, t.name, t.ticker, cast(t.nth AS int) AS nth FROM t JOIN u ON u.session_date = t.session_date AND u.name = t.name WHERE t.nth <= 40 AND u.used <= 12"),
     Query("w_ranks_checked_horizons", f"SELECT horizon, cast(count(*) AS int) AS n, cast(count(fwd) AS int) AS n_full FROM {{fwd}} WHERE horizon IN ({', '.join(map(str, HORIZONS))}) GROUP BY horizon"),
 ]

@@ -123,9 +123,9 @@ QUERIES = [
     Query("jn_asof_price", f"WITH c AS ({CHAT}), f AS (SELECT model, min_by(per_in, from_turn) AS first_in FROM {PRICES} GROUP BY model), a AS (SELECT c.conv_id, c.turn, c.model, max_by(v.per_in, v.from_turn) AS per_in FROM c LEFT JOIN {PRICES} ON v.model = c.model AND v.from_turn <= c.turn GROUP BY c.conv_id, c.turn, c.model) SELECT a.conv_id, a.turn, a.model, coalesce(a.per_in, f.first_in) AS per_in, f.model IS NULL AS unknown_model FROM a LEFT JOIN f ON f.model = a.model"),
     Query("jn_asof_tolerance", "WITH a AS (SELECT DISTINCT user_id AS u, day(ts) AS d FROM {events}) SELECT /*+ MERGE(a) */ e.event_id, max(a.d) AS nearest FROM {events} e LEFT JOIN a ON a.u = e.user_id AND a.d <= day(e.ts - INTERVAL '24' HOUR) AND a.d >= day(e.ts - INTERVAL '144' HOUR) GROUP BY e.event_id"),
     Query("jn_latest_bar", f"SELECT p.s_suppkey AS ticker, b.session_date AS last_date, {r('b.close', 'last_close')} FROM {{supplier}} p LEFT JOIN (SELECT ticker, max(session_date) AS session_date, max_by(close, session_date) AS close FROM {{bars}} GROUP BY ticker) b ON b.ticker = p.s_suppkey"),
-    Query("jn_bars_after", f"SELECT ticker, session_date, cast(nth AS int) AS nth FROM (SELECT b.ticker, b.session_date, row_number() OVER (PARTITION BY b.ticker ORDER BY b.sidx) AS nth FROM {{bars}} b JOIN (SELECT ticker, max(sidx) AS opened FROM {{bars}} WHERE sidx <= 20 GROUP BY ticker) p ON p.ticker = b.ticker AND b.sidx > p.opened) t WHERE nth <= 30"),
-    Query("jn_union_levels", "SELECT ticker, 'pick' AS kind FROM (SELECT DISTINCT ticker FROM {picks} WHERE sidx = 40) p UNION ALL SELECT s_suppkey AS ticker, 'watch' AS kind FROM {supplier} w LEFT ANTI JOIN (SELECT DISTINCT ticker FROM {picks} WHERE sidx = 40) q ON q.ticker = w.s_suppkey"),
-    Query("jn_status", f"SELECT p.session_date, p.ticker, {r('k.prior_high', 'trigger')}, coalesce({STATUS}, 'no_quote') AS status FROM (SELECT DISTINCT session_date, ticker FROM {{picks}}) p LEFT JOIN {{stock}} k ON k.ticker = p.ticker AND k.session_date = p.session_date".replace("k.prior_high", "prior_high")),
+    Query("jn_bars_after", f"SELECT ticker, session_date, cast(nth AS int) AS nth FROM (SELECT b.ticker, b.session_date, row_number() OVER (PARTITION BY b.ticker ORDER BY b.sidx) AS nth FROM {{bars}} b JOIN (SELECT ticker, max(sidx) AS opened FROM {{bars}} WHERE sidx <= ticker % 80 GROUP BY ticker) p ON p.ticker = b.ticker AND b.sidx > p.opened) t WHERE nth <= 30"),
+    Query("jn_union_levels", "SELECT session_date, ticker, 'pick' AS kind FROM (SELECT DISTINCT session_date, ticker FROM {picks}) p UNION ALL SELECT /*+ MERGE(q) */ w.session_date, w.ticker, 'watch' AS kind FROM {bars} w LEFT ANTI JOIN (SELECT DISTINCT session_date, ticker FROM {picks}) q ON q.ticker = w.ticker AND q.session_date = w.session_date"),
+    Query("jn_status", f"SELECT /*+ MERGE(p) */ p.session_date, p.ticker, {r('k.prior_high', 'trigger')}, coalesce({STATUS}, 'no_quote') AS status FROM (SELECT DISTINCT session_date, ticker FROM {{picks}}) p LEFT JOIN {{stock}} k ON k.ticker = p.ticker AND k.session_date = p.session_date".replace("k.prior_high", "prior_high")),
     Query("jn_prior_read", f"SELECT ticker, session_date, status, prior_status, status <> prior_status AS changed, {r('close - prior_close', 'price_change')} FROM (SELECT ticker, session_date, status, close, lag(status) OVER (PARTITION BY ticker ORDER BY sidx) AS prior_status, lag(close) OVER (PARTITION BY ticker ORDER BY sidx) AS prior_close FROM (SELECT *, {STATUS} AS status FROM {{stock}}) s) t"),
     Query("jn_watch_refs", f"SELECT w.ticker, {r('b.high', 'ref_high')}, {r('b.low', 'ref_low')}, b.ticker IS NOT NULL AS has_history FROM (SELECT DISTINCT user_id AS ticker FROM {{events}}) w LEFT JOIN (SELECT ticker, max_by(high, sidx) AS high, max_by(low, sidx) AS low FROM {{bars}} GROUP BY ticker) b ON b.ticker = w.ticker"),
     Query("w_tight_range", f"SELECT {KEY}, CASE WHEN count(high - low) OVER w = 7 THEN high - low <= min(high - low) OVER w END AS tight FROM {{bars}} WINDOW w AS (PARTITION BY ticker ORDER BY sidx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"),
@@ -133,9 +133,9 @@ QUERIES = [
     Query("w_prev_close", f"SELECT {KEY}, {r('prev_close')} FROM {{bars}}"),
     Query("w_sessions_since", "SELECT ticker, cast((SELECT max(sidx) FROM {sess}) - max(sidx) AS int) AS sessions_since FROM {bars} GROUP BY ticker"),
     Query("w_focus_score", f"SELECT {KEY}, version, {r('focus_score')} FROM {{focus}}"),
-    Query("sm_replay", f"SELECT session_date, ticker, version, {r('focus_score')}, cast(row_number() OVER (PARTITION BY session_date ORDER BY focus_score DESC, ticker) AS int) AS place FROM {{focus}} WHERE version >= 3"),
+    Query("sm_replay", f"SELECT session_date, ticker, version, {r('focus_score')}, cast(row_number() OVER (PARTITION BY session_date ORDER BY focus_score DESC, ticker) AS int) AS place FROM {{focus}}"),
     Query("tk_focus_universe", f"SELECT session_date, ticker, {r('focus_score')} FROM (SELECT *, row_number() OVER (PARTITION BY session_date ORDER BY focus_score DESC, ticker) AS place FROM {{focus}} WHERE focus_score >= 0.3) t WHERE place <= 100"),
-    Query("tk_all_view_sort", f"SELECT p.session_date, p.ticker, p.list_category, cast(row_number() OVER (PARTITION BY p.session_date ORDER BY CASE p.list_category WHEN 'leaders' THEN 1 WHEN 'emerging' THEN 2 WHEN 'accel' THEN 3 WHEN 'rs_new_high' THEN 4 ELSE 5 END, p.grp, k.atr_ext_50 ASC NULLS LAST, p.ticker) AS int) AS place FROM {{picks}} p JOIN {{stock}} k ON k.ticker = p.ticker AND k.sidx = p.sidx WHERE NOT (p.list_category = 'leaders' AND p.category_rank > 11)"),
+    Query("tk_all_view_sort", f"SELECT /*+ MERGE(p) */ p.session_date, p.ticker, p.list_category, cast(row_number() OVER (PARTITION BY p.session_date ORDER BY CASE p.list_category WHEN 'leaders' THEN 1 WHEN 'emerging' THEN 2 WHEN 'accel' THEN 3 WHEN 'rs_new_high' THEN 4 ELSE 5 END, p.grp, k.atr_ext_50 ASC NULLS LAST, p.ticker) AS int) AS place FROM {{picks}} p JOIN {{stock}} k ON k.ticker = p.ticker AND k.sidx = p.sidx WHERE NOT (p.list_category = 'leaders' AND p.category_rank > 11)"),
     Query("tk_stratified_sample", f"SELECT ticker, cohort, cast(place AS int) AS place FROM (SELECT ticker, cohort, row_number() OVER (PARTITION BY cohort ORDER BY md5(concat('s|', cast(ticker AS string))), ticker) AS place FROM (SELECT ticker, CASE WHEN sum(stage2) > 10 THEN 'strong' ELSE 'weak' END AS cohort FROM {{stock}} GROUP BY ticker) c) t WHERE place <= 20"),
     Query("sm_pick_status", f"SELECT {KEY}, {STATUS} AS status FROM {{stock}}"),
     Query("sm_reclaim_ref", f"SELECT {KEY}, CASE WHEN close > ma20 AND (low < ma20 OR prior_low < ma20) THEN 'sma20' WHEN close > ma50 AND (low < ma50 OR prior_low < ma50) THEN 'sma50' END AS reclaimed FROM {{stock}}"),

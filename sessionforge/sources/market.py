@@ -8,6 +8,7 @@ another engine. Sums are exact decimals before they become doubles.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -34,6 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _HELD: dict[tuple, DataFrame] = {}
+#: Seconds that it took to write each held relation, those included that it needed itself.
+BUILT: dict[str, float] = {}
 
 
 def held(name: str, build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -46,8 +49,10 @@ def held(name: str, build: Callable[[SparkSession, str], DataFrame]) -> Callable
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, name, sf_dir, _stamp(spark, sf_dir))
         if key not in _HELD:
+            began = time.monotonic()
             df, at = build(spark, sf_dir), shared_folder(spark)
             df.write.parquet(at)
+            BUILT[name] = time.monotonic() - began
             _HELD[key] = spark.read.schema(df.schema).parquet(at)
         return _HELD[key]
 
