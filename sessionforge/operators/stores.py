@@ -25,7 +25,6 @@ QUERIES = [
     Query("src_page_facts", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, cast((length(html) - length(replace(html, '<li>', ''))) / 4 AS int) AS n_items FROM {pages}"),
     Query("src_page_track", "SELECT page_id, try_cast(regexp_extract(html, 'track[(]([0-9]+)[)]', 1) AS int) AS tracked FROM {pages}"),
     Query("dq_text_names", NAMES.replace("SPLIT", "explode(split").replace("\\pL\\pN", "\\\\pL\\\\pN"), NAMES.replace("SPLIT", "unnest(regexp_split_to_array")),
-    Query("dq_format_rules", "SELECT rule, cast(count(*) AS int) AS n FROM (SELECT each(CASE WHEN role NOT IN ('user', 'assistant', 'system') THEN 'bad_role' END, CASE WHEN text IS NULL OR text = '' THEN 'empty' END, CASE WHEN length(text) > 400 THEN 'long' END, CASE WHEN text LIKE '% %' THEN 'has_blank' END) AS rule FROM {conversations}) t GROUP BY rule"),
     Query("tk_watch_list", "SELECT user_id, event_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, event_id DESC) AS int) AS place FROM {events}"),
     Query("jn_positions_view", f"SELECT p.ticker, p.state, {r('b.last_close', 'last_close')}, cast(p.last_sidx - p.sidx AS int) AS sessions_since FROM (SELECT ticker, sidx, CASE WHEN close < ma50 THEN 'closed' ELSE 'open' END AS state, (SELECT max(sidx) FROM {{sess}}) AS last_sidx, row_number() OVER (PARTITION BY ticker ORDER BY sidx DESC) AS nth FROM {{stock}}) p LEFT JOIN (SELECT ticker, max_by(close, sidx) AS last_close FROM {{bars}} GROUP BY ticker) b ON b.ticker = p.ticker WHERE p.nth = 1 AND (p.state = 'open' OR p.last_sidx - p.sidx <= 10)"),
     Query("fn_normalize_bar", f"SELECT {KEY}, {', '.join(r(level(f'SMA{n}'), f'ma{n}') for n in (20, 50, 200))}, coalesce(typed, try_cast(knob(raw, '$.Days') AS int)) AS days_to_earnings FROM ({RAW_BARS}) t"),
