@@ -120,8 +120,6 @@ QUERIES = [
     Query("flt_focus_dq", f"SELECT k.session_date, k.ticker FROM {{stock}} k JOIN {{methods}} m ON m.session_date = k.session_date WHERE {DQ}"),
     Query("jn_picks_expand", "SELECT session_date, list_category, grp, ticker FROM {picks}"),
     Query("jn_asof_version", "SELECT session_date, version FROM {methods}"),
-    Query("jn_asof_price", f"WITH c AS ({CHAT}), f AS (SELECT model, min_by(per_in, from_turn) AS first_in FROM {PRICES} GROUP BY model), a AS (SELECT c.conv_id, c.turn, c.model, max_by(v.per_in, v.from_turn) AS per_in FROM c LEFT JOIN {PRICES} ON v.model = c.model AND v.from_turn <= c.turn GROUP BY c.conv_id, c.turn, c.model) SELECT a.conv_id, a.turn, a.model, coalesce(a.per_in, f.first_in) AS per_in, f.model IS NULL AS unknown_model FROM a LEFT JOIN f ON f.model = a.model"),
-    Query("jn_asof_tolerance", "WITH a AS (SELECT DISTINCT user_id AS u, day(ts) AS d FROM {events}) SELECT /*+ MERGE(a) */ e.event_id, max(a.d) AS nearest FROM {events} e LEFT JOIN a ON a.u = e.user_id AND a.d <= day(e.ts - INTERVAL '24' HOUR) AND a.d >= day(e.ts - INTERVAL '144' HOUR) GROUP BY e.event_id"),
     Query("jn_latest_bar", f"SELECT p.s_suppkey AS ticker, b.session_date AS last_date, {r('b.close', 'last_close')} FROM {{supplier}} p LEFT JOIN (SELECT ticker, max(session_date) AS session_date, max_by(close, session_date) AS close FROM {{bars}} GROUP BY ticker) b ON b.ticker = p.s_suppkey"),
     Query("jn_bars_after", f"SELECT ticker, session_date, cast(nth AS int) AS nth FROM (SELECT b.ticker, b.session_date, row_number() OVER (PARTITION BY b.ticker ORDER BY b.sidx) AS nth FROM {{bars}} b JOIN (SELECT ticker, max(sidx) AS opened FROM {{bars}} WHERE sidx <= ticker % 80 GROUP BY ticker) p ON p.ticker = b.ticker AND b.sidx > p.opened) t WHERE nth <= 30"),
     Query("jn_union_levels", "SELECT session_date, ticker, 'pick' AS kind FROM (SELECT DISTINCT session_date, ticker FROM {picks}) p UNION ALL SELECT /*+ MERGE(q) */ w.session_date, w.ticker, 'watch' AS kind FROM {bars} w LEFT ANTI JOIN (SELECT DISTINCT session_date, ticker FROM {picks}) q ON q.ticker = w.ticker AND q.session_date = w.session_date"),
