@@ -29,8 +29,8 @@ SIZES, BITS, FEATURES, FIT_ROWS = (3, 4, 5), 18, 4_096, 3_000
 #: Labelled rows that are learned from, about half of them of each class, chosen by a hash of doc_id; 16 bytes each.
 TRAIN_ROWS = 200_000
 ALPHA, RIDGE, STEPS = 1.0, 1e-3, 300
-#: Pieces in which a task's counts travel.
-SEGMENTS = 64
+#: Pieces in which a task's counts travel, 64 KB each, and parts in which partitions' pieces are added up first.
+SEGMENTS, FOLDS = 64, 512
 
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], "uint32")
 
@@ -71,7 +71,7 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def added(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sum of one segment over partitions; a row holds a fixed number of counts."""
+    """The sum of one segment over some partitions; a row holds a fixed number of counts."""
     return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "n0": [np.sum(np.stack(pdf["n0"]), axis=0)], "n1": [np.sum(np.stack(pdf["n1"]), axis=0)], "t0": [pdf["t0"].sum()], "t1": [pdf["t1"].sum()]})
 
 
@@ -123,7 +123,10 @@ def toxic_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     share = lambda most, of: F.when(F.col("label") == 1, min(1.0, most / max(1, of.get(1, 0)))).otherwise(min(1.0, most / max(1, of.get(0, 0))))
     told = told.where(dice("of", F.lit(9)) < share(TRAIN_ROWS // 2, n))
     train = texts.join(F.broadcast(told), F.col("doc") == F.col("of")).select("doc", "text", "label")
-    counts = train.select("text", "label").mapInPandas(counted, "segment int, n0 array<long>, n1 array<long>, t0 long, t1 long").groupBy("segment").applyInPandas(added, "segment int, n0 array<long>, n1 array<long>, t0 long, t1 long")
+    schema = "segment int, n0 array<long>, n1 array<long>, t0 long, t1 long"
+    counts = train.select("text", "label").mapInPandas(counted, schema).withColumn("part", F.spark_partition_id() % FOLDS)
+    # in two steps, so that a group has a FOLDS-th of the partitions' rows and then FOLDS rows at most
+    counts = counts.groupBy("segment", "part").applyInPandas(added, schema).groupBy("segment").applyInPandas(added, schema)
     got = counts.orderBy("segment").collect()  # 2^BITS counts, whatever the input
     weights = np.zeros(2**BITS)
     t0, t1 = (got[0]["t0"], got[0]["t1"]) if got else (0, 0)
