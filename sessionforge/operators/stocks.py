@@ -150,7 +150,6 @@ QUERIES = [
     Query("sm_alert_dedup", "SELECT user_id, alert_date, event_type, first_event FROM (SELECT user_id, day(ts) AS alert_date, event_type, min(event_id) AS first_event FROM {events} GROUP BY user_id, day(ts), event_type) a LEFT ANTI JOIN (SELECT DISTINCT user_id AS u, event_type AS e FROM {events} WHERE day(ts) = (SELECT min(day(ts)) FROM {events})) l ON l.u = a.user_id AND l.e = a.event_type"),
     Query("st_union_universe", "SELECT DISTINCT ticker FROM (SELECT s_suppkey AS ticker FROM {supplier} UNION ALL SELECT user_id AS ticker FROM {events}) t"),
     Query("st_union_sessions", "SELECT event_id, 'morning' AS session FROM {events} WHERE hour(ts) < 10 UNION ALL SELECT event_id, 'pre_close' AS session FROM {events} WHERE hour(ts) < 15"),
-    Query("dq_payload_validate", "SELECT event_id, CASE WHEN user_id IS NULL THEN 'no_key' WHEN ts IS NULL THEN 'no_date' WHEN value IS NULL OR value <= 0 THEN 'bad_price' WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'bad_type' ELSE 'ok' END AS verdict FROM {events}"),
     # override rows for every industry, some of which are misspelt, by name and by the sector that they give
     Query("dq_unknown_names", "SELECT o.name, o.sector, CASE WHEN s.sector IS NULL THEN 'unknown_sector' ELSE 'unknown_name' END AS finding FROM (SELECT industry AS given, CASE WHEN length(industry) % 5 = 0 THEN concat(industry, ' ') WHEN length(industry) % 7 = 0 THEN lower(industry) ELSE industry END AS name, CASE WHEN length(industry) % 4 = 0 THEN upper(concat(sector, 's')) ELSE sector END AS sector FROM (SELECT DISTINCT industry, sector FROM {trades}) t) o LEFT JOIN (SELECT DISTINCT concat(p_brand, '/', p_type) AS name FROM {part}) p ON p.name = o.name LEFT JOIN (SELECT DISTINCT p_type AS sector FROM {part}) s ON s.sector = o.sector WHERE p.name IS NULL OR s.sector IS NULL",
           "SELECT name, sector, CASE WHEN sector NOT IN (SELECT p_type FROM part) THEN 'unknown_sector' ELSE 'unknown_name' END AS finding FROM (SELECT DISTINCT CASE WHEN length(p_brand || '/' || p_type) % 5 = 0 THEN p_brand || '/' || p_type || ' ' WHEN length(p_brand || '/' || p_type) % 7 = 0 THEN lower(p_brand || '/' || p_type) ELSE p_brand || '/' || p_type END AS name, CASE WHEN length(p_brand || '/' || p_type) % 4 = 0 THEN upper(p_type || 's') ELSE p_type END AS sector FROM lineitem JOIN part ON l_partkey = p_partkey) o WHERE (name, sector) NOT IN (SELECT p_brand || '/' || p_type, p_type FROM part)"),
