@@ -1,12 +1,15 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids are fitted on a bounded sample by splitting the fullest cluster again and again until every
-list is about equally full; there are 4 sqrt(n) of them for n vectors, and the sample is SAMPLE rows,
-or SAMPLE_PER_LIST a list if that is more, taken by hash. Every distinct vector is indexed: it goes to
-its nearest centroid's list and, as a boundary vector, to the lists whose distance is within `closure`
-of the nearest one, `max_copies` at most. A graph over the centroids, held in memory by every task, is
-walked best-first to find a query's centroids; of the PROBE sqrt(lists) nearest, `most_probes` at most,
-the lists whose distance is within the ratio `prune` of the best are read. Lists and the queries
+There are 4 sqrt(n) lists for n vectors, in cells of about PER_CELL lists. The cells' centroids are fitted
+on the driver on SAMPLE rows by splitting the fullest cluster again and again until all are about equally
+full; the lists of a cell are fitted so in a task, on CELL_SAMPLE of its vectors at most. Samples are taken
+by hash. A graph over the cells' centroids is held in memory by every task, one over a cell's lists by the
+tasks that have the cell; both are walked best-first. A vector goes to its near cells and there to its near
+lists: every distinct vector is indexed, in its nearest list and, as a boundary vector, in the lists whose
+distance is within `closure` of the nearest one, `max_copies` at most. A query goes to the PROBE sqrt(cells)
+nearest cells, MOST_CELLS at most; of the PROBE sqrt(lists) nearest lists found there, `most_probes` at most,
+those whose distance is within the ratio `prune` of the best are read. So what the driver fits and what is
+broadcast are a few thousand cells for 10^10 vectors, whatever a cell holds. Lists and the queries
 that read them are both cut into blocks of bounded size; a task gives the best k of each query in its
 blocks, and the best k of those are the answer. A query whose lists hold fewer than k others is held
 against all vectors, in blocks.
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -39,8 +42,10 @@ from sessionforge.llm.binary_codes import valid, vectors_of
 from sessionforge.llm.common import n_shuffled, saved
 from sessionforge.llm.linking import grouped
 
-#: Rows of the fitting sample at least, and for each list.
-SAMPLE, SAMPLE_PER_LIST = 20_000, 8
+#: Rows of the sample that the cells of one length of vectors are fitted on; of the lists' sample for each list, and of one cell at most.
+SAMPLE, SAMPLE_PER_LIST, CELL_SAMPLE = 20_000, 24, 8_192
+#: Lists of a cell on average (a cell that holds more vectors has up to four times as many), cells a query looks at at most, and vectors of a cell that one task places.
+PER_CELL, MOST_CELLS, CELL_BLOCK = 256, 32, 50_000
 #: Lists for n vectors: LISTS * sqrt(n), of LIST_SIZE vectors at least; lists a query looks at: PROBE * sqrt(lists).
 LISTS, LIST_SIZE, PROBE = 4.0, 32, 3.0
 #: Postings of a block of a list, and queries of a block.
@@ -148,35 +153,61 @@ class Lists:
         self.parts = (centroids, graph, scale, longest)
 
     @classmethod
-    def fitted(cls, sample: np.ndarray, n: int, scale: float, longest: float) -> Lists:
-        """Fitted on a sample of n vectors; scale: their greatest component, longest: the greatest square of a length, in its units."""
-        blank = cls(np.zeros((1, 1), "float32"), np.zeros((1, 1), "int32"), scale, longest)
+    def fitted(cls, sample: np.ndarray, lists: int, scale: float, longest: float) -> Lists:
+        """So many lists, fitted on a sample; scale: the vectors' greatest component, longest: the greatest square of a length, in its units."""
+        blank = cls(np.zeros((1, sample.shape[1] + 1), "float32"), np.zeros((1, 1), "int32"), scale, longest)
         if not len(sample):
             return blank
-        centroids = balanced_centroids(blank.lifted(sample), n_lists(n))
+        centroids = balanced_centroids(blank.lifted(sample), lists)
         return cls(centroids, neighbour_graph(centroids), scale, longest)
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         x = x / self.scale
         return np.concatenate([x, np.sqrt(np.maximum(0, self.longest - (x * x).sum(1)))[:, None]], axis=1).astype("float32")
 
-    def of_vectors(self, x: np.ndarray, copies: int, closure: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of each posting."""
-        return self._near(self.lifted(x), copies, closure)
-
-    def of_queries(self, x: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of each list that a query reads; queries are as long as the longest vector, so that ratios compare."""
+    def asking(self, x: np.ndarray) -> np.ndarray:
+        """Queries made as long as the longest vector, so that ratios compare."""
         x = x / np.abs(x).max(axis=1, keepdims=True)
         q = np.concatenate([x * (math.sqrt(self.longest) / np.sqrt((x * x).sum(1)))[:, None], np.zeros((len(x), 1))], axis=1)
-        return self._near(q.astype("float32"), min(most, math.ceil(PROBE * math.sqrt(len(self.centroids)))), ratio)
+        return q.astype("float32")
+
+    def of_vectors(self, x: np.ndarray, copies: int, closure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, distance) of each posting."""
+        return self._near(self.lifted(x), copies, closure)
 
-    def _near(self, q: np.ndarray, n: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    def of_queries(self, x: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, distance) of each list that a query reads."""
+        return self._near(self.asking(x), min(most, probes(len(self.centroids))), ratio)
+
+    def _near(self, q: np.ndarray, n: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self.centroids) == 1:
-            return np.arange(len(q)), np.zeros(len(q), int)
+            return np.arange(len(q)), np.zeros(len(q), int), np.sqrt(((q - self.centroids) ** 2).sum(1)).astype("float64")
         found = [walk(self.centroids, self.graph, q[a : a + 512], n) for a in range(0, len(q), 512)]
         best, d = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         row, place = np.nonzero(within(d, ratio))
-        return row, best[row, place]
+        return row, best[row, place], d[row, place].astype("float64")
+
+
+def probes(lists: int) -> int:
+    return math.ceil(PROBE * math.sqrt(lists))
+
+
+class Cells:
+    """The cells of one length, and for each how many lists it is to have and how many tasks place its vectors; `parts` are plain data."""
+
+    def __init__(self, top: tuple, lists: np.ndarray, tasks: np.ndarray):
+        self.top, self.lists, self.tasks = Lists(*top), lists, tasks
+        self.parts = (top, lists, tasks)
+
+    @classmethod
+    def fitted(cls, sample: np.ndarray, n: int, scale: float, longest: float, copies: int) -> Cells:
+        """Fitted on a sample of n vectors, each of which goes to so many cells at most."""
+        top = Lists.fitted(sample, math.ceil(n_lists(n) / PER_CELL), scale, longest)
+        share = np.ones(1)
+        if len(top.centroids) > 1:
+            share = np.bincount(top.of_vectors(sample, 1, 0.0)[1], minlength=len(top.centroids)) / len(sample)
+        lists = np.clip(np.rint(share * n_lists(n)), 1, 4 * PER_CELL).astype(int)
+        return cls(top.parts, lists, np.maximum(1, np.ceil(share * n * min(copies, len(share)) / CELL_BLOCK)).astype(int))
 
 
 def score(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -274,35 +305,92 @@ def _answers(df: DataFrame, every: int, k: int, closure: float, max_copies: int,
                 yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(x)]), "scale": pa.array([float(np.abs(x).max())])})
 
     facts = {r["dim"]: r for r in distinct.select("dim", "embedding").mapInArrow(lengths, "dim int, n long, scale double").groupBy("dim").agg(F.sum("n").alias("n"), F.max("scale").alias("scale")).collect()}  # a row a length
-    share = F.lit(1.0)
-    for dim, f in facts.items():
-        want = max(SAMPLE, SAMPLE_PER_LIST * n_lists(f["n"]))
-        share = F.when(F.col("dim") == dim, min(1.0, want / f["n"])).otherwise(share)
-    dice = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(2**31)) / 2**31
-    drawn = distinct.where(dice < share).select("dim", "embedding").toArrow().combine_chunks()
+    def share_of(want) -> Column:
+        share = F.lit(1.0)
+        for dim, f in facts.items():
+            share = F.when(F.col("dim") == dim, min(1.0, want(f["n"]) / f["n"])).otherwise(share)
+        return share
+
+    dice = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2**31)) / 2**31
+    drawn = distinct.where(dice(4) < share_of(lambda n: SAMPLE)).select("dim", "embedding").toArrow().combine_chunks()
     index = {}
     for dim, f in facts.items():
         mine = drawn.filter(pa.compute.equal(drawn["dim"], dim))["embedding"].combine_chunks()
         x = vectors_of(mine if isinstance(mine, pa.Array) else mine.chunk(0)).astype("float64") if len(mine) else np.empty((0, dim))
         longest = float(((x / f["scale"]) ** 2).sum(1).max(initial=0)) * 1.05  # what is longer still is not lifted
-        index[dim] = Lists.fitted(x, f["n"], f["scale"], longest or 1.0).parts
-    held = spark.sparkContext.broadcast(index)  # 4 sqrt(n) centroids
-    lists = sum(len(parts[0]) for parts in index.values())
+        index[dim] = Cells.fitted(x, f["n"], f["scale"], longest or 1.0, max_copies).parts
+    held = spark.sparkContext.broadcast(index)  # n_lists / PER_CELL centroids
+    lists = sum(int(parts[1].sum()) for parts in index.values())
+
+    def routed(get, key: str):
+        """(dim, cell, task, id, embedding) of the vectors of each batch, for each cell that `get` names."""
 
-    def placed(get, key: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 dims = b.column("dim").to_numpy()
                 for dim in np.unique(dims).tolist():
-                    part = b.filter(pa.array(dims == dim))
-                    row, at = get(Lists(*held.value[dim]), vectors_of(part.column("embedding")).astype("float64"))
-                    yield pa.RecordBatch.from_pydict({key: part.column(key).take(pa.array(row)), "dim": pa.array(np.full(len(row), dim, "int32")), "list": pa.array(at.astype("int32"))})
+                    part, cells = b.filter(pa.array(dims == dim)), Cells(*held.value[dim])
+                    row, cell, _ = get(cells, vectors_of(part.column("embedding")).astype("float64"))
+                    ids = part.column(key).to_numpy()[row]
+                    task = (ids // every if key == "vec_id" else ids) % cells.tasks[cell]  # queries are multiples of every
+                    for a in range(0, len(row), 10_000):
+                        at = slice(a, a + 10_000)
+                        cols = {"dim": pa.array(np.full(len(row[at]), dim, "int32")), "cell": pa.array(cell[at].astype("int32")), "task": pa.array(task[at].astype("int32")), "id": pa.array(ids[at])}
+                        yield pa.RecordBatch.from_pydict({**cols, "embedding": part.column("embedding").take(pa.array(row[at]))})
 
         return run
 
-    posted = saved(distinct.select("id", "dim", "embedding").mapInArrow(placed(lambda i, x: i.of_vectors(x, max_copies, closure), "id"), "id long, dim int, list int"))
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        dim, cell = key
+        cells = Cells(*held.value[dim])
+        x = np.stack(list(rows.sort_values("id")["embedding"])).astype("float64")
+        mine = Lists.fitted(x, int(cells.lists[cell]), cells.top.scale, cells.top.longest)
+        out = {"dim": dim, "cell": cell, "n_tasks": int(cells.tasks[cell]), "centroids": mine.centroids.tobytes(), "graph": mine.graph.tobytes()}
+        return pd.DataFrame([out])
+
+    shape = f"dim int, cell int, task int, id long, embedding array<{kind}>"
+    want = lambda n: max(SAMPLE_PER_LIST * n_lists(n), CELL_SAMPLE)
+    near = distinct.where(dice(5) < share_of(want)).select("id", "dim", "embedding").mapInArrow(routed(lambda c, x: c.top.of_vectors(x, 1, 0.0), "id"), shape)
+    first = F.row_number().over(W.partitionBy("dim", "cell").orderBy(F.xxhash64("id", F.lit(6)), "id"))
+    fits = saved(near.withColumn("n", first).where(F.col("n") <= CELL_SAMPLE).groupBy("dim", "cell").applyInPandas(fit, "dim int, cell int, n_tasks int, centroids binary, graph binary"))
+
+    def placed(vectors: DataFrame, get) -> DataFrame:
+        """(id, dim, list, far): the lists that `get` finds for each vector in its cells."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, mine = None, None
+            for b in batches:
+                for key, part in b.groupby(["dim", "cell", "task"], sort=False):
+                    if key != now:  # a cell's lists stand ahead of its vectors; one without any is a single list
+                        top = Cells(*held.value[key[0]]).top
+                        now, mine = key, Lists(top.centroids[key[1] : key[1] + 1], None, top.scale, top.longest)
+                    told, rest = part[part["embedding"].isna()], part[part["embedding"].notna()]
+                    if len(told):
+                        c, g = told.iloc[0][["centroids", "graph"]]
+                        c = np.frombuffer(c, "float32").reshape(-1, key[0] + 1)
+                        mine = Lists(c, np.frombuffer(g, "int32").reshape(len(c), -1), mine.scale, mine.longest)
+                    if len(rest):
+                        row, at, far = get(mine, np.stack(list(rest["embedding"])).astype("float64"))
+                        yield pd.DataFrame({"id": rest["id"].to_numpy()[row], "dim": key[0], "list": key[1] * 4 * PER_CELL + at, "far": far})
+
+        none, keys = F.lit(None).cast("binary"), ["dim", "cell", "task"]
+        told = fits.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("n_tasks") - 1)).alias("task"), F.lit(-1).cast("long").alias("id"), F.lit(None).cast(f"array<{kind}>").alias("embedding"), "centroids", "graph", F.lit(0).alias("last"))
+        both = told.union(vectors.select(*keys, "id", "embedding", none, none, F.lit(1)))
+        return both.repartition(n_shuffled(spark), *keys).sortWithinPartitions(*keys, "last").mapInPandas(run, "id long, dim int, list int, far double")
+
+    def nearest_lists(rows: DataFrame, most: Column, ratio: float, name: str) -> DataFrame:
+        w = W.partitionBy("id", "dim").orderBy("far", "list")
+        rows = rows.withColumns({"n": F.row_number().over(w), "best": F.first("far").over(w)})
+        return saved(rows.where((F.col("n") <= most) & (F.col("far") <= F.col("best") * (1 + ratio) + 1e-12)).select(F.col("id").alias(name), "dim", "list"))
+
+    posted = distinct.select("id", "dim", "embedding").mapInArrow(routed(lambda c, x: c.top.of_vectors(x, max_copies, closure), "id"), shape)
+    posted = nearest_lists(placed(posted, lambda i, x: i.of_vectors(x, max_copies, closure)), F.lit(max_copies), closure, "id")
     queries = live.where(F.pmod("vec_id", F.lit(every)) == 0)
-    asked = saved(queries.mapInArrow(placed(lambda i, x: i.of_queries(x, most_probes, prune), "vec_id"), "vec_id long, dim int, list int"))
+    most = F.lit(1)
+    for dim, parts in index.items():
+        most = F.when(F.col("dim") == dim, min(most_probes, probes(int(parts[1].sum())))).otherwise(most)
+    asked = queries.select("vec_id", "dim", "embedding").mapInArrow(routed(lambda c, x: c.top.of_queries(x, MOST_CELLS, math.inf), "vec_id"), shape)
+    asked = nearest_lists(placed(asked, lambda i, x: i.of_queries(x, most_probes, prune)), most, prune, "vec_id")
     n_blocks = posted.groupBy("dim", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     n_asked = asked.groupBy(F.col("dim").alias("d"), F.col("list").alias("l")).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("n_qblocks"))
     cuts = saved(n_blocks.join(n_asked.hint("shuffle_hash"), (F.col("dim") == F.col("d")) & (F.col("list") == F.col("l"))).select("d", "l", "n_blocks", "n_qblocks"))

@@ -137,6 +137,24 @@ def test_short_lists_fall_back_to_all_vectors(spark):
     assert any(got[q] == want[q] for q in want)
 
 
+def test_many_cells_hold_every_vector_and_recall_holds(spark, monkeypatch):
+    """Samples far smaller than the table, cells placed by several tasks, one cell with a third of all vectors, negative ids."""
+    rng = np.random.default_rng(10)
+    for name, value in (("SAMPLE", 600), ("SAMPLE_PER_LIST", 6), ("CELL_SAMPLE", 150), ("PER_CELL", 16), ("CELL_BLOCK", 300)):
+        monkeypatch.setattr(posting_lists, name, value)
+    x = np.concatenate([rng.standard_normal((2600, 16)), 3 * rng.standard_normal(16) + 0.1 * rng.standard_normal((1400, 16))])
+    vectors = {i - 1000: v.tolist() for i, v in enumerate(x)}
+    df = spark.createDataFrame([(i, v, 0) for i, v in vectors.items()] + [(9001, [1.0, 2.0], 0), (9040, [2.0, 1.0], 0)], SCHEMA)
+    want, got = best_by_loop(vectors, 40), found_of(df, every=40)
+    assert got.pop(9040) == [(9001, 4.0)] and set(got) == set(want)
+    assert sum(len(set(dict(got[q])) & set(dict(w))) for q, w in want.items()) >= 0.9 * 20 * len(want)
+    assert all(len(got[q]) == 20 for q in want)
+    # with all cells and lists read the answer is exact: no vector is without a list
+    monkeypatch.setattr(posting_lists, "MOST_CELLS", 10**6)
+    monkeypatch.setattr(posting_lists, "PROBE", 1e6)
+    assert found_of(df.where("vec_id < 9000"), every=40, most_probes=10**6, prune=1e9) == want
+
+
 def test_many_lists_are_pruned_and_recall_holds(spark):
     rng = np.random.default_rng(9)
     centres = rng.standard_normal((40, 24))
@@ -150,9 +168,9 @@ def test_many_lists_are_pruned_and_recall_holds(spark):
     assert hit / (20 * len(queries)) >= 0.9
     assert posting_lists.n_lists(6000) > 150 and posting_lists.n_lists(10**8) == 40_000
     x64 = x.astype("float64")
-    index = posting_lists.Lists.fitted(x64, 6000, float(np.abs(x).max()), float(((x64 / np.abs(x).max()) ** 2).sum(1).max()))
-    row, _ = index.of_queries(x64[::20], 96, 0.15)
-    all_probes, _ = index.of_queries(x64[::20], 96, 1e9)
+    index = posting_lists.Lists.fitted(x64, posting_lists.n_lists(6000), float(np.abs(x).max()), float(((x64 / np.abs(x).max()) ** 2).sum(1).max()))
+    row = index.of_queries(x64[::20], 96, 0.15)[0]
+    all_probes = index.of_queries(x64[::20], 96, 1e9)[0]
     assert len(row) < 0.5 * len(queries) * len(index.centroids) and len(row) < len(all_probes)  # pruned by number and by ratio
     best, d = posting_lists.walk(index.centroids, index.graph, index.lifted(x64[:50]), 8)
     true = np.sqrt(((index.centroids[None] - index.lifted(x64[:50])[:, None]) ** 2).sum(2))
