@@ -4,7 +4,7 @@ There are 4 sqrt(n) lists for n vectors, in cells of about PER_CELL lists. The c
 on the driver on SAMPLE rows by splitting the fullest cluster again and again until all are about equally
 full; the lists of a cell are fitted so in a task, on CELL_SAMPLE of its vectors at most. Samples are taken
 by hash. A graph over the cells' centroids is held in memory by every task, one over a cell's lists by the
-tasks that have the cell; both are walked best-first. A vector goes to its near cells and there to its near
+tasks that have the cell; both are walked best-first. A vector goes to its CELL_COPIES nearest cells and there to its near
 lists: every distinct vector is indexed, in its nearest list and, as a boundary vector, in the lists whose
 distance is within `closure` of the nearest one, `max_copies` at most. A query goes to the PROBE sqrt(cells)
 nearest cells, MOST_CELLS at most; of the PROBE sqrt(lists) nearest lists found there, `most_probes` at most,
@@ -44,8 +44,10 @@ from sessionforge.llm.linking import grouped
 
 #: Rows of the sample that the cells of one length of vectors are fitted on; of the lists' sample for each list, and of one cell at most.
 SAMPLE, SAMPLE_PER_LIST, CELL_SAMPLE = 20_000, 24, 8_192
+#: Cells that a vector goes to at most.
+CELL_COPIES = 2
 #: Lists of a cell on average (a cell that holds more vectors has up to four times as many), cells a query looks at at most, and vectors of a cell that one task places.
-PER_CELL, MOST_CELLS, CELL_BLOCK = 256, 32, 50_000
+PER_CELL, MOST_CELLS, CELL_BLOCK = 256, 32, 20_000
 #: Lists for n vectors: LISTS * sqrt(n), of LIST_SIZE vectors at least; lists a query looks at: PROBE * sqrt(lists).
 LISTS, LIST_SIZE, PROBE = 4.0, 32, 3.0
 #: Postings of a block of a list, and queries of a block.
@@ -318,7 +320,7 @@ def _answers(df: DataFrame, every: int, k: int, closure: float, max_copies: int,
         mine = drawn.filter(pa.compute.equal(drawn["dim"], dim))["embedding"].combine_chunks()
         x = vectors_of(mine if isinstance(mine, pa.Array) else mine.chunk(0)).astype("float64") if len(mine) else np.empty((0, dim))
         longest = float(((x / f["scale"]) ** 2).sum(1).max(initial=0)) * 1.05  # what is longer still is not lifted
-        index[dim] = Cells.fitted(x, f["n"], f["scale"], longest or 1.0, max_copies).parts
+        index[dim] = Cells.fitted(x, f["n"], f["scale"], longest or 1.0, CELL_COPIES).parts
     held = spark.sparkContext.broadcast(index)  # n_lists / PER_CELL centroids
     lists = sum(int(parts[1].sum()) for parts in index.values())
 
@@ -383,7 +385,7 @@ def _answers(df: DataFrame, every: int, k: int, closure: float, max_copies: int,
         rows = rows.withColumns({"n": F.row_number().over(w), "best": F.first("far").over(w)})
         return saved(rows.where((F.col("n") <= most) & (F.col("far") <= F.col("best") * (1 + ratio) + 1e-12)).select(F.col("id").alias(name), "dim", "list"))
 
-    posted = distinct.select("id", "dim", "embedding").mapInArrow(routed(lambda c, x: c.top.of_vectors(x, max_copies, closure), "id"), shape)
+    posted = distinct.select("id", "dim", "embedding").mapInArrow(routed(lambda c, x: c.top.of_vectors(x, CELL_COPIES, closure), "id"), shape)
     posted = nearest_lists(placed(posted, lambda i, x: i.of_vectors(x, max_copies, closure)), F.lit(max_copies), closure, "id")
     queries = live.where(F.pmod("vec_id", F.lit(every)) == 0)
     most = F.lit(1)
