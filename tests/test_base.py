@@ -31,3 +31,36 @@ def test_halves_of_texts_go_up_in_both_engines(held_against_sql):
     # close / 100 is 76.115, which round() takes to 76.12 in Spark and to 76.11 in DuckDB
     ours, theirs = held_against_sql("fn_vol_raw", [(1, 1, 8, 1, 2.0, 15223.0, "A", 0), (2, 1, 3, 1, 1.0, 7611.5, "A", 0)])
     assert ours == theirs == [(dt.date(1995, 1, 1), 3, 76120), (dt.date(1995, 1, 1), 8, 76120000000000)]
+
+
+def test_homes_orphans_and_prices_of_bars(held_against_sql):
+    # a part that isn't there takes its line item along; the ticker's groups are those of its smallest part
+    lines = [(1, 2, 5, 1, 2.0, 20.0, "A", 0), (2, 1, 5, 1, 1.0, 30.0, "A", 1), (3, 9, 5, 1, 1.0, 99.0, "N", 1), (4, 9, 6, 1, 1.0, 99.0, "N", 0), (5, None, 5, 1, 1.0, 99.0, "N", 0), (6, 2, 7, 1, 0.0, 5.0, "R", 1), (7, 2, 7, 2, 4.0, 5.0, "R", 1), (8, 1, 5, 1, 1.0, 40.0, "A", 1), (9, 1, 5, 1, 1.0, 45.0, "A", 2)]
+    for name in ("w_prev_close", "sm_pick_status", "jn_taxonomy", "dq_key_corruption", "qry_coverage", "dq_freshness", "sm_catchup", "sm_advance"):
+        ours, theirs = held_against_sql(name, lines)
+        assert ours == theirs and ours, name
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_grow_with_the_line_items(spark, monkeypatch):
+    from sessionforge.sources import market
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(market, "TASK_MB", 1)
+    monkeypatch.setattr(market, "_stamp", lambda *_: ((f"{sf}/lineitem.parquet", 77 << 20, 0), (f"{sf}/part.parquet", 500 << 20, 0)))
+    assert market.tasks(spark, sf) == 77
+    for rows in (market.bars(spark, sf), market.group_prices(spark, sf), market.trades(spark, sf)):
+        text = plan(rows)
+        assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text and ", 77), REPARTITION_BY_NUM" in text
+        assert not [x for x in text.splitlines() if "Exchange hashpartitioning" in x and "l_orderkey" in x and "77)" not in x]
+
+
+def test_a_fold_shuffles_bars_by_ticker_and_not_by_position(spark):
+    from sessionforge import queries  # noqa: F401  (registers the relations)
+    from sessionforge.operators.trades import folded, opened_and_bars
+
+    text = plan(folded(*opened_and_bars(spark, "/root/testdata/sf0.001")))
+    assert "Window" not in text and "collect_list" in text and "opened" not in "".join(x for x in text.splitlines() if "collect_list" in x)
