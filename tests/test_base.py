@@ -64,3 +64,10 @@ def test_a_fold_shuffles_bars_by_ticker_and_not_by_position(spark):
 
     text = plan(folded(*opened_and_bars(spark, "/root/testdata/sf0.001")))
     assert "Window" not in text and "collect_list" in text and "opened" not in "".join(x for x in text.splitlines() if "collect_list" in x)
+
+
+def test_a_groups_line_items_are_dealt_to_several_tasks(spark):
+    from sessionforge.sources import market
+
+    dealt = [x for x in plan(market.group_prices(spark, "/root/testdata/sf0.001")).splitlines() if "REPARTITION_BY_NUM" in x]
+    assert any("session_date" in x and "name" in x and "l_suppkey" in x for x in dealt)
