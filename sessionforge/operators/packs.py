@@ -49,17 +49,22 @@ class UnregisteredField(KeyError):
     """A pack names a field that its surface doesn't have."""
 
 
-def pack(surface: str, values: dict[str, Column]) -> Column:
-    """A pack as a map from field to (unit, num, said); numbers stand in num, all else in said. Unregistered fields are an error."""
+def entries(surface: str, values: dict[str, Column]) -> Column:
+    """The fields of a pack in an array of (key, value: (unit, num, said)); numbers stand in num, all else in said. Unregistered fields are an error."""
     unknown = sorted(set(values) - set(FIELDS[surface]))
     if unknown:
         raise UnregisteredField(f"{surface} has no field {', '.join(unknown)}")
-    entries = []
+    out = []
     for field, value in values.items():
         unit = FIELDS[surface][field]
         is_text = unit in ("text", "enum")
-        entries.append(F.struct(F.lit(field).alias("key"), F.struct(F.lit(unit).alias("unit"), (F.lit(None) if is_text else value).cast("double").alias("num"), (value if is_text else F.lit(None)).cast("string").alias("said")).alias("value")))
-    return F.map_from_entries(F.array(*entries))
+        out.append(F.struct(F.lit(field).alias("key"), F.struct(F.lit(unit).alias("unit"), (F.lit(None) if is_text else value).cast("double").alias("num"), (value if is_text else F.lit(None)).cast("string").alias("said")).alias("value")))
+    return F.array(*out)
+
+
+def pack(surface: str, values: dict[str, Column]) -> Column:
+    """A pack as a map from field to (unit, num, said)."""
+    return F.map_from_entries(entries(surface, values))
 
 
 def checked(rows: DataFrame) -> DataFrame:
@@ -74,12 +79,16 @@ def over(a: Column, b: Column) -> Column:
 
 
 def cards(stock: DataFrame, groups: DataFrame) -> DataFrame:
-    """(session_date, ticker, fields, notes): a pack for each bar of stock, with the read before it and its group's row of groups."""
+    """(session_date, ticker, entries, notes): the entries of a pack for each bar of stock, with the read before it and its group's row of groups.
+
+    Groups have a row for each group and session, and are read from files whose size Spark knows: it may
+    broadcast them, and then the bars are shuffled by ticker alone.
+    """
     by_ticker = W.partitionBy("ticker").orderBy("sidx")
     c = stock.withColumn("status", F.expr(STATUS))
     c = c.withColumns({"prior_status": F.lag("status").over(by_ticker), "prior_price": F.lag("close").over(by_ticker), "has_prior": F.lag(F.lit(1)).over(by_ticker).isNotNull()})
     g = groups.select(F.col("session_date").alias("g_date"), F.col("name").alias("g_name"), "rank_month", "rank_month_delta_5d", "rs_month", "rs_score", "rs_new_high", "momentum_score")
-    c = c.join(g.hint("merge"), (c["session_date"] == g["g_date"]) & (c["industry"] == g["g_name"]), "left")
+    c = c.join(g, (c["session_date"] == g["g_date"]) & (c["industry"] == g["g_name"]), "left")
     close, trigger, stop, atr = (F.col(k) for k in ("close", "prior_high", "prior_low", "atr"))
     yes = lambda flag: F.when(flag, "Yes").when(~flag, "No")
     fields = {
@@ -94,13 +103,13 @@ def cards(stock: DataFrame, groups: DataFrame) -> DataFrame:
         "group.rs_new_high": yes(F.col("rs_new_high") == 1), "group.momentum_score": F.col("momentum_score"),
     }
     notes = F.array_compact(F.array(F.when(~F.col("has_prior"), "no prior read"), F.when(F.col("g_name").isNull(), "no group row"), F.lit("no earnings date")))
-    return c.select("session_date", "ticker", pack("morning_card", fields).alias("fields"), notes.alias("notes"))
+    return c.select("session_date", "ticker", entries("morning_card", fields).alias("entries"), notes.alias("notes"))
 
 
 def ext_evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of every card, and how many notes the card has."""
     c = cards(RELATIONS["stock"](spark, sf_dir), RELATIONS["panel"](spark, sf_dir))
-    return c.select("session_date", "ticker", F.size("notes").alias("n_notes"), F.explode("fields").alias("field", "v")).selectExpr("session_date", "ticker", "n_notes", "field", "v.unit AS unit", r("v.num", "num"), "v.said AS said")
+    return c.select("session_date", "ticker", F.size("notes").alias("n_notes"), F.inline("entries").alias("field", "v")).selectExpr("session_date", "ticker", "n_notes", "field", "v.unit AS unit", r("v.num", "num"), "v.said AS said")
 
 
 _CARD_FIELDS = {
@@ -161,7 +170,7 @@ SELECT session_date, field, CASE field {' '.join(f"WHEN '{f}' THEN '{u}'" for f,
 def ext_field_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often packs hold each registered field, and how often with a value; an unregistered field stops the job."""
     c = cards(RELATIONS["stock"](spark, sf_dir), RELATIONS["panel"](spark, sf_dir))
-    rows = checked(c.select(F.lit("morning_card").alias("surface"), F.explode("fields").alias("field", "v")))
+    rows = checked(c.select(F.lit("morning_card").alias("surface"), F.inline("entries").alias("field", "v")))
     return rows.groupBy("surface", "field", "unit").agg(F.count("*").alias("n"), F.count(F.coalesce(F.col("v.num").cast("string"), F.col("v.said"))).alias("n_known"))
 
 

@@ -98,3 +98,9 @@ def test_groups_and_bars_with_several_flags_and_without_supplier(held_against_sq
 def test_a_quote_is_parsed_once(spark):
     text = plan(panel.queries()["fn_normalize_bar"](spark, "/root/testdata/sf0.001"))
     assert text.count("json_tuple(") >= 1 and "get_json_object" not in text
+
+
+def test_packs_shuffle_bars_by_ticker_alone_and_build_no_maps(spark):
+    text = plan(panel.queries()["ext_evidence_pack"](spark, "/root/testdata/sf0.001"))
+    assert "map_from_entries" not in text and "SortMergeJoin" not in text
+    assert text.count("Exchange hashpartitioning(") == 1
