@@ -53,6 +53,8 @@ def run(stream: DataFrame, folder: str) -> DataFrame:
 
 STATE = "entry double, first_stop double, closes array<double>, ranges array<double>, state string, stop double, floor double, basis string, caution int, qty double, trimmed int, exit_price double, exit_reason string, advanced int"
 DAY = "open_at long, open_id long, open double, high double, low double, close_at long, close_id long, close double"
+_STATE, _DAY = ([f.split()[0] for f in names.split(", ")] for names in (STATE, DAY))
+HELD = "n long, late long, through int, settled struct<{}>, days array<struct<d int, {}>>".format(STATE, DAY)
 SHOWN = ("state", "entry", "stop", "floor", "basis", "caution", "qty", "exit_price", "exit_reason", "advanced")
 
 
@@ -111,50 +113,38 @@ class Positions(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.settled = handle.getValueState("settled", STATE)
-        self.days = handle.getMapState("days", "d int", DAY)
-        self.told = handle.getValueState("told", "n long, late long, through int")
+        # one variable, as each call on the state is a round trip to the JVM; a ticker's open days are few
+        self.held = handle.getValueState("held", HELD)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        n, late, through = self.told.get() if self.told.exists() else (0, 0, None)
-        position = self._position()
-        bars = {k[0]: dict(zip([f.split()[0] for f in DAY.split(", ")], v, strict=True)) for k, v in self.days.iterator()}
-        changed = set()
-        for row in rows:
-            day = row["day"]
+        n, late, through, settled, days = self.held.get() or (0, 0, None, None, ())
+        position = dict(zip(_STATE, settled, strict=True)) if settled is not None else None
+        if position is not None:
+            position |= {"closes": list(position["closes"]), "ranges": list(position["ranges"])}
+        bars = {day: dict(zip(_DAY, bar, strict=True)) for day, *bar in days}
+        for _, event_id, ts, day, price in rows:
             if through is not None and day <= through:
                 late += 1
                 continue
-            bars[day] = with_quote(bars.get(day), row["ts"], row["event_id"], row["price"])
-            changed.add(day)
-        for day in sorted(bars):
-            if day < max(bars) - OPEN_DAYS:
-                bar = bars.pop(day)
-                position = opened(day, bar) if position is None else advanced(position, day, bar)
-                through = day
-                if self.days.containsKey((day,)):
-                    self.days.removeKey((day,))
-                changed.discard(day)
-                self.settled.update(tuple(position[f.split()[0]] for f in STATE.split(", ")))
-        for day in changed:
-            self.days.updateValue((day,), tuple(bars[day].values()))
-        self.told.update((n + 1, late, through))
+            bars[day] = with_quote(bars.get(day), ts, event_id, price)
+        last_over = max(bars, default=0) - OPEN_DAYS - 1
+        for day in sorted(day for day in bars if day <= last_over):
+            bar = bars.pop(day)
+            position = opened(day, bar) if position is None else advanced(position, day, bar)
+            through = day
+        settled = tuple(position[f] for f in _STATE) if position is not None else None
+        self.held.update((n + 1, late, through, settled, [(day, *bar.values()) for day, bar in sorted(bars.items())]))
         for day in sorted(bars):
             position = opened(day, bars[day]) if position is None else advanced(position, day, bars[day])
         yield Row(ticker=key[0], n=n + 1, late=late, through=through, **{c: position[c] if position else None for c in SHOWN})
 
-    def _position(self) -> dict | None:
-        if not self.settled.exists():
-            return None
-        p = dict(zip([f.split()[0] for f in STATE.split(", ")], self.settled.get(), strict=True))
-        return p | {"closes": list(p["closes"]), "ranges": list(p["ranges"])}
-
     def close(self) -> None:
         pass
 
 
 def position_stream(quoted: DataFrame) -> DataFrame:
     """A row for each ticker that a batch has quotes of: where its position stands by then, n counting a ticker's rows."""
+    # in the order in which Positions takes a row apart
     fine = quoted.where("ticker is not null and ts is not null and price is not null").select("ticker", "event_id", F.unix_micros("ts").alias("ts"), F.unix_date(F.to_date("ts")).alias("day"), F.col("price").cast("double").alias("price"))
     kinds = {"state": "string", "basis": "string", "exit_reason": "string", "caution": "int", "advanced": "int"}
     schema = "ticker long, n long, late long, through int, " + ", ".join(f"{c} {kinds.get(c, 'double')}" for c in SHOWN)

@@ -131,3 +131,41 @@ def test_deadline_skips_weekends_and_holidays(spark):
     due = {x.day: x.due for x in deadlines_of(spark)}
     assert due[dt.date(2024, 1, 2)] == dt.date(2024, 1, 6)  # Wed, Thu, Fri
     assert due[dt.date(2024, 1, 12)] == dt.date(2024, 1, 19)  # Monday the 15th is a holiday
+
+
+def test_calls_on_the_state_do_not_grow_with_the_days_of_a_batch():
+    from pyspark.sql import Row
+
+    class Variable:
+        def __init__(self):
+            self.held, self.calls = None, 0
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name in ("exists", "containsKey"):
+                    return self.held is not None
+                if name == "update":
+                    self.held = args[0]
+                return iter(()) if name == "iterator" else self.held
+
+            return call
+
+    class Handle:
+        def __init__(self):
+            self.made = []
+
+        def getValueState(self, *_):  # noqa: N802
+            self.made.append(Variable())
+            return self.made[-1]
+
+        getMapState = getValueState
+
+    def told(n_days):
+        handle, positions = Handle(), keyed.Positions()
+        positions.init(handle)
+        rows = [Row(ticker=1, event_id=i, ts=i * 1000, day=100 + i, price=10.0 + i) for i in range(n_days)]
+        return next(positions.handleInputRows((1,), iter(rows), None)), sum(v.calls for v in handle.made)
+
+    (few, calls), (many, more) = told(5), told(40)
+    assert calls == more and few.advanced == 104 and many.advanced == 139 and many.through == 136
