@@ -104,3 +104,22 @@ def test_packs_shuffle_bars_by_ticker_alone_and_build_no_maps(spark):
     text = plan(panel.queries()["ext_evidence_pack"](spark, "/root/testdata/sf0.001"))
     assert "map_from_entries" not in text and "SortMergeJoin" not in text
     assert text.count("Exchange hashpartitioning(") == 1
+
+
+def test_base_picks_have_the_published_cap_and_the_floor_of_their_days_version(spark, held_against_sql):
+    # 1991 lies before the first version; the volatility floor holds from September 1997 (month 32) on
+    months = (-48, -47, 30, 31, 32, 33)
+    closes = {
+        5: (60000, 66000, 72600, 79860, 87846, 96631),  # rises by a tenth
+        6: (600, 660, 726, 799, 878, 966),  # the same with a cap of 0.06 to 0.1 billion
+        7: (60000, 60300, 60600, 60900, 61200, 61500),  # rises by half a percent: both measures below the floor
+        8: (60000, 60030, 60060, 60090, 61300, 61330),  # in month 32 the week is above the floor, the average range below
+        9: (60000, 66000, 72600, 79860, 80000, 88000),  # in month 32 the average range is above the floor, the week below
+    }
+    lines = [(i, 1, ticker, 1, 50.0, close * 50.0, "A", month) for ticker, row in closes.items() for i, (month, close) in enumerate(zip(months, row))]
+    ours, theirs = held_against_sql("flt_base_pick", lines)
+    before = [dt.date(1991, 2, 1), dt.date(1997, 7, 1), dt.date(1997, 8, 1)]
+    september, october = dt.date(1997, 9, 1), dt.date(1997, 10, 1)
+    assert ours == theirs == sorted([(d, t) for d in before for t in (5, 7, 8, 9)] + [(september, 5), (october, 5), (october, 9)], key=repr)
+    text = plan(panel.queries()["flt_base_pick"](spark, "/root/testdata/sf0.001"))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
